@@ -105,4 +105,5 @@ def percent_encoded(path: Column) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", share * 100.0), F.lit("N/A"))
+    # formatting a null gives text, hence the explicit test
+    return F.when(share.isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f%%", share * 100.0))

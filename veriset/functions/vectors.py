@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -14,21 +15,27 @@ GRID_ROWS, GRID_COLUMNS = 8, 9
 # --- probability vectors -------------------------------------------------------------------
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it.
+
+    The optimizer substitutes expressions for their names; a lambda variable is not substituted.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(logits: Column) -> Column:
-    # the maximum is bound once per vector by the outer one-element transform
-    shifted = F.transform(
-        F.array(F.array_max(logits)), lambda top: F.transform(logits, lambda x: F.exp(x - top))
-    )
-    return normalised(F.element_at(shifted, 1))
+    def scaled(z):
+        return bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    return bound(logits, lambda z: normalised(scaled(z)))
 
 
 def normalised(weights: Column) -> Column:
-    # the total rides along in the fold, so it is computed once per vector
-    return F.aggregate(
+    return bound(
         weights,
-        F.lit(0.0),
-        lambda total, x: total + x,
-        lambda total: F.transform(weights, lambda x: x / total),
+        lambda w: F.aggregate(
+            w, F.lit(0.0), lambda total, x: total + x, lambda total: F.transform(w, lambda x: x / total)
+        ),
     )
 
 
@@ -71,9 +78,8 @@ def bin_edges(bins: int) -> list[float]:
 
 def bin_index(value: Column, bins: int) -> Column:
     """Bin of a share in [0, 1]: left-closed bins, the last one closed on both sides."""
-    edges = bin_edges(bins)[:-1]
-    below = reduce(lambda a, b: a + b, [(value >= F.lit(edge)).cast("int") for edge in edges])
-    return below - 1
+    edges = F.array(*[F.lit(edge) for edge in bin_edges(bins)[:-1]])
+    return bound(value, lambda v: F.size(F.filter(edges, lambda edge: edge <= v)) - 1)
 
 
 # --- features ------------------------------------------------------------------------------
@@ -85,14 +91,17 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    return F.aggregate(
-        v,
-        F.lit(0.0),
-        lambda total, x: total + x.cast("double") * x.cast("double"),
-        lambda total: F.transform(
-            v, lambda x: F.when(total > 0, x.cast("double") / F.sqrt(total)).otherwise(F.lit(0.0))
-        ),
-    )
+    """Vector of length one; the zero vector stays zero."""
+
+    def scaled(w):
+        return F.aggregate(
+            w,
+            F.lit(0.0),
+            lambda total, x: total + x * x,
+            lambda total: F.transform(w, lambda x: F.when(total > 0, x / F.sqrt(total)).otherwise(F.lit(0.0))),
+        )
+
+    return bound(v.cast("array<double>"), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -133,15 +142,15 @@ def guarded_correlation(a: Column, b: Column) -> Column:
 
 def dhash_from_grid(grid: Column) -> Column:
     """64-bit difference hash of a row-major 8 x 9 grid; bit ``8*row+col`` compares right neighbours."""
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(GRID_ROWS * 8 - 1)),
-        lambda i: (
-            F.get(grid, F.floor(i / 8).cast("int") * GRID_COLUMNS + i % 8)
-            > F.get(grid, F.floor(i / 8).cast("int") * GRID_COLUMNS + i % 8 + 1)
-        ),
-    )
-    bits = F.transform(cells, lambda on, i: F.when(on, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda h, bit: h.bitwiseOR(bit))
+
+    def bit(row: int, col: int) -> Column:
+        left = F.get(grid, F.lit(row * GRID_COLUMNS + col))
+        right = F.get(grid, F.lit(row * GRID_COLUMNS + col + 1))
+        mask = F.lit(signed64(1 << (8 * row + col))).cast("bigint")
+        return F.when(left > right, mask).otherwise(F.lit(0).cast("bigint"))
+
+    # plain comparisons, one per bit, compile to straight-line code
+    return reduce(lambda a, b: a.bitwiseOR(b), [bit(r, c) for r in range(GRID_ROWS) for c in range(8)])
 
 
 def hamming64(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ from veriset.session import materialise
 HASH_BITS = 60
 
 
-def hash_block(hash_value: Column, bits: int = 8) -> Column:
+def hash_block(hash_value: Column, bits: int = 10) -> Column:
     """Ordered block of a 60-bit hash: its leading bits, so blocks of any key are equally full."""
     return F.shiftright(hash_value, HASH_BITS - bits)
 
@@ -93,7 +93,7 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str | Column], name: s
     return ranked.withColumn(name, F.col(name) + 1)
 
 
-def rank_by_hash(df: DataFrame, keys: list[str], salt: str, id_column: str = "id", name: str = "rank", bits: int = 8) -> DataFrame:
+def rank_by_hash(df: DataFrame, keys: list[str], salt: str, id_column: str = "id", name: str = "rank", bits: int = 10) -> DataFrame:
     """Reproducible shuffle: 1-based position of each row of a key in the order of its salted hash."""
     hashed = df.withColumn("_hash", hash60(F.lit(f"{salt}:"), F.col(id_column)))
     ranked = rank_rows(hashed, keys, ["_hash", id_column], name, block=hash_block(F.col("_hash"), bits))

@@ -74,13 +74,13 @@ FROM p JOIN docs d ON d.{key} = p.{key} GROUP BY ALL"""
 
 @query("exact_groups", _groups_sql("digest"))
 def exact_groups(spark, folder):
-    docs = derived.documents(spark, folder)
+    docs = derived.digests(spark, folder)
     return links.group_members(docs, links.cross_split_groups(docs, "digest"), "digest")
 
 
 @query("leaf_groups", _groups_sql("object"))
 def leaf_groups(spark, folder):
-    docs = derived.documents(spark, folder)
+    docs = derived.digests(spark, folder)
     return links.group_members(docs, links.cross_split_groups(docs, "object"), "object")
 
 
@@ -103,7 +103,7 @@ SELECT digest, least(ia, ib) AS id_a, greatest(ia, ib) AS id_b,
 FROM pairs""",
 )
 def exact_pairs(spark, folder):
-    return links.exact_pairs(derived.documents(spark, folder))
+    return links.exact_pairs(derived.digests(spark, folder))
 
 
 @query(
@@ -123,7 +123,7 @@ SELECT a.digest, a.id AS left_id, a.class AS left_class, b.id AS right_id, b.cla
 FROM docs a JOIN docs b ON a.digest = b.digest WHERE a.split = 'train' AND b.split = 'test'""",
 )
 def cross_exact_pairs(spark, folder):
-    docs = derived.documents(spark, folder)
+    docs = derived.digests(spark, folder)
     return links.two_sided_pairs(docs.filter("split = 'train'"), docs.filter("split = 'test'"))
 
 
@@ -139,7 +139,7 @@ k2 AS (SELECT * FROM k1 WHERE id NOT IN (SELECT id FROM x2))"""
 
 @query("collision_clean", f"{_CLEAN} SELECT id, class, digest, object FROM k2")
 def collision_clean(spark, folder):
-    kept, _ = cleanup.clean_against_test(derived.documents(spark, folder))
+    kept, _ = cleanup.clean_against_test(derived.digests(spark, folder))
     return kept.select("id", "class", "digest", "object")
 
 
@@ -149,7 +149,7 @@ def collision_clean(spark, folder):
 UNION ALL SELECT id, class, split, 'object_overlap_with_test' AS reason FROM x2""",
 )
 def collision_log(spark, folder):
-    _, log = cleanup.clean_against_test(derived.documents(spark, folder))
+    _, log = cleanup.clean_against_test(derived.digests(spark, folder))
     return log
 
 
@@ -164,7 +164,7 @@ def collision_log(spark, folder):
 FROM k2""",
 )
 def leaf_coverage(spark, folder):
-    kept, log = cleanup.clean_against_test(derived.documents(spark, folder))
+    kept, log = cleanup.clean_against_test(derived.digests(spark, folder))
     return profile.coverage(kept, removed=log)
 
 
@@ -409,7 +409,7 @@ assigned AS (SELECT class, grp, size, CASE WHEN before < greatest(round_even(tot
 
 
 def _train_groups(spark, folder):
-    docs = derived.documents(spark, folder).filter("split = 'train'")
+    docs = derived.digests(spark, folder).filter("split = 'train'")
     return docs.withColumn("group", names.group_key(F.col("object"), F.col("digest")))
 
 
@@ -445,7 +445,7 @@ FROM grouped d JOIN w ON w.class = d.class AND w.grp = d.grp
 UNION ALL SELECT id, class, split FROM te""",
 )
 def safe_manifest(spark, folder):
-    manifest, _ = audit.leakage_safe_manifest(derived.documents(spark, folder), 0.1)
+    manifest, _ = audit.leakage_safe_manifest(derived.digests(spark, folder), 0.1)
     return manifest.select("id", "class", "split")
 
 
@@ -468,7 +468,7 @@ runs AS (SELECT class, size, count(*) FILTER (WHERE split = 'train') AS n_train,
 
 
 def _all_groups(spark, folder):
-    docs = derived.documents(spark, folder)
+    docs = derived.digests(spark, folder)
     return splits.group_sizes(docs.withColumn("group", names.group_key(F.col("object"), F.col("digest"))))
 
 
@@ -496,7 +496,7 @@ r AS (SELECT id, class, row_number() OVER (PARTITION BY class ORDER BY {h60("'ha
 SELECT id, class, CASE WHEN rn <= t THEN 'test' ELSE 'validation' END AS split FROM r JOIN q USING (class)""",
 )
 def half_split(spark, folder):
-    return splits.half_split(derived.documents(spark, folder)).select("id", "class", "split")
+    return splits.half_split(derived.digests(spark, folder)).select("id", "class", "split")
 
 
 @query(
@@ -580,7 +580,7 @@ def _in_several(key: str) -> str:
 SELECT "check", violations, violations = 0 AS passed FROM v""",
 )
 def split_violations(spark, folder):
-    return checks.split_integrity(derived.documents(spark, folder), ["digest", "object", "id"])
+    return checks.split_integrity(derived.digests(spark, folder), ["digest", "object", "id"])
 
 
 def _pairs_overlap(key: str, a: str, b: str) -> str:
@@ -602,7 +602,7 @@ _SPLIT_PAIRS = [("train", "validation"), ("train", "test"), ("validation", "test
 SELECT "check", violations, violations = 0 AS passed FROM v""",
 )
 def set_checks(spark, folder):
-    docs = derived.documents(spark, folder).drop("text")
+    docs = derived.digests(spark, folder)
     parts = {s: docs.filter(F.col("split") == s) for s in profile.SPLITS}
     rows = [
         checks.check(f"{key}_overlap_{a}_{b}", checks.overlap(parts[a], parts[b], key))
