@@ -177,7 +177,7 @@ def hash_bands(value: Column, count: int) -> Column:
             F.struct(
                 F.lit(band).alias("band"),
                 F.lit(size).alias("size"),
-                F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1)).alias("value"),
+                F.shiftrightunsigned(value.cast("bigint"), shift).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1)).alias("value"),
             )
             for band, (shift, size) in enumerate(band_layout(count))
         ]
