@@ -188,8 +188,8 @@ def test_object_resolution(spark):
     assert found == {0: "only", 1: None, 2: "has k in it", 3: None, 4: None}
 
 
-@pytest.mark.parametrize("block_rows", [7, 8192])
-def test_nearest_neighbours_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows, direct_limit", [(7, 10**9), (8192, 10**9), (8192, 0), (9, 300)])
+def test_nearest_neighbours_equal_brute_force(spark, block_rows, direct_limit):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -208,7 +208,7 @@ def test_nearest_neighbours_equal_brute_force(spark, block_rows):
             queries, candidates = (a, b) if len(a) <= len(b) else (b, a)
             for q in queries:
                 expected[(q, frozenset((first, second)))] = max(float(unit[q] @ unit[c]) for c in candidates)
-    found = neighbours.nearest_across_splits(records, block_rows=block_rows).collect()
+    found = neighbours.nearest_across_splits(records, block_rows=block_rows, direct_limit=direct_limit).collect()
     assert len(found) == len(expected)
     for r in found:
         assert r.similarity == pytest.approx(expected[(r.query_id, frozenset((r.query_split, r.candidate_split)))])

@@ -1,27 +1,40 @@
-"""Closest cross-split neighbour by embedding, exactly, in bounded pieces."""
+"""Closest cross-split neighbour by embedding: exact, in bounded pieces, and without needless comparisons.
+
+Equal vectors of a split are folded into their smallest id first. Small classes are then compared
+block by block. Large ones are cut into cells around a few pivot vectors: a query is compared with
+the cell it lies closest to, and after that only with cells that could still hold something closer.
+That bound is the triangle inequality on angles, so nothing is missed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriset.functions import flags, vectors
 from veriset.functions.names import pair_key, split_pair
+from veriset.operators.prefix import rank_by_hash
+from veriset.session import materialise
 
 SPLIT_PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
 BLOCK_ROWS = 8192
 STEP_ROWS = 512
+DIRECT_LIMIT = 10**9
+PIVOT_VECTORS = 16_384
+SLACK = 1e-9
+
+_FOUND = ["class", "query_split", "candidate_split", "query_id", "candidate_id", "similarity"]
 
 
 def _best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    """Best candidate of every query within one cell; equal similarities favour the smaller id."""
-    columns = ["class", "query_split", "candidate_split", "query_id", "candidate_id", "similarity"]
+    """Best candidate of every query within one block pair; equal similarities favour the smaller id."""
     if queries.empty or candidates.empty:
-        return pd.DataFrame(columns=columns)
+        return pd.DataFrame(columns=_FOUND)
     candidates = candidates.sort_values("id")
     target = np.stack(candidates["unit"].to_numpy()).T
     ids, parts = candidates["id"].to_numpy(), []
@@ -29,79 +42,184 @@ def _best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFr
         block = queries.iloc[start : start + STEP_ROWS]
         similarity = np.stack(block["unit"].to_numpy()) @ target
         position = similarity.argmax(axis=1)
-        parts.append(
-            pd.DataFrame(
-                {
-                    "class": block["class"].to_numpy(),
-                    "query_split": block["query_split"].to_numpy(),
-                    "candidate_split": block["candidate_split"].to_numpy(),
-                    "query_id": block["id"].to_numpy(),
-                    "candidate_id": ids[position],
-                    "similarity": similarity[np.arange(len(block)), position],
-                }
-            )
-        )
-    return pd.concat(parts)[columns]
+        best = similarity[np.arange(len(block)), position]
+        columns = [block[c].to_numpy() for c in ("class", "query_split", "candidate_split", "id")]
+        parts.append(pd.DataFrame(dict(zip(_FOUND, [*columns, ids[position], best]))))
+    return pd.concat(parts)
 
 
-def nearest_across_splits(records: DataFrame, vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For each class and pair of splits, every record of the smaller side with its best match opposite.
+def _compare(queries: DataFrame, candidates: DataFrame, cell: list[str], sizes: DataFrame, block_rows: int) -> DataFrame:
+    """Compare queries and candidates that share a cell, in block pairs of bounded size.
 
-    Both sides are cut into hash blocks and each task compares one block pair, so a class of any size
-    is spread over many tasks and no task holds more than two blocks. Ties in size let the first
-    split of the pair query.
+    ``sizes`` is (cell, query_rows, candidate_rows). A row is repeated once per block of the other side,
+    so a cell of any size is spread over many tasks and no task holds more than two blocks.
     """
-    units = records.select("class", "split", "id", vectors.unit_vector(F.col(vector)).alias("unit"))
-    sizes = records.groupBy("class").agg(
+    plan = sizes.select(
+        *cell,
+        *[F.ceil(F.col(f"{side}_rows") / block_rows).cast("int").alias(f"{side}_blocks") for side in ("query", "candidate")],
+    )
+
+    def placed(side: str, other: str, rows: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.col(f"{side}_blocks")).cast("int").alias(f"{side}_block")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        # both sides may come from one table, so each gets columns of its own
+        return rows.join(plan, cell).select(*[F.col(c).alias(c) for c in (*cell, "id", "unit")], own, every)
+
+    keys = [*cell, "query_block", "candidate_block"]
+    class_type, id_type = (queries.schema[c].dataType.simpleString() for c in ("class", "id"))
+    schema = (
+        f"class {class_type}, query_split string, candidate_split string, "
+        f"query_id {id_type}, candidate_id {id_type}, similarity double"
+    )
+    left, right = placed("query", "candidate", queries), placed("candidate", "query", candidates)
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_best_in_block, schema)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    order = F.struct(-F.col("similarity"), F.col("candidate_id"))
+    return (
+        found.groupBy("class", "query_split", "candidate_split", "query_id")
+        .agg(F.min_by(F.struct("candidate_id", "similarity"), order).alias("b"))
+        .select("class", "query_split", "candidate_split", "query_id", "b.candidate_id", "b.similarity")
+    )
+
+
+def _query_sides(records: DataFrame) -> DataFrame:
+    """Per class and pair of splits, which side queries: the one with fewer records, the first on ties."""
+    counts = records.groupBy("class").agg(
         *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")]
     )
     sides = []
     for first, second in SPLIT_PAIRS:
         first_queries = F.col(first) <= F.col(second)
         sides.append(
-            sizes.filter((F.col(first) > 0) & (F.col(second) > 0)).select(
+            counts.filter((F.col(first) > 0) & (F.col(second) > 0)).select(
                 "class",
                 F.when(first_queries, F.lit(first)).otherwise(F.lit(second)).alias("query_split"),
                 F.when(first_queries, F.lit(second)).otherwise(F.lit(first)).alias("candidate_split"),
-                F.ceil(F.least(first, second) / block_rows).cast("int").alias("query_blocks"),
-                F.ceil(F.greatest(first, second) / block_rows).cast("int").alias("candidate_blocks"),
             )
         )
-    plan = reduce(DataFrame.unionByName, sides)
+    return reduce(DataFrame.unionByName, sides)
+
 
-    def placed(role: str, other: str) -> DataFrame:
-        own = units.withColumnRenamed("split", f"{role}_split").join(plan, ["class", f"{role}_split"])
-        return own.withColumn(f"{role}_block", F.pmod(F.xxhash64("id"), F.col(f"{role}_blocks")).cast("int")).withColumn(
-            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+def nearest_across_splits(records: DataFrame, vector: str = "embedding", block_rows: int = BLOCK_ROWS, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """For each class and pair of splits, every record of the smaller side with its best match opposite.
+
+    A class and pair with more than ``direct_limit`` comparisons goes through the cells.
+    """
+    units = records.select("class", "split", "id", vectors.unit_vector(F.col(vector)).alias("unit"))
+    units = materialise(units)
+    points = materialise(units.groupBy("class", "split", "unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    sizes = points.groupBy("class", "split").agg(F.count("*").alias("rows"))
+    plan = _query_sides(units)
+    for side in ("query", "candidate"):
+        plan = plan.join(
+            sizes.select("class", F.col("split").alias(f"{side}_split"), F.col("rows").alias(f"{side}_rows")),
+            ["class", f"{side}_split"],
         )
+    plan = materialise(plan)
+    comparisons = F.col("query_rows") * F.col("candidate_rows")
+    large = plan.filter(comparisons > direct_limit)
+    large_classes = large.select("class").distinct().count()
+    # pivots travel to every task, so cells are only used while their number stays bounded
+    use_cells = 0 < large_classes <= PIVOT_VECTORS
+    direct = plan.filter(comparisons <= direct_limit) if use_cells else plan
 
-    cell = ["class", "query_split", "candidate_split", "query_block", "candidate_block"]
-    # both sides come from one table, so each gets columns of its own
-    columns = [F.col(c).alias(c) for c in (*cell, "id", "unit")]
-    queries = placed("query", "candidate").select(columns)
-    candidates = placed("candidate", "query").select(columns)
-    class_type = records.schema["class"].dataType.simpleString()
-    id_type = records.schema["id"].dataType.simpleString()
-    schema = (
-        f"class {class_type}, query_split string, candidate_split string, "
-        f"query_id {id_type}, candidate_id {id_type}, similarity double"
+    def side_rows(of: DataFrame, side: str) -> DataFrame:
+        chosen = of.select("class", "query_split", "candidate_split", F.col(f"{side}_split").alias("split"))
+        return points.join(chosen, ["class", "split"]).select("class", "query_split", "candidate_split", "id", "unit")
+
+    pair = ["class", "query_split", "candidate_split"]
+    found = _compare(side_rows(direct, "query"), side_rows(direct, "candidate"), pair, direct, block_rows)
+    if use_cells:
+        pivots = _pivots(points.join(large.select("class").distinct(), "class", "left_semi"), large_classes)
+        sides = side_rows(large, "query"), side_rows(large, "candidate")
+        found = found.unionByName(_through_cells(pivots, *sides, block_rows))
+    best = _best(found)
+    single = points.filter(F.col("copies") == 1)
+    copied = points.filter(F.col("copies") > 1).select("class", "split", "unit", F.col("id").alias("query_id"))
+    members = single.select(F.col("id").alias("query_id"), F.col("id").alias("member")).unionByName(
+        units.join(copied, ["class", "split", "unit"]).select("query_id", F.col("id").alias("member"))
     )
-    found = queries.groupBy(cell).cogroup(candidates.groupBy(cell)).applyInPandas(_best_in_block, schema)
-    best = F.min_by(F.struct("candidate_id", "similarity"), F.struct(-F.col("similarity"), F.col("candidate_id")))
-    return (
-        found.groupBy("class", "query_split", "candidate_split", "query_id")
-        .agg(best.alias("b"))
-        .select("class", "query_split", "candidate_split", "query_id", "b.candidate_id", "b.similarity")
+    return best.join(members, "query_id").select(
+        "class", "query_split", "candidate_split", F.col("member").alias("query_id"), "candidate_id", "similarity"
+    )
+
+
+def _pivots(points: DataFrame, classes: int) -> dict:
+    """A few vectors per class, picked by hash; at most ``PIVOT_VECTORS`` in all, so they fit every task."""
+    per_class = min(64, PIVOT_VECTORS // classes)
+    picked = rank_by_hash(points, ["class"], "pivot", name="_rank").filter(F.col("_rank") <= per_class)
+    rows = picked.select("class", "unit").collect()
+    return {c: np.array([r.unit for r in rows if r["class"] == c]) for c in {r["class"] for r in rows}}
+
+
+def _angles(batch: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(np.stack(batch["unit"].to_numpy()) @ pivots.T, -1.0, 1.0))
+
+
+def _through_cells(pivots: dict, queries: DataFrame, candidates: DataFrame, block_rows: int) -> DataFrame:
+    class_type, id_type = (queries.schema[c].dataType.simpleString() for c in ("class", "id"))
+    row_schema = f"class {class_type}, query_split string, candidate_split string, id {id_type}, unit array<double>"
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, part in batch.groupby("class"):
+                angle = _angles(part, pivots[name])
+                cell = angle.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), angle=angle[np.arange(len(part)), cell])
+
+    placed = materialise(candidates.mapInPandas(assign, f"{row_schema}, cell int, angle double"))
+    pair = ["class", "query_split", "candidate_split"]
+    filled = placed.groupBy(*pair, "cell").agg(
+        F.count("*").alias("candidate_rows"), F.max("angle").alias("far"), F.min("angle").alias("near")
     )
+    filled = materialise(filled)
+    # one row per pivot and pair of splits, as few as the pivots
+    layout = {key: part for key, part in filled.drop("candidate_rows").toPandas().groupby(pair)}
+
+    def visits(first: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, part in batch.groupby(pair):
+                    cells = layout[key]
+                    to_pivot = _angles(part, pivots[key[0]][cells["cell"].to_numpy()])
+                    home = to_pivot.argmin(axis=1)
+                    # no member of a cell is closer than its ring around the pivot allows
+                    least = np.maximum(0.0, np.maximum(to_pivot - cells["far"].to_numpy(), cells["near"].to_numpy() - to_pivot))
+                    if first:
+                        rows, columns = np.arange(len(part)), home
+                    else:
+                        reached = np.arccos(np.clip(part["bound"].to_numpy(), -1.0, 1.0))
+                        wanted = least <= reached[:, None] + SLACK
+                        wanted[np.arange(len(part)), home] = False
+                        rows, columns = np.nonzero(wanted)
+                    out = part.iloc[rows][[*pair, "id", "unit"]]
+                    yield out.assign(cell=cells["cell"].to_numpy()[columns].astype(np.int32))
+
+        return run
+
+    def compared(chosen: DataFrame) -> DataFrame:
+        chosen = materialise(chosen)
+        counts = chosen.groupBy(*pair, "cell").agg(F.count("*").alias("query_rows"))
+        return _compare(chosen, placed, [*pair, "cell"], counts.join(filled, [*pair, "cell"]), block_rows)
+
+    visit_schema = f"{row_schema}, cell int"
+    at_home = materialise(_best(compared(queries.mapInPandas(visits(True), visit_schema))))
+    bounds = at_home.select(*pair, F.col("query_id").alias("id"), F.col("similarity").alias("bound"))
+    elsewhere = queries.join(bounds, [*pair, "id"]).mapInPandas(visits(False), visit_schema)
+    return at_home.unionByName(compared(elsewhere))
+
+
+def _once() -> Column:
+    # an unordered pair comes from two rows at most, so these window partitions are tiny
+    return F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("similarity"), "query_id"))
 
 
 def top_neighbour_pairs(nearest: DataFrame, records: DataFrame, top: int = 200) -> DataFrame:
     """The most similar unordered pairs, each once, with review flags."""
     keyed = nearest.withColumn("_key", pair_key(F.col("query_id").cast("string"), F.col("candidate_id").cast("string")))
-    # both directions of a pair come from two rows at most, so the window partitions are tiny
-    once = keyed.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("similarity"), "query_id"))
-    ).filter("_n = 1")
+    once = keyed.withColumn("_n", _once()).filter("_n = 1")
     ranked = once.orderBy(F.desc("similarity"), "query_id", "candidate_id").limit(top)
     for side in ("query", "candidate"):
         objects = records.select(F.col("id").alias(f"{side}_id"), F.col("object").alias(f"{side}_object"))

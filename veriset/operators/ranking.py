@@ -64,6 +64,7 @@ def roc_points(counts: DataFrame) -> DataFrame:
     Classes without positives or negatives have no curve.
     """
     keys = ["class_index"]
+    counts = materialise(counts)
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     high_first = counts.withColumn("_down", -F.col("score"))
     swept = running_sums(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions import vectors
 from veriset.operators import confusion, splits
+from veriset.session import materialise
 
 # --- scorers -------------------------------------------------------------------------------
 
@@ -178,9 +179,9 @@ def permutation_control(features: DataFrame, labels: int, train_per_class: int,
     ``features`` is (id, class, split, features); ``fit_and_score(train, validation)`` gets tables with
     ``target`` and returns the validation rows with ``probs``.
     """
-    train = splits.balanced_sample(features.filter(F.col("split") == "train"), train_per_class, seed)
+    train = materialise(splits.balanced_sample(features.filter(F.col("split") == "train"), train_per_class, seed))
     validation = splits.balanced_sample(features.filter(F.col("split") == "validation"), validation_per_class, seed + 1)
-    shuffled = splits.permuted_labels(train, "class", seed)
+    shuffled = materialise(splits.permuted_labels(train, "class", seed))
     fitted_on = train.join(shuffled.select("id", F.col("permuted").alias("target")), "id")
     scored = predictions(fit_and_score(fitted_on, validation.withColumn("target", F.col("class"))))
     quality = confusion.averages(confusion.class_report(confusion.cells(scored), labels))

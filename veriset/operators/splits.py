@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions.names import hash60
 from veriset.operators.prefix import hash_block, rank_by_hash, rank_rows, running_sums
+from veriset.session import materialise
 
 DEFAULT_RATIOS = {"train": "0.8", "validation": "0.1", "test": "0.1"}
 
@@ -25,6 +26,7 @@ def validation_prefix(groups: DataFrame, fraction: float, group: str = "group",
     ``groups`` is (class, group, size). Groups come in hash order; one is taken while the count so
     far is below max(1, round(n * fraction)), and the last group of a class always stays in train.
     """
+    groups = materialise(groups)
     hashed = groups.withColumn("_hash", hash60(F.lit(f"validation:{seed}:"), F.col("class"), F.lit(":"), F.col(group)))
     totals = groups.groupBy("class").agg(F.sum("size").alias("_total"), F.count("*").alias("_groups"))
     placed = running_sums(
@@ -117,8 +119,9 @@ def greedy_split(groups: DataFrame, ratios: dict[str, str] | None = None, group:
     groups; each further group goes where the deficit relative to the target is largest.
     """
     ratios = ratios or DEFAULT_RATIOS
+    groups = materialise(groups)
     hashed = groups.withColumn("_hash", hash60(F.lit(f"greedy:{seed}:"), F.col("class"), F.lit(":"), F.col(group)))
-    ranked = rank_rows(hashed, ["class", "size"], ["_hash", group], "_rank", block=hash_block(F.col("_hash"), 6))
+    ranked = rank_rows(hashed, ["class", "size"], ["_hash", group], "_rank", block=hash_block(F.col("_hash")))
     placed = ranked.join(greedy_run_table(groups, ratios), ["class", "size"])
     names = list(ratios)
     split, ceiling = F.lit(names[-1]), F.lit(0).cast("bigint")

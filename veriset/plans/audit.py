@@ -54,7 +54,7 @@ def leakage_safe_manifest(records: DataFrame, validation_fraction: float, seed:
     Returns the manifest (train, validation and the untouched test) and the exclusion log.
     """
     kept, log = cleanup.clean_against_test(records.filter(F.col("split").isin("train", "test")))
-    grouped = kept.withColumn("group", group_key(F.col("object"), F.col("digest")))
+    grouped = materialise(kept.withColumn("group", group_key(F.col("object"), F.col("digest"))))
     assignment = splits.validation_prefix(splits.group_sizes(grouped), validation_fraction, seed=seed)
     manifest = splits.apply_group_split(grouped, assignment).unionByName(
         records.filter(F.col("split") == "test").withColumn("group", group_key(F.col("object"), F.col("digest")))

@@ -12,6 +12,7 @@ from veriset.plans import derived, evaluation
 from veriset.plans.catalog import query
 from veriset.plans.derived import LABELS
 from veriset.plans.report import control_report, metric_rows
+from veriset.session import materialise
 from veriset.plans.sql_parts import DOCS, EMB, HIST, RUNS, h60, improvements, predicted, probabilities, report
 
 # --- predictions and confusion -------------------------------------------------------------
@@ -188,7 +189,7 @@ def calibration_bins(spark, folder):
   (SELECT round(sum(pow(p - CASE WHEN k = target THEN 1.0 ELSE 0.0 END, 2)) / count(DISTINCT id), 6) FROM p_a) AS brier""",
 )
 def ece_nll_brier(spark, folder):
-    scored = derived.scored(spark, folder, "a")
+    scored = materialise(derived.scored(spark, folder, "a"))
     ece = confusion.expected_calibration_error(confusion.calibration_bins(scores.predictions(scored)))
     return confusion.probability_summary(scored).select("records", "nll", "brier", ece.scalar().alias("ece"))
 
@@ -360,9 +361,9 @@ SELECT {_averages_sql()} FROM rep""",
 )
 def ensemble_metrics(spark, folder):
     """The weight is chosen on validation records and applied to the test records."""
-    search = scores.weight_search(_validation(spark, folder, "a"), _validation(spark, folder, "b"), LABELS)
-    test = [derived.scored(spark, folder, m).filter("split = 'test'").drop("split") for m in ("a", "b")]
-    voted = scores.chosen_vote(test[0], test[1], search)
+    scored = [materialise(derived.scored(spark, folder, m)) for m in ("a", "b")]
+    validation, test = ([s.filter(F.col("split") == part).drop("split") for s in scored] for part in ("validation", "test"))
+    voted = scores.chosen_vote(*test, scores.weight_search(*validation, LABELS))
     return confusion.averages(confusion.class_report(confusion.cells(scores.predictions(voted)), LABELS))
 
 
@@ -377,7 +378,7 @@ SELECT {_averages_sql()},
   (SELECT round(sum(count * coalesce(gap, 0.0)) / sum(count), 6) FROM cal) AS ece FROM rep""",
 )
 def evaluation_summary(spark, folder):
-    return evaluation.summary_row(derived.scored(spark, folder, "a"), LABELS)
+    return evaluation.summary_row(materialise(derived.scored(spark, folder, "a")), LABELS)
 
 
 # --- foreign labels, conditions, controls --------------------------------------------------
@@ -567,7 +568,7 @@ def _diverse_sql(condition: str, keys: str) -> str:
 SELECT * FROM {_diverse_sql('NOT correct', 'true_index, predicted_index')}""",
 )
 def diverse_examples(spark, folder):
-    predicted_rows = _predictions(spark, folder)
+    predicted_rows = materialise(_predictions(spark, folder).drop("probs"))
     picked = [runs.diverse_examples(predicted_rows, 60, correct).select("id", "correct", "first_of_kind") for correct in (True, False)]
     return picked[0].unionByName(picked[1])
 
