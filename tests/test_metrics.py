@@ -143,15 +143,17 @@ def test_condition_drop(spark):
     assert {r.condition: r.accuracy_drop_pp for r in sweep.collect()} == {"clean": pytest.approx(0.0), "dark": pytest.approx(20.0)}
 
 
-def test_batch_scorer_and_expressions_agree(spark):
+def test_centroid_scores_equal_a_direct_computation(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, i % 3, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
-    features = spark.createDataFrame(rows, "id bigint, target int, features array<double>")
-    model = scores.centroids(features)
-    weights = np.array([r.centroid for r in model.orderBy("target").collect()])
-    a = {r.id: r.probs for r in scores.centroid_scores(features, model).collect()}
-    b = {r.id: r.probs for r in scores.score_batches(features, scores.cosine_scorer(weights)).collect()}
-    assert all(a[i] == pytest.approx(b[i]) for i in a) and len(b) == 60
+    values = rng.normal(size=(60, 6))
+    rows = [(i, i % 3, [float(x) for x in v]) for i, v in enumerate(values)]
+    features = spark.createDataFrame(rows, "id bigint, target int, features array<double>").repartition(4)
+    found = {r.id: r.probs for r in scores.centroid_scores(features, scores.centroids(features)).collect()}
+    centres = np.array([values[k::3].mean(axis=0) for k in range(3)])
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    z = np.exp(10 * unit @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T)
+    for i in range(60):
+        assert found[i] == pytest.approx(list(z[i] / z[i].sum()))
 
 
 def test_evaluate_builds_every_table(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,29 +16,30 @@ from veriset.functions import vectors
 from veriset.operators import confusion, splits
 from veriset.session import materialise
 
+MAX_LABELS = 10_000
+
 # --- scorers -------------------------------------------------------------------------------
 
 
 def centroids(features: DataFrame, label: str = "target", vector: str = "features") -> DataFrame:
-    """Mean unit vector per label as (label, centroid); only per-dimension sums are shuffled."""
-    sums = (
-        features.select(label, F.posexplode(vector).alias("i", "x"))
-        .groupBy(label, "i")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    )
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda c: c.mean)
-    return sums.groupBy(label).agg(vectors.unit_vector(mean).alias("centroid"))
+    """Mean unit vector per label as (label, centroid); partial sums are combined before the shuffle."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    means = features.groupBy(label).agg(mean.alias("mean"))
+    return means.select(label, vectors.unit_vector(vector_to_array("mean")).alias("centroid"))
 
 
 def centroid_scores(features: DataFrame, model: DataFrame, label: str = "target", vector: str = "features", sharpness: float = 10.0) -> DataFrame:
-    """Add ``probs``: softmax of the cosine to each label's centroid, labels in ascending order.
+    """Replace the vector by ``probs``: softmax of the cosine to each label's centroid, labels ascending.
 
-    The model, one short vector per label, travels as a scalar subquery.
+    The fitted model has one short vector per label. It is read once and shipped with the tasks, where
+    a matrix product per Arrow batch takes the place of labels x dimensions expression steps per row.
     """
-    packed = model.agg(F.transform(F.array_sort(F.collect_list(F.struct(label, "centroid"))), lambda m: m.centroid).alias("m"))
-    scored = features.select("*", packed.scalar().alias("_model")).withColumn("_unit", vectors.unit_vector(F.col(vector)))
-    logits = F.transform("_model", lambda c: vectors.dot(F.col("_unit"), c) * F.lit(sharpness))
-    return scored.withColumn("probs", vectors.softmax(logits)).drop("_model", "_unit")
+    fitted = model.orderBy(label).limit(MAX_LABELS + 1).collect()
+    if len(fitted) > MAX_LABELS:
+        raise ValueError(f"A centroid model may have at most {MAX_LABELS} labels.")
+    weights = np.array([row["centroid"] for row in fitted])
+    others = tuple(c for c in features.columns if c != vector)
+    return score_batches(features, cosine_scorer(weights, sharpness), vector, others)
 
 
 def score_batches(features: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], vector: str = "features", id_columns: tuple[str, ...] = ("id", "target")) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from veriset.functions import vectors
@@ -54,10 +53,8 @@ SELECT id, predicted_index::BIGINT AS predicted_index, round(confidence, 6) AS c
 )
 def score_batches(spark, folder):
     features = derived.half_features(spark, folder, "a")
-    # a fitted model: one short vector per label
-    model = scores.centroids(features.filter("split = 'train'")).orderBy("target").collect()
-    scorer = scores.cosine_scorer(np.array([row.centroid for row in model]))
-    scored = confusion.row_losses(scores.score_batches(features, scorer))
+    scored = scores.centroid_scores(features, scores.centroids(features.filter("split = 'train'")))
+    scored = confusion.row_losses(scored)
     return scores.predictions(scored).select("id", "predicted_index", "confidence", "log_loss", "brier")
 
 
