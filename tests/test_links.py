@@ -178,6 +178,19 @@ def test_exactly_one_lookup(spark):
     assert cleanup.matched(resolved).count() == 1 and cleanup.unmatched(resolved).count() == 3
 
 
+def test_listed_manifest_contract(spark):
+    index = spark.createDataFrame([("a", "f.jpg", "p1"), ("a", "g.jpg", "p2")], "class_name string, file_key string, path string")
+    lists = {
+        "train": spark.createDataFrame([("x/a/F.jpg",), ("x/a/g.JPG",)], "line string"),
+        "test": spark.createDataFrame([("y/a/f.jpg",), ("y/b/q.jpg",)], "line string"),
+    }
+    resolved, contract = audit.listed_manifest(lists, index)
+    assert resolved.count() == 4
+    assert {r.check: r.violations for r in contract.collect()} == {
+        "index_keys_are_unique": 0, "every_line_matches_once": 1, "no_file_listed_twice": 1,
+    }
+
+
 def test_object_resolution(spark):
     records = spark.createDataFrame([(i, c) for i, c in enumerate(["k", "k", "k", "k", "k"])], "id int, class string")
     records = records.withColumn("identifier", F.col("id").cast("string"))

@@ -152,6 +152,10 @@ def test_checks(spark):
     with pytest.raises(checks.ContractError, match="missing"):
         checks.require_columns(df, {"id", "missing"})
     assert checks.check_count("n", df, 4).first().passed
+    summary = spark.createDataFrame([("train", 1), ("validation", 2)], "split string, records bigint")
+    assert {r.split for r in checks.summary_mismatches(df, summary).collect()} == {"validation", "test", "dev"}
+    overlaps = spark.createDataFrame([(0, 3)], "leaf_overlap int, path_overlap int")
+    assert [r.field for r in checks.nonzero_fields(overlaps, ["leaf_overlap", "path_overlap"]).collect()] == ["path_overlap"]
     gaps = spark.createDataFrame([(0,), (2,)], "class_index int")
     assert checks.index_gaps(gaps).count() == 1
     assert profile.repeated_keys(df, "class").count() == 2

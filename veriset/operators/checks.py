@@ -83,6 +83,26 @@ def unexpected_splits(records: DataFrame, splits: tuple[str, ...] = SPLITS) -> D
     )
 
 
+def summary_mismatches(records: DataFrame, summary: DataFrame) -> DataFrame:
+    """Splits whose record count differs from a summary table (``split``, ``records``)."""
+    actual = records.groupBy("split").agg(F.count("*").alias("actual"))
+    return summary.join(actual, "split", "full").filter(~F.col("records").eqNullSafe(F.col("actual")))
+
+
+def nonzero_fields(summary: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields of a one-row summary that should be zero and are not (or are missing)."""
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("value")) for f in fields])
+    return summary.select(F.explode(listed).alias("f")).select("f.*").filter(~F.col("value").eqNullSafe(F.lit(0)))
+
+
+def leakage_status(checks: DataFrame, coverage: DataFrame, full_coverage: float = 0.95) -> DataFrame:
+    """PASS, WARN or FAIL per kind of leakage; near duplicates and thin metadata only warn."""
+    found = F.when(F.col("check") == "near_duplicates", "WARN").otherwise("FAIL")
+    rows = checks.select("check", F.when(F.col("violations") == 0, "PASS").otherwise(found).alias("status"))
+    thin = F.when(F.col("coverage") < full_coverage, "WARN").otherwise("PASS").alias("status")
+    return rows.unionByName(coverage.select(F.lit("object_coverage").alias("check"), thin))
+
+
 def index_gaps(classes: DataFrame) -> DataFrame:
     """Class indices that are not exactly 0..n-1."""
     n = classes.agg(F.count_distinct("class_index").alias("n"))

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,26 @@ class AuditTables:
     object_groups: DataFrame
     coverage: DataFrame
     checks: DataFrame
+    status: DataFrame
+
+
+def listed_manifest(lists: dict[str, DataFrame], index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolve the split lists (``line``) against the index of local files (``class_name``, ``file_key``, ``path``).
+
+    Returns the resolved rows, one per listed line with ``local_match_count``, and the contract: index keys
+    do not repeat, every line has exactly one match, and no file is listed twice or in two splits.
+    """
+    parsed = [cleanup.parsed_list(df).withColumn("split", F.lit(name)) for name, df in lists.items()]
+    keys = ["class_name", "file_key"]
+    resolved = materialise(cleanup.resolve_once(reduce(DataFrame.unionByName, parsed), index, keys, ["path"]))
+    contract = checks.all_checks(
+        [
+            checks.check("index_keys_are_unique", profile.repeated_keys(index, *keys)),
+            checks.check("every_line_matches_once", cleanup.unmatched(resolved)),
+            checks.check("no_file_listed_twice", profile.repeated_keys(cleanup.matched(resolved), "path")),
+        ]
+    )
+    return resolved, contract
 
 
 def leakage_audit(records: DataFrame, threshold: int = 4) -> AuditTables:
@@ -31,20 +52,23 @@ def leakage_audit(records: DataFrame, threshold: int = 4) -> AuditTables:
     node_pairs = materialise(links.near_node_pairs(records, threshold))
     exact = links.exact_node_pairs(records)
     objects = links.cross_split_groups(records, "object")
+    coverage = profile.coverage(records)
+    found = checks.all_checks(
+        [
+            checks.check("exact_duplicates", exact),
+            checks.check("same_object", objects),
+            checks.check("near_duplicates", node_pairs),
+        ]
+    )
     return AuditTables(
         exact_groups=links.group_members(records, links.cross_split_groups(records, "digest"), "digest"),
         exact_pairs=links.exact_pairs(records),
         near_node_pairs=node_pairs,
         near_pairs=links.near_pairs(records, node_pairs),
         object_groups=links.group_members(records, objects, "object"),
-        coverage=profile.coverage(records),
-        checks=checks.all_checks(
-            [
-                checks.check("exact_duplicates", exact),
-                checks.check("same_object", objects),
-                checks.check("near_duplicates", node_pairs),
-            ]
-        ),
+        coverage=coverage,
+        checks=found,
+        status=checks.leakage_status(found, coverage),
     )
 
 

@@ -637,6 +637,15 @@ def integrity_verdict(spark, folder):
     return checks.verdict(audit.leakage_audit(derived.fingerprints(spark, folder)).checks)
 
 
+@query(
+    "audit_status",
+    f"""{_VERDICT_CHECKS} SELECT "check", CASE WHEN violations = 0 THEN 'PASS' WHEN "check" = 'near_duplicates' THEN 'WARN' ELSE 'FAIL' END AS status FROM v
+UNION ALL SELECT 'object_coverage', CASE WHEN count(object) / count(*) < 0.95 THEN 'WARN' ELSE 'PASS' END FROM docs""",
+)
+def audit_status(spark, folder):
+    return audit.leakage_audit(derived.fingerprints(spark, folder)).status
+
+
 @query(
     "quarantine_checks",
     f"""WITH {FDOCS}, {near(4)}, {_GONE}, kept AS (SELECT * FROM docs WHERE id NOT IN (SELECT id FROM gone)), v AS (
@@ -651,6 +660,29 @@ def quarantine_checks(spark, folder):
     return contract
 
 
+@query(
+    "listed_manifest_checks",
+    """WITH lines AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS line FROM pages),
+keyed AS (SELECT page_id, p[-2] AS c, lower(p[-1]) AS f FROM (SELECT page_id, string_split(trim(replace(line, '\\', '/'), '/'), '/') AS p FROM lines)),
+idx AS (SELECT c, f, count(*) AS n, min(page_id) AS path FROM keyed GROUP BY 1, 2),
+res AS (SELECT k.page_id, coalesce(n, 0) AS n, path FROM keyed k LEFT JOIN idx USING (c, f)), v AS (
+SELECT 'index_keys_are_unique' AS "check", (SELECT count(*) FROM idx WHERE n > 1) AS violations
+UNION ALL SELECT 'every_line_matches_once', (SELECT count(*) FROM res WHERE n <> 1)
+UNION ALL SELECT 'no_file_listed_twice', (SELECT count(*) FROM (SELECT path FROM res WHERE n = 1 GROUP BY path HAVING count(*) > 1)))
+SELECT "check", violations, violations = 0 AS passed FROM v""",
+)
+def listed_manifest_checks(spark, folder):
+    pages = derived.table(spark, folder, "pages").select(
+        F.regexp_replace("url", "[?#].*$", "").alias("line"), F.col("page_id").alias("path"), derived.split_of(F.col("page_id")).alias("split")
+    )
+    index = pages.select(
+        names.listed_class(F.col("line")).alias("class_name"), F.lower(names.listed_file(F.col("line"))).alias("file_key"), "path"
+    )
+    lists = {s: pages.filter(F.col("split") == s).select("line") for s in profile.SPLITS}
+    _, contract = audit.listed_manifest(lists, index)
+    return contract
+
+
 @query(
     "mapping_equality",
     """WITH t AS (SELECT DISTINCT o_orderpriority AS class_name, o_orderstatus FROM orders),

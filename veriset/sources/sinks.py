@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from veriset.operators import confusion
 
 
+REPORT_ORDER = {
+    "manifest": ["split", "class", "id"],
+    "near_pairs": ["distance", "class", "id_a", "id_b"],
+    "review": ["involves_unmapped DESC", "embedding_cosine DESC", "correlation DESC"],
+    "class_report": ["f1", "support"],
+    "quarantine": ["removed_split", "removed_id", "protected_split", "protected_id"],
+}
+
+
+def _sort_key(term: str) -> Column:
+    name, _, direction = term.partition(" ")
+    return F.desc(name) if direction == "DESC" else F.asc(name)
+
+
 def flat_columns(df: DataFrame, separator: str = "|") -> DataFrame:
     """Arrays joined to text, for formats without nested types."""
     return df.select(
@@ -26,8 +40,10 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    flat_columns(df).write.mode(mode).csv(path, header=True)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", order_by: list[str] | None = None) -> None:
+    """CSV export, sorted only when an order is asked for; ``REPORT_ORDER`` names the usual ones."""
+    ordered = df.orderBy(*map(_sort_key, order_by)) if order_by else df
+    flat_columns(ordered).write.mode(mode).csv(path, header=True)
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
