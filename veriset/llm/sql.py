@@ -25,11 +25,13 @@ WITH cut AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?\n \t\r]*|[.!?\n \t\r]+')) AS line,
     generate_subscripts(regexp_extract_all(text, '[^.!?\n]+[.!?\n \t\r]*|[.!?\n \t\r]+'), 1) AS i
   FROM documents),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM cut),
-rolled AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4 = 0 OR regexp_matches(line, '[.!?][ \t\r]*\n') AS stop FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, regexp_matches(line, '[.!?][ \t\r]*\n') AS ends FROM cut),
+rolled AS (SELECT *, ends OR (coalesce(lag(CASE WHEN ends THEN 0 ELSE h END) OVER w, 0) * 31 + h) % 4 = 0 AS stop FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM rolled),
 chunks AS (SELECT doc_id, no, string_agg(line, '' ORDER BY i) AS chunk, count(*) AS n FROM numbered GROUP BY doc_id, no),
-ranked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, chunk ORDER BY doc_id, no) > 1 AS gone FROM chunks)
+repeated AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS again FROM chunks),
+ranked AS (SELECT *, again AND (n > 1 OR coalesce(lag(again) OVER w, false) OR coalesce(lead(again) OVER w, false)) AS gone
+  FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY no))
 SELECT d.doc_id, count(r.no) AS n_chunks, count(r.no) FILTER (WHERE gone) AS n_removed, coalesce(sum(length(chunk)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
   sha256(coalesce(string_agg(chunk, '' ORDER BY no) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id GROUP BY d.doc_id

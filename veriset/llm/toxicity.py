@@ -3,7 +3,7 @@
 A document is toxic if one of its sentences is. A sentence has the score sigmoid(bias + sum of its words' weights), a
 document the noisy-or of its sentences, 1 - prod(1 - score). Only documents are labelled; the gradient of the document's
 loss reaches the sentences through the noisy-or, and afterwards the sentence scores show where the offence is.
-A word's weight is the sum over hashed features: the word and its character n-grams.
+A word's weight is the sum over hashed features: the word, its beginnings, which stand for stems, and its n-grams.
 """
 
 from __future__ import annotations
@@ -25,9 +25,14 @@ FIT_ROWS = 6_000
 FIT_BYTES = 48 * 2**20
 DIMENSIONS = 1 << 18
 EPOCHS = 120
-RATE = 0.08
-DECAY = 1e-6
-GRAMS = (4, 5)
+RATE = 1.0
+MOMENTUM = 0.8
+BIAS_SHARE = 0.5
+#: Features in fewer fitted documents have no weight; SPARSE is the penalty on a weight's size.
+LEAST_DOCUMENTS = 3
+SPARSE = 3e-4
+STEMS = (4, 5, 6, 7, 8)
+GRAMS: tuple[int, ...] = ()
 START_BIAS = -6.0
 #: Words whose weights are remembered while scoring; the store is emptied when full.
 REMEMBERED = 300_000
@@ -41,12 +46,12 @@ def sentences(text: str) -> Iterator[re.Match]:
 
 
 def features(word: str, dimensions: int = DIMENSIONS) -> list[int]:
-    """Hashed features of a lower-cased word: itself and its n-grams, with marks at both ends."""
+    """Hashed features of a lower-cased word: itself, its beginnings and n-grams, with marks at both ends."""
     bare = word.strip(_EDGES)
     if not bare:
         return []
     marked = f"<{bare}>"
-    parts = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    parts = {marked} | {marked[: n + 1] for n in STEMS if n < len(bare)} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
     return sorted({xxhash.xxh32_intdigest(p.encode()) % dimensions for p in parts})
 
 
@@ -79,7 +84,7 @@ def _segments(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def fit_noisy_or(bag: _Bag, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the documents' log loss."""
+    """Weights and bias by full-batch gradient steps on the documents' log loss."""
     weights, bias = np.zeros(dimensions), START_BIAS
     labels = np.asarray(bag.labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
@@ -92,8 +97,16 @@ def fit_noisy_or(bag: _Bag, dimensions: int = DIMENSIONS, epochs: int = EPOCHS,
     sentence_of = np.repeat(np.arange(len(s_ends)), np.diff(np.concatenate(([0], s_ends))))
     document_of = np.repeat(np.arange(len(d_ends)), np.diff(np.concatenate(([0], d_ends))))
     balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    slope, square = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
-    for step in range(1, epochs + 1):
+    # Features by the documents that hold them: what is seen too seldom is left out.
+    holding = np.unique(np.stack([document_of[sentence_of], words], 1), axis=0)[:, 1]
+    documents = np.bincount(flat, np.bincount(holding, minlength=len(lists))[owner], dimensions)
+    used = documents >= LEAST_DOCUMENTS
+    keep = used[flat]
+    flat, owner = flat[keep], owner[keep]
+    feature_ends = np.cumsum(np.bincount(owner, minlength=len(lists)))
+    pace = rate / (documents / len(labels) + 0.01)  # common features take shorter steps
+    slope = np.zeros(dimensions + 1)
+    for _ in range(epochs):
         per_word = _segments(weights[flat], feature_ends)
         z = bias + _segments(per_word[words], s_ends)
         log_none = _segments(-np.logaddexp(0, z), d_ends)  # log of the probability that no sentence offends
@@ -103,11 +116,11 @@ def fit_noisy_or(bag: _Bag, dimensions: int = DIMENSIONS, epochs: int = EPOCHS,
         pull = np.where(labels > 0, -np.exp(log_none) / some, 1.0) * balance / len(labels)
         dz = p * pull[document_of]
         dword = np.bincount(words, dz[sentence_of], len(lists))
-        grad = np.append(np.bincount(flat, dword[owner], dimensions) + DECAY * weights, dz.sum())
-        slope = 0.9 * slope + 0.1 * grad
-        square = 0.999 * square + 0.001 * grad**2
-        move = rate * (slope / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        weights, bias = weights - move[:-1], bias - move[-1]
+        grad = np.append(np.bincount(flat, dword[owner], dimensions), dz.sum())
+        slope = MOMENTUM * slope + grad
+        # No word excuses another: weights stay at zero or above. The penalty leaves weight to features that many documents ask for.
+        weights = np.maximum(weights - pace * (slope[:-1] + SPARSE), 0.0)
+        bias -= rate * slope[-1] * BIAS_SHARE
     return weights, float(bias)
 
 
@@ -132,6 +145,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: st
 
     row = sample.coalesce(1).mapInArrow(learn, "at array<int>, w array<double>, bias double").first()
     weights = np.zeros(DIMENSIONS, np.float32)
+    if row is None:  # no partition at all
+        return weights, START_BIAS
     weights[np.asarray(row["at"], np.int64)] = row["w"]
     return weights, row["bias"]
 
