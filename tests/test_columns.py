@@ -81,9 +81,11 @@ def test_hamming_counts_the_sign_bit(spark):
     assert one(spark, vectors.hamming64(F.lit(-(2**63)), F.lit(1))) == 2
 
 
-def test_band_layouts():
-    assert [size for _, size in vectors.band_layout(5)] == [13, 13, 13, 13, 12]
-    assert [size for _, size in vectors.band_layout(9)] == [8] + [7] * 8
+@pytest.mark.parametrize("count", [1, 5, 9, 64])
+def test_shares_cover_all_bits_evenly(count):
+    cut = vectors.shares(64, count)
+    assert [bit for share in cut for bit in share] == list(range(64))
+    assert len(cut) == count and max(map(len, cut)) - min(map(len, cut)) <= 1
 
 
 @pytest.mark.parametrize("bands, threshold", [(5, 4), (6, 4), (9, 8), (10, 8)])

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriset.functions.vectors import signed64
-from veriset.operators import cleanup, components, links, neighbours, profile
+from veriset.operators import cleanup, components, links, neighbours, profile, review
+from veriset.operators.checks import ContractError
 from veriset.plans import audit
 
 SPLITS = ["train", "validation", "test"]
@@ -49,46 +50,69 @@ def distance(a, b):
     return bin((a[5] ^ b[5]) & (2**64 - 1)).count("1")
 
 
-@pytest.mark.parametrize("limit", [10, 4096, 10**9])
-def test_exact_pairs_are_whole_for_every_expand_limit(records, limit):
-    rows = random_records()
-    expected = brute(rows, lambda a, b: a[3] == b[3])
-    found = links.exact_pairs(records, expand_limit=limit).collect()
-    assert sum(r.pairs for r in found) == len(expected)
-    listed = [(r.id_a, r.id_b) for r in found if r.pairs == 1]
-    assert len(listed) == len(set(listed)) and set(listed) <= expected
-    if limit == 10**9:
-        assert set(listed) == expected
-    assert sum(r.pairs for r in links.exact_pair_totals(records).collect()) == len(expected)
+def counted(pairs, key):
+    """Record pairs of brute force as (key of the pair of nodes) -> number."""
+    found = {}
+    for a, b in pairs:
+        found[key(a, b)] = found.get(key(a, b), 0) + 1
+    return found
 
 
-def test_group_members_are_complete_in_bounded_rows(records):
-    groups = links.cross_split_groups(records, "digest")
-    members = links.group_members(records, groups, "digest", per_row=20).collect()
+def test_exact_pairs_and_members_equal_brute_force(records):
     rows = random_records()
-    hot = sorted(r[0] for r in rows if r[3] == "hot")
-    assert sorted(i for m in members if m.digest == "hot" for i in m.ids) == hot
-    assert max(len(m.ids) for m in members) < 60
+    by_id = {r[0]: r for r in rows}
+    expected = counted(brute(rows, lambda a, b: a[3] == b[3]), lambda a, b: (by_id[a][3], *sorted((by_id[a][2], by_id[b][2]))))
+    found = links.exact_pairs(records).collect()
+    assert {(r.digest, r.split_a, r.split_b): r.pairs for r in found} == expected and len(found) == len(expected)
+    assert sum(r.pairs for r in links.exact_pair_totals(records).collect()) == sum(expected.values())
+    groups = links.cross_split_groups(records, "digest")
+    members = links.group_members(records, groups, "digest").collect()
+    assert sorted(r.id for r in members) == sorted({i for p in brute(rows, lambda a, b: a[3] == b[3]) for i in p})
 
 
 @pytest.mark.parametrize("threshold, bands, bucket_limit", [(4, None, 20_000), (4, 6, 20_000), (8, None, 20_000), (4, 5, 3), (8, 9, 3), (8, 10, 2)])
 def test_near_pairs_equal_brute_force(records, threshold, bands, bucket_limit):
     rows = random_records()
-    expected = brute(rows, lambda a, b: a[1] == b[1] and distance(a, b) <= threshold)
+    by_id = {r[0]: r for r in rows}
+    pairs = brute(rows, lambda a, b: a[1] == b[1] and distance(a, b) <= threshold)
+
+    def key(a, b):
+        return (by_id[a][1], distance(by_id[a], by_id[b]), *sorted(((by_id[i][2], by_id[i][5]) for i in (a, b))))
+
     nodes = links.near_node_pairs(records, threshold, bands, bucket_limit)
-    found = links.near_pairs(records, nodes, expand_limit=10**9).collect()
-    assert {(r.id_a, r.id_b) for r in found} == expected and len(found) == len(expected)
+    found = nodes.collect()
+    assert {(r["class"], r.distance, (r.split_a, r.fp_a), (r.split_b, r.fp_b)): r.pairs for r in found} == counted(pairs, key)
+    assert len(found) == len(counted(pairs, key))
+    assert {r.id for r in links.linked_ids(records, nodes).collect()} == {i for p in pairs for i in p}
+
+
+def test_a_large_node_is_whole_in_ids_log_and_summary(spark):
+    """200 x 200 copies of one fingerprint: 40,000 record pairs stand in one row, and every record is accounted for."""
+    rng = random.Random(11)
+    rows = [(i, "a", "train" if i < 200 else "test", f"d{i}", None if rng.random() < 0.5 else f"o{rng.randrange(20)}", 77, [i % 3, 5]) for i in range(400)]
+    rows += [(500, "a", "validation", "v", "o1", 78, [1, 5])]
+    records = spark.createDataFrame(rows, f"{SCHEMA}, grid array<int>")
+    nodes = links.near_node_pairs(records, 4)
+    pairs = brute(rows, lambda a, b: distance(a, b) <= 4)
+    assert nodes.count() == 3 and nodes.agg(F.sum("pairs")).first()[0] == len(pairs) == 40_400
+    assert {r.id for r in links.linked_ids(records, nodes).collect()} == {r[0] for r in rows}
+    cleaned, log, _ = audit.quarantined_manifest(records)
+    gone = cleanup.quarantined_records(records, cleanup.quarantined_nodes(nodes))
+    assert {r.id for r in gone.collect()} == set(range(200)) | {500} == {r[0] for r in rows} - {r.id for r in cleaned.collect()}
+    assert log.agg(F.sum("pairs")).first()[0] == len(pairs)
+    described = review.content_pairs(nodes, records, "grid").withColumns({"embedding_cosine": F.lit(0.5), "mae": F.lit(0.5), "correlation": F.lit(0.5)})
+    summary = review.review_summary(review.flagged_pairs(described), review.same_object_pairs(nodes, records)).first()
     by_id = {r[0]: r for r in rows}
-    assert all(distance(by_id[r.id_a], by_id[r.id_b]) == r.distance for r in found)
-    folded = links.near_pairs(records, nodes, expand_limit=50).collect()
-    assert sum(r.pairs for r in folded) == len(expected)
+    unmapped = [(a, b) for a, b in pairs if by_id[a][4] is None or by_id[b][4] is None]
+    same = [(a, b) for a, b in pairs if by_id[a][4] is not None and by_id[a][4] == by_id[b][4]]
+    assert (summary.pairs, summary.unmapped_pairs, summary.mapped_pairs, summary.mapped_same_object) == (len(pairs), len(unmapped), len(pairs) - len(unmapped), len(same))
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_near_pairs_do_not_depend_on_partitioning(spark, records, partitions):
     moved = records.repartition(partitions)
-    found = links.near_pairs(moved, links.near_node_pairs(moved, 4)).agg(F.sum("pairs"), F.sum("distance")).first()
-    base = links.near_pairs(records, links.near_node_pairs(records, 4)).agg(F.sum("pairs"), F.sum("distance")).first()
+    found = links.near_node_pairs(moved, 4).agg(F.sum("pairs"), F.sum("distance")).first()
+    base = links.near_node_pairs(records, 4).agg(F.sum("pairs"), F.sum("distance")).first()
     assert found == base
 
 
@@ -159,6 +183,32 @@ def test_listed_pairs_log_each_pair_but_remove_each_record_once(spark):
     assert cleanup.surviving_listed(pairs, cleaned).count() == 0
     bad = spark.createDataFrame([(1, "t1", "t2"), (1, "t1", "nowhere")], "distance int, id_a string, id_b string")
     assert cleanup.misplaced_pairs(cleanup.located_pairs(bad, manifest)).count() == 2
+    with pytest.raises(ContractError, match="two_known_splits"):
+        cleanup.quarantine_listed(bad, manifest)
+
+
+def test_records_without_a_digest_stay_in_the_components(spark):
+    rows = [(1, "a", "train", None, None, None), (2, "a", "test", None, None, None), (3, "a", "test", "x", None, None)]
+    found = components.record_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.id, r.component) for r in found} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_safe_manifest_refuses_a_third_split(spark):
+    rows = [(1, "a", "train", "x", None, None), (2, "a", "validation", "y", None, None), (3, "a", "test", "z", None, None)]
+    with pytest.raises(ContractError, match="only_train_and_test"):
+        audit.leakage_safe_manifest(spark.createDataFrame(rows, SCHEMA), 0.5)
+
+
+def test_component_split_keeps_components_whole(spark):
+    rng = random.Random(9)
+    rows = [(i, "ab"[i % 2], "train", f"d{i % 2}{rng.randrange(60)}", None, None) for i in range(300)]
+    placed = audit.component_split(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.id for r in placed) == list(range(300))
+    assert all(len({r.split for r in placed if r.component == c}) == 1 for c in {r.component for r in placed})
+    assert {r.split for r in placed} == set(SPLITS)
+    mixed = [(1, "a", "train", "x", None, None), (2, "b", "train", "x", None, None)]
+    with pytest.raises(ContractError, match="one_class"):
+        audit.component_split(spark.createDataFrame(mixed, SCHEMA))
 
 
 def test_null_objects_never_collide(spark):
@@ -231,6 +281,6 @@ def test_nearest_neighbours_equal_brute_force(spark, block_rows, direct_limit):
 def test_empty_results_keep_their_columns(spark):
     rows = [(1, "a", "train", "x", None, 5), (2, "a", "train", "x", None, 5)]
     records = spark.createDataFrame(rows, SCHEMA)
-    assert links.exact_pairs(records).collect() == [] and "id_a" in links.exact_pairs(records).columns
-    assert links.near_pairs(records, links.near_node_pairs(records, 4)).count() == 0
+    assert links.exact_pairs(records).collect() == [] and "first_id_a" in links.exact_pairs(records).columns
+    assert links.near_node_pairs(records, 4).count() == 0
     assert profile.missing_class_splits(records).count() == 2

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriset.functions.names import hash60
+from veriset.operators.checks import ContractError
 from veriset.operators import checks, prefix, profile, splits
 
 
@@ -132,6 +133,8 @@ def test_balanced_sample_and_shortage(spark):
     df = spark.createDataFrame(rows, "id bigint, class string")
     assert Counter(r["class"] for r in splits.balanced_sample(df, 5).collect()) == {"a": 5, "b": 5}
     assert [r["class"] for r in splits.short_classes(df, 6).collect()] == ["b"]
+    with pytest.raises(ContractError, match="enough_records"):
+        splits.balanced_sample(df, 6)
 
 
 def test_permutation_keeps_the_label_counts(spark):

@@ -30,12 +30,13 @@ def strip_whitespace(text: Column) -> Column:
 
 
 def object_identifier(filename: Column) -> Column:
-    """Identifier of the photographed object, as the metadata map spells it."""
-    value = F.replace(filename, F.lit("_final_masked"), F.lit(""))
-    value = F.substring_index(value, "___", -1)
-    value = F.substring_index(value, "copy", 1)
-    value = F.regexp_replace(value, r"\.(jpg|JPG|jpeg|JPEG|png|PNG)", "")
-    return F.lower(strip_whitespace(value))
+    """Identifier of the photographed object, as the metadata map spells it.
+
+    It stands after the last ``___`` and before the first ``copy``, without mask marks and image extensions.
+    """
+    unmasked = F.replace(filename, F.lit("_final_masked"), F.lit(""))
+    core = F.regexp_extract(unmasked, r"(?s)^(?:.*___)?(.*?)(?:copy.*)?$", 1)
+    return F.lower(strip_whitespace(F.regexp_replace(core, r"\.(?:jpe?g|JPE?G|png|PNG)", "")))
 
 
 def path_parts(path: Column) -> Column:
@@ -53,10 +54,6 @@ def listed_file(path: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.element_at(parts, -1))
 
 
-def local_key(class_name: Column, filename: Column) -> Column:
-    return F.struct(class_name.alias("class_name"), F.lower(filename).alias("file_key"))
-
-
 def split_pair(a: Column, b: Column) -> Column:
     return F.concat_ws("--", F.least(a, b), F.greatest(a, b))
 
@@ -87,13 +84,11 @@ def file_extension(path: Column) -> Column:
 
 
 def safe_filename(name: Column, source_path: Column) -> Column:
-    """Name that every file system accepts, made unique by ten hex digits of the source path's SHA-1."""
-    cleaned = F.regexp_replace(name, r'[<>:"/\\|?*]', "_")
-    cleaned = F.regexp_replace(cleaned, r"[ .]+$", "")
-    cleaned = F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("image"))
-    suffix = F.regexp_extract(cleaned, r"^.+(\.[^.]+)$", 1)
-    stem = F.left(cleaned, F.length(cleaned) - F.length(suffix))
-    return F.concat(stem, F.lit("__"), F.left(F.sha1(source_path), F.lit(10)), suffix)
+    """Name that every file system accepts; ten hex digits of the source path's SHA-1 before the extension make it unique."""
+    allowed = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"[ .]+$", "")
+    named = F.when(allowed == "", F.lit("image")).otherwise(F.coalesce(allowed, F.lit("image")))
+    digits = F.concat(F.lit("$1__"), F.left(F.sha1(source_path), F.lit(10)), F.lit("$2"))
+    return F.regexp_replace(named, r"(?s)^(.+?)(\.[^.]+)?$", digits)
 
 
 def percent_encoded(path: Column) -> Column:

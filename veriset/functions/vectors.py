@@ -157,35 +157,26 @@ def hamming64(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_layout(count: int) -> list[tuple[int, int]]:
-    """(shift, size) of ``count`` disjoint bands over 64 bits; the first bands take the remainder."""
-    if not 1 <= count <= 64:
-        raise ValueError("The number of bands must lie in 1..64.")
-    base, extra = divmod(64, count)
-    layout, shift = [], 0
-    for index in range(count):
-        size = base + (index < extra)
-        layout.append((shift, size))
-        shift += size
-    return layout
+def shares(total: int, count: int) -> list[range]:
+    """Cut 0 .. total into ``count`` neighbouring ranges whose lengths differ by one at most."""
+    if not 1 <= count <= max(total, 1):
+        raise ValueError(f"{total} places cannot be cut into {count} shares.")
+    edges = [total * i // count for i in range(count + 1)]
+    return [range(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def signed64(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
 def hash_bands(value: Column, count: int) -> Column:
-    """Array of (band, size, value) used as exact-match keys."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(band).alias("band"),
-                F.lit(size).alias("size"),
-                F.shiftrightunsigned(value.cast("bigint"), shift).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1)).alias("value"),
-            )
-            for band, (shift, size) in enumerate(band_layout(count))
-        ]
-    )
+    """Array of (band, size, value): the bits of each of ``count`` bands, as exact-match keys."""
 
+    def key(number: int, band: range) -> Column:
+        bits = F.shiftrightunsigned(value.cast("bigint"), band.start).bitwiseAND(F.lit(signed64((1 << len(band)) - 1)))
+        return F.struct(F.lit(number).alias("band"), F.lit(len(band)).alias("size"), bits.alias("value"))
 
-def signed64(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+    return F.array(*[key(i, band) for i, band in enumerate(shares(64, count))])
 
 
 def band_masks(count: int, kept: int) -> list[int]:
@@ -193,20 +184,15 @@ def band_masks(count: int, kept: int) -> list[int]:
 
     Two hashes that differ in at most ``count - kept`` bits agree on at least one of these masks.
     """
-    single = [((1 << size) - 1) << shift for shift, size in band_layout(count)]
-    return [signed64(sum(chosen)) for chosen in combinations(single, kept)]
+    bands = [sum(1 << bit for bit in share) for share in shares(64, count)]
+    return [signed64(sum(chosen)) for chosen in combinations(bands, kept)]
 
 
 def sub_masks(mask: int, count: int) -> list[int]:
     """Masks that add to ``mask`` one of ``count`` equal shares of the bits it leaves out."""
-    free = [bit for bit in range(64) if not (mask >> bit) & 1]
-    base, extra = divmod(len(free), count)
-    masks, at = [], 0
-    for index in range(count):
-        size = base + (index < extra)
-        masks.append(signed64((mask & (2**64 - 1)) | sum(1 << b for b in free[at : at + size])))
-        at += size
-    return masks
+    whole = mask % (1 << 64)
+    free = [1 << bit for bit in range(64) if not whole & 1 << bit]
+    return [signed64(whole + sum(free[i] for i in share)) for share in shares(len(free), count)]
 
 
 # --- pixel vectors -------------------------------------------------------------------------
@@ -230,15 +216,16 @@ def rounded_mean(px: Column) -> Column:
     return F.floor(total / F.size(px) + 0.5).cast("double")
 
 
-def centre_box(width: int, height: int, fraction: float) -> tuple[int, int, int, int]:
-    box_w, box_h = int(width * fraction), int(height * fraction)
-    left, top = (width - box_w) // 2, (height - box_h) // 2
-    return left, top, left + box_w, top + box_h
+def centred(length: int, fraction: float) -> tuple[int, int]:
+    """First place inside and first place behind the middle ``fraction`` of an axis, in whole pixels."""
+    inside = int(length * fraction)
+    start = (length - inside) // 2
+    return start, start + inside
 
 
 def occlude_centre(px: Column, width: int, height: int, fraction: float = 0.6, fill: float = 128.0) -> Column:
     """Fill the central box; its right and bottom edges are included."""
-    left, top, right, bottom = centre_box(width, height, fraction)
+    (left, right), (top, bottom) = centred(width, fraction), centred(height, fraction)
 
     def value(x, i):
         row, col = F.floor(i / width), i % width
@@ -249,7 +236,7 @@ def occlude_centre(px: Column, width: int, height: int, fraction: float = 0.6, f
 
 def occlude_border(px: Column, width: int, height: int, keep: float = 0.6, fill: float = 128.0) -> Column:
     """Keep only the central box; its right and bottom edges are excluded."""
-    left, top, right, bottom = centre_box(width, height, keep)
+    (left, right), (top, bottom) = centred(width, keep), centred(height, keep)
 
     def value(x, i):
         row, col = F.floor(i / width), i % width

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions.names import listed_class, listed_file
+from veriset.operators.checks import check, enforce
+from veriset.session import materialise
 
-# Removal priority: the side with the lower number goes. The locked test split is never touched.
+# Fixed values of the removal reports. Priority: the side with the lower number goes. The locked test split is never touched.
 SPLIT_PRIORITY = {"train": 0, "validation": 1, "test": 2}
 
 
@@ -107,9 +109,16 @@ def _sided(pairs: DataFrame, columns: list[str]) -> list:
     return picks
 
 
-def quarantine_log(pairs: DataFrame, reason: str = "strict_cross_split_dhash_quarantine") -> DataFrame:
-    """One row per strict pair: which side goes and which split it protects."""
-    return pairs.select("distance", *_sided(pairs, ["id", "split"]), "pairs", F.lit(reason).alias("reason"))
+# Fixed value of the removal reports.
+QUARANTINE_REASON = "strict_cross_split_dhash_quarantine"
+
+
+def quarantine_log(node_pairs: DataFrame, reason: str = QUARANTINE_REASON) -> DataFrame:
+    """One row per strict pair of nodes: which side goes, which split it protects, and how many record pairs that is.
+
+    The removed records are those of ``quarantined_records`` for the same pairs.
+    """
+    return node_pairs.select("class", "distance", *_sided(node_pairs, ["fp", "split", "copies", "first_id"]), "pairs", F.lit(reason).alias("reason"))
 
 
 def quarantined_nodes(node_pairs: DataFrame) -> DataFrame:
@@ -152,10 +161,14 @@ def misplaced_pairs(located: DataFrame) -> DataFrame:
     )
 
 
-def quarantine_listed(pair_paths: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log and cleaned manifest for a supplied pair table (``distance``, ``id_a``, ``id_b``)."""
-    located = located_pairs(pair_paths.withColumn("pairs", F.lit(1).cast("bigint")), manifest)
-    log = quarantine_log(located.filter(F.col("split_a") != F.col("split_b")))
+def quarantine_listed(pair_paths: DataFrame, manifest: DataFrame, reason: str = QUARANTINE_REASON) -> tuple[DataFrame, DataFrame]:
+    """Log and cleaned manifest for a supplied pair table (``distance``, ``id_a``, ``id_b``).
+
+    A pair that names an unknown record or lies inside one split fails the call.
+    """
+    located = materialise(located_pairs(pair_paths, manifest))
+    enforce(check("pairs_cross_two_known_splits", misplaced_pairs(located)))
+    log = located.select("distance", *_sided(located, ["id", "split"]), F.lit(reason).alias("reason"))
     return log, manifest.join(log.select(F.col("removed_id").alias("id")).distinct(), "id", "left_anti")
 
 

@@ -64,10 +64,10 @@ def record_components(records: DataFrame, threshold: int = 4, near_edges: bool =
 
     Copies are folded into their smallest id before any edge is built.
     """
-    smallest = records.groupBy("digest").agg(F.min("id").alias("rep"))
-    placed = materialise(
-        records.select("id", "class", "split", "digest", "object", "fp").join(smallest, "digest")
-    )
+    smallest = records.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
+    # A record without a digest is no copy of another and stands for itself.
+    joined = records.select("id", "class", "split", "digest", "object", "fp").join(smallest, "digest", "left")
+    placed = materialise(joined.withColumn("rep", F.coalesce("rep", "id")))
     folded = placed.select("rep", "class", "object", "fp").distinct()
     edges = _stars(folded.filter(F.col("object").isNotNull()).select("rep", "object").distinct(), ["object"])
     if near_edges:

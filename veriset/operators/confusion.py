@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriset.functions import vectors
+from veriset.operators.checks import check, enforce
 
 
 def cells(predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -175,7 +176,11 @@ def condition_sweep(predicted: DataFrame, labels: int, baseline: str = "clean")
 
 
 def mapped_targets(records: DataFrame, mapping: DataFrame, classes: DataFrame) -> DataFrame:
-    """Records of a foreign label set with the target class their label maps to."""
+    """Records of a foreign label set with the target class their label maps to.
+
+    A mapping to a class that does not exist fails the call.
+    """
+    enforce(check("mapped_classes_exist", unknown_targets(mapping, classes)))
     known = mapping.join(classes.select(F.col("class_name").alias("target_class"), F.col("class_index").alias("target")), "target_class")
     return records.join(known, "source_class")
 

@@ -1,11 +1,9 @@
 """Exact and near duplicates that cross splits.
 
-Copies are first folded into *nodes*: one row per (key, split) with the number of copies and the
-smallest member. Pairs are found between nodes, so the work grows with distinct contents and not with
-the square of the copies. A pair of nodes is listed record by record while the product of the two
-copy counts stays within ``expand_limit``; beyond it the pair stays one row that carries the exact
-number of record pairs it stands for. Sums over ``pairs`` are exact either way, and the members of a
-node are the records that carry its key.
+Copies are folded into *nodes*: one row per (key, split) with the number of copies and the smallest member. Pairs are
+pairs of nodes, at every size: one row with the copies of both sides and the number of record pairs it stands for. The
+records behind them are member tables, one row per record. So no result grows with the product of two groups, and none
+leaves a record out.
 """
 
 from __future__ import annotations
@@ -15,13 +13,10 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriset.functions.names import hash60, split_pair
+from veriset.functions.names import split_pair
 from veriset.functions.vectors import band_masks, hamming64, sub_masks
 from veriset.session import materialise
 
-EXPAND_LIMIT = 4096
-MEMBERS_PER_ROW = 1000
-
 
 # --- group reports -------------------------------------------------------------------------
 
@@ -40,17 +35,9 @@ def cross_split_groups(records: DataFrame, key: str) -> DataFrame:
     )
 
 
-def group_members(records: DataFrame, groups: DataFrame, key: str, per_row: int = MEMBERS_PER_ROW) -> DataFrame:
-    """Groups with their member ids. A large group takes several rows of about ``per_row`` ids each."""
-    parts = F.ceil(F.col("records") / per_row).cast("bigint")
-    placed = (
-        records.select(key, "id")
-        .join(groups.withColumn("parts", parts), key)
-        .withColumn("part", hash60(F.lit("part:"), F.col("id")) % F.col("parts"))
-    )
-    return placed.groupBy(key, "splits", "records", "classes", "parts", "part").agg(
-        F.sort_array(F.collect_list("id")).alias("ids")
-    )
+def group_members(records: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """(key, split, id, class) of every record of the groups."""
+    return records.select(key, "split", "id", "class").join(groups.select(key), key, "left_semi")
 
 
 # --- exact pairs ---------------------------------------------------------------------------
@@ -85,51 +72,9 @@ def exact_node_pairs(records: DataFrame, key: str = "digest") -> DataFrame:
     )
 
 
-def _oriented(pairs: DataFrame, kept: list[Column | str]) -> DataFrame:
-    """Put the smaller id first."""
-    swap = F.col("id_a") > F.col("id_b")
-
-    def side(column: str, own: str, other: str) -> Column:
-        return F.when(swap, F.col(f"{column}_{other}")).otherwise(F.col(f"{column}_{own}")).alias(f"{column}_{own}")
-
-    return pairs.select(
-        *kept,
-        *[side(c, own, other) for c in ("id", "split", "class") for own, other in (("a", "b"), ("b", "a"))],
-        "pairs",
-    )
-
-
-def _members(records: DataFrame, keys: list[tuple[str, str]], side: str) -> DataFrame:
-    return records.select(
-        *[F.col(source).alias(name) for source, name in keys],
-        F.col("split").alias(f"split_{side}"),
-        F.col("id").alias(f"id_{side}"),
-        F.col("class").alias(f"class_{side}"),
-    )
-
-
-def exact_pairs(records: DataFrame, key: str = "digest", expand_limit: int = EXPAND_LIMIT) -> DataFrame:
-    """Cross-split pairs of records with an equal key; see the module text for large groups."""
-    nodes = exact_node_pairs(records, key)
-    product = F.col("copies_a") * F.col("copies_b")
-    listed = (
-        nodes.filter(product <= expand_limit)
-        .select(key, "split_a", "split_b")
-        .join(_members(records, [(key, key)], "a"), [key, "split_a"])
-        .join(_members(records, [(key, key)], "b"), [key, "split_b"])
-        .withColumn("pairs", F.lit(1).cast("bigint"))
-    )
-    folded = nodes.filter(product > expand_limit).select(
-        key,
-        "split_a",
-        "split_b",
-        F.col("first_id_a").alias("id_a"),
-        F.col("first_id_b").alias("id_b"),
-        F.col("first_class_a").alias("class_a"),
-        F.col("first_class_b").alias("class_b"),
-        product.alias("pairs"),
-    )
-    return _oriented(listed.unionByName(folded), [key])
+def exact_pairs(records: DataFrame, key: str = "digest") -> DataFrame:
+    """Pairs of splits that share a key, the smaller split name first: copies, first members and ``pairs`` of records."""
+    return exact_node_pairs(records, key).withColumn("pairs", F.col("copies_a") * F.col("copies_b"))
 
 
 def exact_pair_totals(records: DataFrame, key: str = "digest") -> DataFrame:
@@ -141,29 +86,13 @@ def exact_pair_totals(records: DataFrame, key: str = "digest") -> DataFrame:
     )
 
 
-def two_sided_pairs(left: DataFrame, right: DataFrame, key: str = "digest", expand_limit: int = EXPAND_LIMIT) -> DataFrame:
-    """Pairs between two record sets on a key, e.g. cleaned training records against a locked test set."""
-    both = left.select(key, "id", "class", F.lit("left").alias("split")).unionByName(
-        right.select(key, "id", "class", F.lit("right").alias("split"))
-    )
-    nodes = exact_node_pairs(both, key)
-    product = F.col("copies_a") * F.col("copies_b")
-    listed = (
-        nodes.filter(product <= expand_limit)
-        .select(key)
-        .join(left.select(key, F.col("id").alias("left_id"), F.col("class").alias("left_class")), key)
-        .join(right.select(key, F.col("id").alias("right_id"), F.col("class").alias("right_class")), key)
-        .withColumn("pairs", F.lit(1).cast("bigint"))
-    )
-    folded = nodes.filter(product > expand_limit).select(
-        key,
-        F.col("first_id_a").alias("left_id"),
-        F.col("first_class_a").alias("left_class"),
-        F.col("first_id_b").alias("right_id"),
-        F.col("first_class_b").alias("right_class"),
-        product.alias("pairs"),
-    )
-    return listed.unionByName(folded)
+def two_sided_pairs(left: DataFrame, right: DataFrame, key: str = "digest") -> DataFrame:
+    """Keys that two record sets share, e.g. cleaned training records and a locked test set, with both sides' copies."""
+    sides = [
+        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{name}_copies"), F.min("id").alias(f"{name}_first_id"))
+        for df, name in ((left, "left"), (right, "right"))
+    ]
+    return sides[0].join(sides[1], key).withColumn("pairs", F.col("left_copies") * F.col("right_copies"))
 
 
 def exact_link_count(records: DataFrame, key: str = "digest") -> DataFrame:
@@ -314,7 +243,7 @@ def distinct_hashes(nodes: DataFrame) -> DataFrame:
 def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None, bucket_limit: int = 20_000) -> DataFrame:
     """Cross-split pairs of hash nodes within a class, identical hashes included (distance 0).
 
-    The split names are ordered, so each unordered pair of nodes comes once.
+    The smaller split name comes first, so each unordered pair of nodes comes once. ``pairs`` counts its record pairs.
     """
     nodes = materialise(hash_nodes(records))
     found = near_hashes(distinct_hashes(nodes), "class", threshold, bands, bucket_limit)
@@ -334,64 +263,31 @@ def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None
     crossing = F.when(F.col("fp_a") == F.col("fp_b"), F.col("split_a") < F.col("split_b")).otherwise(
         F.col("split_a") != F.col("split_b")
     )
-    return (
+    linked = (
         found.unionByName(same)
         .join(sides["a"], ["class", "fp_a"])
         .join(sides["b"], ["class", "fp_b"])
         .filter(crossing)
     )
-
-
-def near_pairs(records: DataFrame, node_pairs: DataFrame, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
-    """List node pairs record by record; see the module text for pairs of large nodes."""
-    product = F.col("copies_a") * F.col("copies_b")
-    members = records.filter(F.col("fp").isNotNull())
-    sides = {
-        side: members.select(
-            "class",
-            F.col("fp").alias(f"fp_{side}"),
-            F.col("split").alias(f"split_{side}"),
-            F.col("id").alias(f"id_{side}"),
-        )
-        for side in "ab"
-    }
-    listed = (
-        node_pairs.filter(product <= expand_limit)
-        .select("class", "fp_a", "split_a", "fp_b", "split_b", "distance")
-        .join(sides["a"], ["class", "fp_a", "split_a"])
-        .join(sides["b"], ["class", "fp_b", "split_b"])
-        .withColumn("pairs", F.lit(1).cast("bigint"))
-    )
-    folded = node_pairs.filter(product > expand_limit).select(
-        "class",
-        "fp_a",
-        "split_a",
-        "fp_b",
-        "split_b",
-        "distance",
-        F.col("first_id_a").alias("id_a"),
-        F.col("first_id_b").alias("id_b"),
-        product.alias("pairs"),
-    )
-    both = listed.unionByName(folded)
-    swap = F.col("id_a") > F.col("id_b")
-    return both.select(
+    swap = F.col("split_a") > F.col("split_b")
+    return linked.select(
         "class",
         "distance",
         *[
             F.when(swap, F.col(f"{c}_{other}")).otherwise(F.col(f"{c}_{own}")).alias(f"{c}_{own}")
-            for c in ("id", "split")
+            for c in ("fp", "split", "copies", "first_id")
             for own, other in (("a", "b"), ("b", "a"))
         ],
-        "pairs",
+        (F.col("copies_a") * F.col("copies_b")).alias("pairs"),
     )
 
 
-def largest_saved(pairs: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` pairs in report order; count them all before calling this."""
-    return pairs.orderBy("distance", "class", "id_a", "id_b").limit(limit)
+def linked_nodes(node_pairs: DataFrame) -> DataFrame:
+    """Distinct (class, fp, split) that occur in a pair."""
+    sides = [node_pairs.select("class", F.col(f"fp_{s}").alias("fp"), F.col(f"split_{s}").alias("split")) for s in "ab"]
+    return sides[0].union(sides[1]).distinct()
 
 
-def linked_ids(pairs: DataFrame) -> DataFrame:
-    """Distinct ids that a pair table mentions."""
-    return pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+def linked_ids(records: DataFrame, node_pairs: DataFrame) -> DataFrame:
+    """(class, fp, split, id) of every record that stands behind a pair."""
+    return records.select("class", "fp", "split", "id").join(linked_nodes(node_pairs), ["class", "fp", "split"], "left_semi")

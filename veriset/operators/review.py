@@ -9,24 +9,42 @@ from veriset.functions import flags
 from veriset.functions.names import split_pair
 
 
-def described_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Attach both objects, the unordered split pair and the strictness flag."""
+def content_pairs(node_pairs: DataFrame, records: DataFrame, content: str) -> DataFrame:
+    """Node pairs split by distinct ``content`` (what the metrics are computed from), with counts of record pairs.
+
+    Records of one fingerprint can differ in content, so a metric of a pair of contents is exact for all its records.
+    ``unmapped_pairs`` counts the record pairs of which a side has no object. Contents of each side join once.
+    """
+    nodes = records.groupBy("class", "fp", "split", content).agg(F.count("*").alias("copies"), F.count("object").alias("mapped"), F.min("id").alias("first_id"))
+    pairs = node_pairs.select("class", "distance", "fp_a", "split_a", "fp_b", "split_b")
     for side in "ab":
-        own = records.select(F.col("id").alias(f"id_{side}"), F.col("object").alias(f"object_{side}"))
-        pairs = pairs.join(own, f"id_{side}")
+        own = nodes.select("class", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "split", content, "copies", "mapped", "first_id")])
+        pairs = pairs.join(own, ["class", f"fp_{side}", f"split_{side}"])
+    total = F.col("copies_a") * F.col("copies_b")
     return (
         pairs.withColumn("split_pair", split_pair(F.col("split_a"), F.col("split_b")))
         .withColumn("strict", flags.strict_match(F.col("distance")))
-        .withColumn("involves_unmapped", flags.involves_unmapped(F.col("object_a"), F.col("object_b")))
+        .withColumn("pairs", total)
+        .withColumn("unmapped_pairs", total - F.col("mapped_a") * F.col("mapped_b"))
+        .withColumn("involves_unmapped", F.col("unmapped_pairs") > 0)
     )
 
 
-def flagged_pairs(described: DataFrame) -> DataFrame:
+def same_object_pairs(node_pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: how many record pairs share their object, counted per object and side."""
+    counts = records.filter(F.col("object").isNotNull()).groupBy("class", "fp", "split", "object").agg(F.count("*").alias("n"))
+    pairs = node_pairs.select("class", "fp_a", "split_a", "fp_b", "split_b")
+    a, b = (counts.select("class", F.col("fp").alias(f"fp_{s}"), F.col("split").alias(f"split_{s}"), "object", F.col("n").alias(f"n_{s}")) for s in "ab")
+    both = pairs.join(a, ["class", "fp_a", "split_a"]).join(b, ["class", "fp_b", "split_b", "object"])
+    return both.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0).cast("bigint")).alias("mapped_same_object"))
+
+
+def flagged_pairs(measured: DataFrame) -> DataFrame:
     """Review flags from ``embedding_cosine``, ``correlation`` and ``mae``."""
     pixel = flags.pixel_flag(F.col("correlation"), F.col("mae"))
     embedding = flags.embedding_flag(F.col("embedding_cosine"))
     return (
-        described.withColumn("pixel_flag", pixel)
+        measured.withColumn("pixel_flag", pixel)
         .withColumn("embedding_flag", embedding)
         .withColumn("priority", flags.review_priority(F.col("involves_unmapped"), F.col("pixel_flag"), F.col("embedding_flag")))
     )
@@ -36,24 +54,26 @@ def split_pair_distribution(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("split_pair").agg(F.sum("pairs").alias("pairs"))
 
 
-def review_summary(flagged: DataFrame) -> DataFrame:
-    """One row of counts and extremes; the extremes are null when no pair qualifies."""
+def review_summary(flagged: DataFrame, same_object: DataFrame) -> DataFrame:
+    """One row of record-pair counts and extremes; the extremes are null when no pair qualifies."""
     unmapped = F.col("involves_unmapped")
-    pairs = F.col("pairs")
     zero = F.lit(0).cast("bigint")
 
-    def total(condition):
-        return F.sum(F.when(condition, pairs).otherwise(zero))
+    def total(column, condition=None):
+        value = F.col(column) if condition is None else F.when(condition, F.col(column))
+        return F.coalesce(F.sum(value), zero)
 
-    return flagged.agg(
-        F.coalesce(F.sum(pairs), zero).alias("pairs"),
-        F.coalesce(total(unmapped), zero).alias("unmapped_pairs"),
-        F.coalesce(total(~unmapped), zero).alias("mapped_pairs"),
-        F.coalesce(total(~unmapped & (F.col("object_a") == F.col("object_b"))), zero).alias("mapped_same_object"),
+    counted = flagged.withColumn("mapped_pairs", F.col("pairs") - F.col("unmapped_pairs"))
+    rows = counted.unionByName(same_object, allowMissingColumns=True)
+    return rows.agg(
+        total("pairs").alias("pairs"),
+        total("unmapped_pairs").alias("unmapped_pairs"),
+        total("mapped_pairs").alias("mapped_pairs"),
+        total("mapped_same_object").alias("mapped_same_object"),
         F.max("embedding_cosine").alias("max_cosine"),
         F.max(F.when(unmapped, F.col("embedding_cosine"))).alias("max_cosine_unmapped"),
         F.max(F.when(unmapped, F.col("correlation"))).alias("max_correlation_unmapped"),
         F.min(F.when(unmapped, F.col("mae"))).alias("min_mae_unmapped"),
-        F.coalesce(total(unmapped & F.col("embedding_flag")), zero).alias("unmapped_embedding_flags"),
-        F.coalesce(total(unmapped & F.col("pixel_flag")), zero).alias("unmapped_pixel_flags"),
+        total("unmapped_pairs", F.col("embedding_flag")).alias("unmapped_embedding_flags"),
+        total("unmapped_pairs", F.col("pixel_flag")).alias("unmapped_pixel_flags"),
     )

@@ -29,8 +29,9 @@ def centroids(features: DataFrame, label: str = "target", vector: str = "feature
 
 
 def centroid_scores(features: DataFrame, model: DataFrame, label: str = "target", vector: str = "features", sharpness: float = 10.0) -> DataFrame:
-    """Replace the vector by ``probs``: softmax of the cosine to each label's centroid, labels ascending.
+    """Replace the vector by ``probs``: softmax of the cosine to each label's centroid, at the label's place.
 
+    Labels are indices from 0; one that the model has not seen gets probability 0.
     The fitted model has one short vector per label. It is read once and shipped with the tasks, where
     a matrix product per Arrow batch takes the place of labels x dimensions expression steps per row.
     """
@@ -39,7 +40,7 @@ def centroid_scores(features: DataFrame, model: DataFrame, label: str = "target"
         raise ValueError(f"A centroid model may have at most {MAX_LABELS} labels.")
     weights = np.array([row["centroid"] for row in fitted])
     others = tuple(c for c in features.columns if c != vector)
-    return score_batches(features, cosine_scorer(weights, sharpness), vector, others)
+    return score_batches(features, cosine_scorer(weights, sharpness, [int(row[label]) for row in fitted]), vector, others)
 
 
 def score_batches(features: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], vector: str = "features", id_columns: tuple[str, ...] = ("id", "target")) -> DataFrame:
@@ -63,14 +64,17 @@ def score_batches(features: DataFrame, scorer: Callable[[np.ndarray], np.ndarray
     return scored.withColumn("probs", vectors.softmax(F.col("logits"))).drop("logits")
 
 
-def cosine_scorer(weights: np.ndarray, sharpness: float = 10.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Batch scorer of a fitted (labels x features) matrix of unit vectors."""
+def cosine_scorer(weights: np.ndarray, sharpness: float = 10.0, labels: list[int] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """Batch scorer of a fitted (labels x features) matrix of unit vectors; ``labels`` are the places of its rows."""
+    places = np.arange(len(weights)) if labels is None else np.asarray(labels)
 
     def score(block: np.ndarray) -> np.ndarray:
         block = block.astype(np.float64)
         norms = np.sqrt((block * block).sum(axis=1, keepdims=True))
         unit = np.divide(block, norms, out=np.zeros_like(block), where=norms > 0)
-        return unit @ weights.T * sharpness
+        logits = np.full((len(block), int(places.max()) + 1), -np.inf)
+        logits[:, places] = unit @ weights.T * sharpness
+        return logits
 
     return score
 

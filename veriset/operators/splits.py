@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions.names import hash60
+from veriset.operators.checks import check, enforce
 from veriset.operators.prefix import hash_block, rank_by_hash, rank_rows, running_sums
 from veriset.session import materialise
 
@@ -167,7 +168,8 @@ def half_split(records: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def balanced_sample(records: DataFrame, per_class: int, seed: int = 42, id_column: str = "id") -> DataFrame:
-    """``per_class`` records of every class in hash order; see ``short_classes`` for the shortage."""
+    """``per_class`` records of every class in hash order; a class with fewer records fails the call."""
+    enforce(check("every_class_has_enough_records", short_classes(records, per_class)))
     return rank_by_hash(records, ["class"], f"sample:{seed}", id_column, "_rank").filter(F.col("_rank") <= per_class).drop("_rank")
 
 

@@ -19,10 +19,12 @@ from veriset.session import materialise
 @dataclass(frozen=True)
 class AuditTables:
     exact_groups: DataFrame
+    exact_members: DataFrame
     exact_pairs: DataFrame
-    near_node_pairs: DataFrame
     near_pairs: DataFrame
+    near_members: DataFrame
     object_groups: DataFrame
+    object_members: DataFrame
     coverage: DataFrame
     checks: DataFrame
     status: DataFrame
@@ -50,7 +52,8 @@ def listed_manifest(lists: dict[str, DataFrame], index: DataFrame) -> tuple[Data
 def leakage_audit(records: DataFrame, threshold: int = 4) -> AuditTables:
     """Exact, near and same-object leakage across splits, with the hard checks."""
     node_pairs = materialise(links.near_node_pairs(records, threshold))
-    exact = links.exact_node_pairs(records)
+    exact = links.exact_pairs(records)
+    groups = links.cross_split_groups(records, "digest")
     objects = links.cross_split_groups(records, "object")
     coverage = profile.coverage(records)
     found = checks.all_checks(
@@ -61,11 +64,13 @@ def leakage_audit(records: DataFrame, threshold: int = 4) -> AuditTables:
         ]
     )
     return AuditTables(
-        exact_groups=links.group_members(records, links.cross_split_groups(records, "digest"), "digest"),
-        exact_pairs=links.exact_pairs(records),
-        near_node_pairs=node_pairs,
-        near_pairs=links.near_pairs(records, node_pairs),
-        object_groups=links.group_members(records, objects, "object"),
+        exact_groups=groups,
+        exact_members=links.group_members(records, groups, "digest"),
+        exact_pairs=exact,
+        near_pairs=node_pairs,
+        near_members=links.linked_ids(records, node_pairs),
+        object_groups=objects,
+        object_members=links.group_members(records, objects, "object"),
         coverage=coverage,
         checks=found,
         status=checks.leakage_status(found, coverage),
@@ -75,9 +80,11 @@ def leakage_audit(records: DataFrame, threshold: int = 4) -> AuditTables:
 def leakage_safe_manifest(records: DataFrame, validation_fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Clean training records against the locked test, carve a group-aware validation part out of them.
 
-    Returns the manifest (train, validation and the untouched test) and the exclusion log.
+    Returns the manifest (train, validation and the untouched test) and the exclusion log. ``records`` has no validation
+    part yet; one that is there fails the call, since it would have to be merged or dropped.
     """
-    kept, log = cleanup.clean_against_test(records.filter(F.col("split").isin("train", "test")))
+    checks.enforce(checks.check("only_train_and_test", records.filter(~F.col("split").isin("train", "test") | F.col("split").isNull())))
+    kept, log = cleanup.clean_against_test(records)
     grouped = materialise(kept.withColumn("group", group_key(F.col("object"), F.col("digest"))))
     assignment = splits.validation_prefix(splits.group_sizes(grouped), validation_fraction, seed=seed)
     manifest = splits.apply_group_split(grouped, assignment).unionByName(
@@ -89,7 +96,7 @@ def leakage_safe_manifest(records: DataFrame, validation_fraction: float, seed:
 def quarantined_manifest(records: DataFrame, threshold: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remove the less protected side of every strict near pair.
 
-    Returns the manifest, the log with one row per pair, and the contract checks of the result.
+    Returns the manifest, the log with one row per pair of nodes, and the contract checks of the result.
     """
     node_pairs = materialise(links.near_node_pairs(records, threshold))
     nodes = materialise(cleanup.quarantined_nodes(node_pairs))
@@ -102,7 +109,7 @@ def quarantined_manifest(records: DataFrame, threshold: int = 4) -> tuple[DataFr
             checks.check("class_in_every_split", profile.missing_class_splits(cleaned)),
         ]
     )
-    return cleaned, cleanup.quarantine_log(links.near_pairs(records, node_pairs)), contract
+    return cleaned, cleanup.quarantine_log(node_pairs), contract
 
 
 def component_split(records: DataFrame, threshold: int = 4, ratios: dict[str, str] | None = None, seed: int = 42) -> DataFrame:

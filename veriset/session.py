@@ -40,6 +40,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; it is deleted when the application ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/veriset/{spark.sparkContext.applicationId}"
+    files, where = _hadoop(spark, path)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete the tables written so far; results that still read them must have been written or collected."""
+    files, where = _hadoop(spark, f"{checkpoint_root(spark).rstrip('/')}/veriset/{spark.sparkContext.applicationId}")
+    files.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table.
 
@@ -47,6 +68,6 @@ def materialise(df: DataFrame) -> DataFrame:
     executors. Used where a result feeds several branches or the next round of an iteration.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/veriset/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

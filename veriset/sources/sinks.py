@@ -13,7 +13,7 @@ from veriset.operators import confusion
 
 REPORT_ORDER = {
     "manifest": ["split", "class", "id"],
-    "near_pairs": ["distance", "class", "id_a", "id_b"],
+    "near_pairs": ["distance", "class", "first_id_a", "first_id_b"],
     "review": ["involves_unmapped DESC", "embedding_cosine DESC", "correlation DESC"],
     "class_report": ["f1", "support"],
     "quarantine": ["removed_split", "removed_id", "protected_split", "protected_id"],
