@@ -34,6 +34,11 @@ def review_priority(unmapped: Column, pixel: Column, embedding: Column) -> Colum
     return unmapped | pixel | embedding
 
 
+def fallback_protocol(data_protocol: Column, evaluation_protocol: Column) -> Column:
+    """Protocol name under whichever of its two names a run recorded it."""
+    return F.coalesce(data_protocol, evaluation_protocol)
+
+
 def fallback_errors(errors: Column, test_errors: Column, accuracy: Column, examples: Column) -> Column:
     """Error count under whichever name a run recorded it, else derived from its accuracy."""
     derived = F.bround((1.0 - accuracy) * examples, 0).cast("bigint")

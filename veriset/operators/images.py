@@ -76,18 +76,22 @@ def standard_pixels(images: DataFrame, size: int = 256) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rgb, grey = [], []
-            for image in batch["image"]:
+            # One image at a time: the output is much larger than the stored image.
+            for path, image in zip(batch["path"], batch["image"], strict=True):
                 planes = _pixels(image)
                 scaled = np.stack([_resized(planes[:, :, c], size, size) for c in range(3)], axis=2) / 255.0
-                rgb.append(scaled.ravel())
-                grey.append(scaled.mean(axis=2).ravel())
-            yield pd.DataFrame({"path": batch["path"], "rgb": rgb, "grey": grey})
+                yield pd.DataFrame({"path": [path], "rgb": [scaled.ravel()], "grey": [scaled.mean(axis=2).ravel()]})
 
     rows = images.select(F.col("image.origin").alias("path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
     return rows.mapInPandas(run, "path string, rgb array<double>, grey array<double>")
 
 
+def paired_pixels(images: DataFrame, pairs: DataFrame, size: int = 256) -> DataFrame:
+    """Pixels of the images that (path_a, path_b) pairs name; the others are not decoded."""
+    wanted = pairs.select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct()
+    return standard_pixels(images.join(wanted, F.col("image.origin") == F.col("path"), "left_semi"), size)
+
+
 def pixel_similarity(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     """Add mean absolute RGB error and guarded grey correlation to (path_a, path_b) pairs."""
     for side in "ab":

@@ -17,7 +17,7 @@ POISSON_RESOLUTION = 1_000_000
 POISSON_STEPS = (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990, 999999)
 
 
-def multinomial_replicates(cells: DataFrame, labels: int, samples: int = 1000, seed: int = 20260820, model: str = "model") -> DataFrame:
+def multinomial_replicates(cells: DataFrame, labels: int, samples: int = 1000, seed: int = 7, model: str = "model") -> DataFrame:
     """(model, replicate, accuracy, macro_f1) of ``samples`` resamples of all records.
 
     Drawing N records with replacement and counting their cells is one multinomial draw over the

@@ -179,14 +179,14 @@ def under_conditions(features: DataFrame, conditions: dict[str, Callable[[Column
     )
 
 
-def permutation_control(features: DataFrame, labels: int, train_per_class: int, validation_per_class: int, fit_and_score: Callable[[DataFrame, DataFrame], DataFrame], seed: int = 42, pass_below: float = 0.10) -> DataFrame:
+def permutation_control(features: DataFrame, labels: int, train_per_class: int, fit_and_score: Callable[[DataFrame, DataFrame], DataFrame], seed: int = 42, pass_below: float = 0.10) -> DataFrame:
     """Train on shuffled labels, evaluate on true ones: a sound protocol scores near chance.
 
     ``features`` is (id, class, split, features); ``fit_and_score(train, validation)`` gets tables with
-    ``target`` and returns the validation rows with ``probs``.
+    ``target`` and returns the validation rows with ``probs``. The fit sees a sample, every validation row is scored.
     """
     train = materialise(splits.balanced_sample(features.filter(F.col("split") == "train"), train_per_class, seed))
-    validation = splits.balanced_sample(features.filter(F.col("split") == "validation"), validation_per_class, seed + 1)
+    validation = features.filter(F.col("split") == "validation")
     shuffled = materialise(splits.permuted_labels(train, "class", seed))
     fitted_on = train.join(shuffled.select("id", F.col("permuted").alias("target")), "id")
     scored = predictions(fit_and_score(fitted_on, validation.withColumn("target", F.col("class"))))

@@ -279,7 +279,7 @@ def roc_macro_auc(spark, folder):
 
 # --- resampling ----------------------------------------------------------------------------
 
-_REPLICATES = 40
+_REPLICATES = 1000
 _WEIGHTS = " + ".join(
     f"(u >= {step})::INTEGER" for step in resampling.POISSON_STEPS
 )
@@ -311,13 +311,23 @@ def bootstrap_poisson_ci(spark, folder):
     return resampling.intervals(resampling.poisson_replicates(_predictions(spark, folder), LABELS, _REPLICATES))
 
 
-@query("bootstrap_multinomial")
+def _point_sql(model: str) -> str:
+    return f"""(WITH {EMB}, {probabilities(model)}, {predicted(f'p_{model}')}, cells AS (SELECT true_index, predicted_index, count(*) AS n FROM pred GROUP BY 1, 2), {report('cells', LABELS)}
+SELECT '{model}' AS model, 1000::BIGINT AS samples, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, true AS accuracy_inside, true AS ordered FROM rep)"""
+
+
+@query("bootstrap_multinomial", f"SELECT * FROM {_point_sql('a')} UNION ALL SELECT * FROM {_point_sql('b')}")
 def bootstrap_multinomial(spark, folder):
     models = [
         confusion.cells(_predictions(spark, folder, m).withColumn("model", F.lit(m)), ["model"]) for m in ("a", "b")
     ]
-    replicates = resampling.multinomial_replicates(models[0].unionByName(models[1]), LABELS)
-    return resampling.intervals(replicates, ["model"])
+    both = materialise(models[0].unionByName(models[1]))
+    found = resampling.intervals(resampling.multinomial_replicates(both, LABELS), ["model"])
+    point = confusion.averages(confusion.class_report(both, LABELS, ["model"]), ["model"]).select("model", "accuracy", "macro_f1")
+    # The draws are random; SQL checks the point metrics, the number of resamples and where the intervals lie.
+    inside = F.col("accuracy").between(F.col("accuracy_ci_low"), F.col("accuracy_ci_high"))
+    ordered = (F.col("accuracy_ci_low") <= F.col("accuracy_mean")) & (F.col("accuracy_mean") <= F.col("accuracy_ci_high")) & (F.col("macro_f1_ci_low") <= F.col("macro_f1_ci_high"))
+    return found.join(point, "model").select("model", "samples", "accuracy", "macro_f1", inside.alias("accuracy_inside"), ordered.alias("ordered"))
 
 
 # --- ensembles -----------------------------------------------------------------------------
@@ -487,7 +497,7 @@ def condition_sweep(spark, folder):
     return confusion.condition_sweep(judged[0].select(columns).unionByName(judged[1].select(columns)), LABELS)
 
 
-_TRAIN_PER_CLASS, _VALIDATION_PER_CLASS = 20, 3
+_TRAIN_PER_CLASS = 20
 
 
 def _control_features(spark, folder):
@@ -502,7 +512,7 @@ def _centroid_fit(train, validation):
 
 _CONTROL = f"""{EMB},
 trn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {h60("'sample:42:' || id")}, id) AS rn FROM emb WHERE split = 'train') WHERE rn <= {_TRAIN_PER_CLASS}),
-vld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {h60("'sample:43:' || id")}, id) AS rn FROM emb WHERE split = 'validation') WHERE rn <= {_VALIDATION_PER_CLASS}),
+vld AS (SELECT * FROM emb WHERE split = 'validation'),
 slots AS (SELECT id, target, row_number() OVER (ORDER BY {h60("'slot:42:' || id")}, id) AS r FROM trn),
 drawn AS (SELECT target AS permuted, row_number() OVER (ORDER BY {h60("'label:42:' || id")}, id) AS r FROM trn),
 perm AS (SELECT id, target, permuted FROM slots JOIN drawn USING (r)),
@@ -520,18 +530,22 @@ SELECT (SELECT count(*) FROM perm) AS train_records, n AS validation_records,
 @query("permutation_control", f"WITH {_CONTROL}")
 def permutation_control(spark, folder):
     return scores.permutation_control(
-        _control_features(spark, folder), LABELS, _TRAIN_PER_CLASS, _VALIDATION_PER_CLASS, _centroid_fit
+        _control_features(spark, folder), LABELS, _TRAIN_PER_CLASS, _centroid_fit
     )
 
 
-@query("permutation_control_head")
+@query(
+    "permutation_control_head",
+    f"WITH {_CONTROL.rpartition('SELECT (SELECT')[0]} SELECT (SELECT count(*) FROM perm) AS train_records, n AS validation_records, "
+    "(SELECT count(*) FROM perm WHERE target = permuted) AS unchanged_by_chance, 0.1::DOUBLE AS chance_accuracy, true AS plausible FROM q",
+)
 def permutation_control_head(spark, folder):
     def fit(train, validation):
         return scores.linear_scores(validation, scores.linear_head(train))
 
-    return scores.permutation_control(
-        _control_features(spark, folder), LABELS, _TRAIN_PER_CLASS, _VALIDATION_PER_CLASS, fit
-    )
+    found = scores.permutation_control(_control_features(spark, folder), LABELS, _TRAIN_PER_CLASS, fit)
+    # The fit is iterative, so SQL checks the counts and that the accuracy is near chance.
+    return found.select("train_records", "validation_records", "unchanged_by_chance", "chance_accuracy", (F.col("accuracy") < 0.4).alias("plausible"))
 
 
 @query(

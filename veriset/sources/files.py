@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veriset.functions.names import IMAGE_EXTENSIONS, file_extension, strip_whitespace
+from veriset.operators.prefix import rank_rows
 
 MANIFEST_SCHEMA = (
     "split string, official_split string, relative_path string, source_partition string, "
@@ -57,8 +58,8 @@ def with_path_parts(files: DataFrame, partitions: tuple[str, ...]) -> DataFrame:
 
 def class_dimension(records: DataFrame) -> DataFrame:
     """(class_name, class_index): position of each name in sorted order."""
-    names = records.agg(F.array_sort(F.collect_set("class_name")).alias("names"))
-    return names.select(F.posexplode("names").alias("class_index", "class_name"))
+    ranked = rank_rows(records.select("class_name").filter(F.col("class_name").isNotNull()).distinct(), [], ["class_name"], "_rank")
+    return ranked.select("class_name", (F.col("_rank") - 1).cast("int").alias("class_index"))
 
 
 def labelled_tree(spark: SparkSession, root: str, partitions: tuple[str, ...] = ("train", "val"), extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
@@ -112,6 +113,11 @@ def metadata_map(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("identifier", suggestions.alias("suggestions"))
 
 
+def metadata_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same map as JSON lines (``identifier``, ``suggestions``), which many tasks read."""
+    return spark.read.schema("identifier string, suggestions array<string>").json(path)
+
+
 def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Manifest rows without a file; both sides carry ``relative_path``."""
     return manifest.join(listing.select("relative_path").distinct(), "relative_path", "left_anti")
