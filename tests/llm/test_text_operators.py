@@ -361,7 +361,7 @@ def test_tree_concatenation_of_unsplit_text(tokenizer):
         if n % 5 == 0:
             text += "<|endoftext|>" + text
         parts = [coder.leaf(p) for p in coder.pieces(text, rng.choice([2, 5, 17]))]
-        assert coder.tree(parts).tokens() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert coder.tree(parts).tokens().tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 # --- mixing, sharding, rollups ---------------------------------------------------------------

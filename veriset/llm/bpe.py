@@ -30,10 +30,12 @@ from veriset.session import materialise
 
 #: Code points of a leaf.
 LEAF = 16_384
-#: Words whose tokens are remembered; the store is emptied when full.
-REMEMBERED = 300_000
+#: Words whose tokens are remembered (about 170 bytes each); the store is emptied when full.
+REMEMBERED = 800_000
 
 _BLANK = re.compile(r"[ \t\n\x0b\f\r]")
+#: One sign after an ASCII letter and before white space is always a token sequence of its own.
+_SIGN = re.compile(rb"([a-z])([.,;:!?])(?=[ \t\n\x0b\f\r]|\Z)")
 #: Code points that never compose with what stands before them (letters of Latin, Greek, Cyrillic, Kana, Han, Hangul).
 _STARTERS = ((0x21, 0x300), (0x370, 0x483), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
 
@@ -51,11 +53,12 @@ class Part(NamedTuple):
     """An encoded piece: the open stretches at its ends, and the closed tokens between. No tail: one stretch only."""
 
     head: Stretch
-    middle: list[int]
+    middle: np.ndarray
     tail: Stretch | None
 
-    def tokens(self) -> list[int]:
-        return self.head.ids + self.middle + (self.tail.ids if self.tail else [])
+    def tokens(self) -> np.ndarray:
+        ends = [self.head.ids, self.tail.ids if self.tail else []]
+        return np.concatenate([np.asarray(ends[0], np.int32), self.middle.astype(np.int32), np.asarray(ends[1], np.int32)])
 
 
 EMPTY = Stretch("", [], [], [])
@@ -73,7 +76,8 @@ class Coder:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.longest = max(map(len, self.specials), default=0)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known: dict[bytes, bytes] = {}
 
     def stretch(self, text: str) -> Stretch:
         if not text:
@@ -82,9 +86,12 @@ class Coder:
         starts, ends = zip(*found.offsets, strict=True) if found.ids else ((), ())
         return Stretch(text, found.ids, list(starts), list(ends))
 
-    def closed(self, text: str) -> list[int]:
+    def closed(self, text: str) -> np.ndarray:
         """Tokens of a text whose ends are at white space, word by word."""
-        words = text.encode().split()
+        raw = text.encode()
+        if b"<|" not in raw:
+            raw = _SIGN.sub(rb"\1 \2", raw.lower())  # the normaliser lowers case too; special tokens stay as they are
+        words = raw.split()
         known = self.known
         missing = list({w for w in words if w not in known})
         if missing:
@@ -92,16 +99,13 @@ class Coder:
                 known.clear()
                 missing = list(set(words))
             for word, found in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                known[word] = tuple(found.ids)
-        ids: list[int] = []
-        for word in words:
-            ids.extend(known[word])
-        return ids
+                known[word] = np.array(found.ids, self.kind).tobytes()
+        return np.frombuffer(b"".join([known[w] for w in words]), self.kind)
 
     def leaf(self, text: str) -> Part:
         first = _BLANK.search(text)
         if first is None:
-            return Part(self.stretch(text), [], None)
+            return Part(self.stretch(text), np.empty(0, self.kind), None)
         last = len(text) - 1
         while not _BLANK.match(text, last):
             last -= 1
@@ -181,7 +185,8 @@ class Coder:
             return Part(self.join(a.head, b.head), b.middle, b.tail)
         if b.tail is None:
             return Part(a.head, a.middle, self.join(a.tail, b.head))
-        return Part(a.head, a.middle + self.join(a.tail, b.head).ids + b.middle, b.tail)
+        between = np.asarray(self.join(a.tail, b.head).ids, self.kind)
+        return Part(a.head, np.concatenate([a.middle, between, b.middle]), b.tail)
 
     def tree(self, parts: list[Part]) -> Part:
         while len(parts) > 1:
@@ -195,6 +200,16 @@ def coder_of(definition: str) -> Coder:
     return Coder(definition)
 
 
+@lru_cache(maxsize=2)
+def decoder_of(definition: str, skip_special_tokens: bool):
+    """A function from token numbers to text. Without a decoder of its own a tokenizer puts a blank between tokens."""
+    tokenizer = coder_of(definition).tokenizer
+    if tokenizer.decoder is not None or skip_special_tokens:
+        return lambda ids: tokenizer.decode([] if ids is None else ids.tolist(), skip_special_tokens=skip_special_tokens)
+    tokens = np.array([tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())], object)
+    return lambda ids: "" if ids is None else " ".join(tokens[ids].tolist())
+
+
 def _lists(rows: list) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32)
@@ -204,40 +219,42 @@ def _lists(rows: list) -> pa.Array:
 _STRETCH = "struct<text:string,ids:array<int>,starts:array<int>,ends:array<int>>"
 
 
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = LEAF, keep_text: bool = True) -> DataFrame:
     """Rows of ``df`` with ``ids``, the tokens of the whole text without special tokens added.
 
     Null and empty texts have no tokens; equal texts get equal tokens. Strings of special tokens inside a text are
-    encoded as the tokenizer itself does. An input column named ids is replaced. The definition at ``tokenizer_path`` is
-    read on the driver and broadcast (a file of a few megabytes).
+    encoded as the tokenizer itself does. An input column named ids is replaced; the text column is left out unless
+    ``keep_text``. The definition at ``tokenizer_path`` is read on the driver and broadcast (a file of a few megabytes).
+    It must be of a tokenizer that ends words at white space and drops it, as that of CLIP models.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as source:
         sent = spark.sparkContext.broadcast(source.read())
-    kept = [f for f in df.schema.fields if f.name != "ids"]
-    named = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
-    columns = [f"c{i}" for i in range(len(kept))]
-    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)])
+    kept = [f for f in df.schema.fields if f.name != "ids" and (keep_text or f.name != text)]
+    here = F.struct(F.lit(True).alias("here"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
+    named = df.select(here.alias("own"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
+    own = named.schema["own"].dataType
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                found = [np.asarray(coder.leaf(v.as_py()).tokens(), np.int32) for v in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(found)], names=[*columns, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([coder.closed(v.as_py()) for v in part.column(1)])], names=["own", "ids"])
 
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
     # How a text is cut depends on its own length only; the result does not.
-    direct = named.where(F.length("body") <= leaf).mapInArrow(short, T.StructType([*plain.fields, ids]))
+    direct = named.where(F.length("body") <= leaf).mapInArrow(short, T.StructType([T.StructField("own", own), ids]))
     long = materialise(named.where(F.length("body") > leaf).withColumn("row", F.monotonically_increasing_id()))
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
         for batch in batches:
-            for row, body in zip(batch.column(0), batch.column(1), strict=True):
-                found = coder.pieces(body.as_py(), leaf)
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found)], names=["row", "no", "piece"])
+            for i in range(batch.num_rows):
+                found = coder.pieces(batch.column(1)[i].as_py(), leaf)
+                # The row's other columns travel with its first piece.
+                carried = batch.column(0).take(pa.array([i, *[None] * (len(found) - 1)], pa.int32()))
+                yield pa.RecordBatch.from_arrays([carried, pa.array([batch.column(2)[i].as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found)], names=["own", "row", "no", "piece"])
 
     kinds = [("text", pa.string()), *[(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")]]
 
@@ -246,40 +263,42 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = L
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                found = [coder.leaf(v.as_py()) for v in part.column(2)]
+                found = [coder.leaf(v.as_py()) for v in part.column(3)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        part.column(1),
+                        *part.columns[:3],
                         pa.array([p.head._asdict() for p in found], pa.struct(kinds)),
-                        _lists([p.middle for p in found]),
+                        pa.array([p.middle.tobytes() for p in found], pa.binary()),
                         pa.array([p.tail and p.tail._asdict() for p in found], pa.struct(kinds)),
                     ],
-                    names=["row", "no", "head", "middle", "tail"],
+                    names=["own", "row", "no", "head", "middle", "tail"],
                 )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row, parts = coder_of(sent.value), None, []
+        coder, row, first, parts = coder_of(sent.value), None, None, []
 
         def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), _lists([coder.tree(parts).tokens()])], names=["row", "ids"])
+            return pa.RecordBatch.from_arrays([first, _lists([coder.tree(parts).tokens()])], names=["own", "ids"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                current, _, head, middle, tail = (batch.column(k)[i].as_py() for k in range(5))
-                if parts and current != row:
-                    yield result()
-                    parts = []
-                row = current
-                parts.append(Part(Stretch(**head), middle, Stretch(**tail) if tail else None))
+                current, no, head, middle, tail = (batch.column(k)[i].as_py() for k in range(1, 6))
+                if no == 0:
+                    if parts:
+                        yield result()
+                    row, first, parts = current, batch.column(0).slice(i, 1), []
+                assert current == row
+                parts.append(Part(Stretch(**head), np.frombuffer(middle, coder.kind), Stretch(**tail) if tail else None))
         if parts:
             yield result()
 
-    pieces = long.select("row", "body").mapInArrow(halve, "row bigint, no int, piece string")
-    encoded = pieces.repartition("row", "no").mapInArrow(leaves, f"row bigint, no int, head {_STRETCH}, middle array<int>, tail {_STRETCH}")
-    joined = encoded.repartition("row").sortWithinPartitions("row", "no").mapInArrow(gather, "row bigint, ids array<int>")
-    whole = long.select("row", *columns).join(joined, "row").select(*columns, "ids")
-    return direct.unionByName(whole).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], "ids")
+    def fields(*more: tuple[str, str]) -> T.StructType:
+        return T.StructType([T.StructField("own", own), T.StructField("row", T.LongType()), T.StructField("no", T.IntegerType()), *[T.StructField(n, T.StructType.fromDDL(f"x {k}")["x"].dataType) for n, k in more]])
+
+    pieces = long.select("own", "body", "row").mapInArrow(halve, fields(("piece", "string")))
+    encoded = pieces.repartition("row", "no").mapInArrow(leaves, fields(("head", _STRETCH), ("middle", "binary"), ("tail", _STRETCH)))
+    joined = encoded.repartition("row").sortWithinPartitions("row", "no").mapInArrow(gather, T.StructType([T.StructField("own", own), ids]))
+    return direct.unionByName(joined).select(*[F.col(f"own.c{i}").alias(f.name) for i, f in enumerate(kept)], "ids")
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", skip_special_tokens: bool = False) -> DataFrame:
@@ -294,11 +313,11 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", skip_special_to
     names = [*[f.name for f in kept], "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = coder_of(sent.value).tokenizer
+        text_of = decoder_of(sent.value, skip_special_tokens)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                texts = [tokenizer.decode(row.as_py() or [], skip_special_tokens=skip_special_tokens) for row in part.column(at)]
+                texts = [text_of(np.asarray(row.values) if row.is_valid else None) for row in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     source = df.select(*[F.col(f"`{f.name}`") for f in kept])

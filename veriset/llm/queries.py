@@ -120,5 +120,5 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and decoded text of every document, as digests."""
     path = vocabulary("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, keep_text=False), path)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
