@@ -169,7 +169,7 @@ def brute_fingerprint(text, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(pairs):
+def brute_components(pairs, distance=2):
     """pairs: (key, unsigned fingerprint) rows; the least key (nulls aside) for each fingerprint."""
     fps = sorted({f for _, f in pairs})
     root = {f: f for f in fps}
@@ -181,7 +181,7 @@ def brute_components(pairs):
 
     values = np.array(fps, np.uint64)
     for i, f in enumerate(fps):
-        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ np.uint64(f)) <= 2)
+        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ np.uint64(f)) <= distance)
         for j in near:
             root[find(fps[i + 1 + j])] = find(f)
     least = {}
@@ -226,12 +226,71 @@ def test_links_reach_what_brute_force_reaches(spark, crowd):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
-def test_keep_one_of_each_component(odd):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    least = brute_components([(k, brute_fingerprint(t)) for k, t in texts(odd)])
-    got = [(r.doc_id, brute_fingerprint(r.text or "")) for r in kept.collect()]
-    assert len(got) == len(set(least.values())) and all(k == least[f] for k, f in got)
+def brute_anchors(text, shingle):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return set()
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hs = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return {(k, min((h ^ h >> 29) * int(f) % 2**64 for h in hs)) for k, f in enumerate(simhash._FACTORS)}
+
+
+def brute_kept(rows, shingle, distance=12):
+    """Keys kept of (key, text) rows: one of each group of fingerprints within the distance that share an anchor."""
+    fps = {}
+    for key, text in rows:
+        fps.setdefault(brute_fingerprint(text, shingle), []).append((key, text))
+    nodes = sorted(fps)
+    anchors = [set().union(*(brute_anchors(t, shingle) for _, t in fps[f])) for f in nodes]
+    root = {f: f for f in nodes}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, f in enumerate(nodes):
+        for j in range(i):
+            if bin(f ^ nodes[j]).count("1") <= distance and anchors[i] & anchors[j]:
+                root[find(f)] = find(nodes[j])
+    groups = {}
+    for f in nodes:
+        groups.setdefault(find(f), []).extend(k for k, _ in fps[f])
+    return sorted((min(ks, key=lambda k: (k is None, k or 0)) for ks in groups.values()), key=repr)
+
+
+@pytest.mark.parametrize("table", ["odd", "given"])
+def test_keep_one_of_each_component(request, table):
+    df = request.getfixturevalue(table)
+    kept = simhash.keep_one(df, shingle=5)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == brute_kept(texts(df), 5)
+
+
+def test_keep_one_finds_similar_texts_in_crowds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CANDIDATES", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    base = [word() for _ in range(400)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(400), 1 + i % 3):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(word() for _ in range(300))) for i in range(200)]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5).collect()]
+    assert set(range(1000, 1200)) <= set(kept)
+    assert sum(k < 1000 for k in kept) <= 3 and 0 in kept
+
+
+def test_chains_never_prune_a_close_pair():
+    rng = random.Random(13)
+    xs = np.array([sum({1 << b for b in rng.sample(range(64), rng.randrange(1, 13))}) for _ in range(20_000)], np.uint64)
+    assert simhash.chained(xs, 12).all()
+    far = np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64)
+    assert simhash.chained(far, 12).mean() < 0.2
 
 
 # --- toxicity --------------------------------------------------------------------------------

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriset.llm.common import SLICE
 from veriset.session import materialise
 
+#: Rows encoded or decoded at a time inside a batch.
+SLICE = 128
 #: Code points of a leaf.
 LEAF = 16_384
 #: Words whose tokens are remembered (about 170 bytes each); the store is emptied when full.
-REMEMBERED = 800_000
+REMEMBERED = 350_000
 
 _BLANK = re.compile(r"[ \t\n\x0b\f\r]")
 #: One sign after an ASCII letter and before white space is always a token sequence of its own.

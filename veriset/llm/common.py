@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,26 @@ def attach(df: DataFrame, text: str, fields: list[StructField], compute: Callabl
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *compute(part.column(part.num_columns - 1))], names=labels)
 
     return source.mapInArrow(run, schema)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            values = np.asarray(batch.column(k))
+            marks[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(marks).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(batch.column(k)[a].as_py() for k in range(keys))
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,10 +5,15 @@ segment starts a chain of which every prefix of l segments differs in at most l
 a chain: its exact start (the prefixes whose budget is below one bit) is the join key, the later prefixes are compared
 before the full distance. Fingerprints that crowd under one key are linked through shared one-bit variants instead, which
 gives the same components without listing pairs.
+
+That holds for small distances (``near_duplicates``). For a similarity (``keep_one``) the distance is a fifth of the bits, and
+no chain start is exact for long enough to be a key: there the candidates share a smallest shingle under one of several hash
+orders, and the chains prune them before the full distance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriset.llm.common import attach, texts_of
+from veriset.llm.common import attach, groups_of, texts_of
 from veriset.llm.components import components
 from veriset.session import materialise
 
@@ -30,6 +35,12 @@ SEED = 42
 #: A key with more fingerprints is linked through variants; both ways are exact.
 CROWD = 128
 _BLOCK = 1 << 15
+#: Similarity is 1 - distance / 64. Two texts that share a share s of their shingles agree on a smallest shingle under at
+#: least one of the orders with probability 1 - (1 - s) ** ORDERS, which is 0.9999 at 0.8.
+SIMILARITY = 0.8
+ORDERS = 6
+#: Rows of a block of candidates; blocks of one key are compared pair by pair of blocks, each in its own task.
+CANDIDATES = 1024
 
 
 def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
@@ -46,27 +57,40 @@ def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(part) - span + 1)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text, as a signed number."""
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def sketch(text: str, shingle: int = SHINGLE, orders: int = 0) -> tuple[int, list[int]]:
+    """The 64-bit fingerprint of a text, as a signed number, and its smallest shingle under each of some hash orders."""
     words = text.encode().lower().split()
     if not words:
-        return 0
-    counts, total = np.zeros(BITS, np.int64), 0
+        return 0, []
+    counts, total, least = np.zeros(BITS, np.int64), 0, None
     for block in _hashes(words, shingle):
         bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
         total += len(block)
+        if orders:
+            mixed = np.array([((block ^ (block >> np.uint64(29))) * f).min() for f in _FACTORS[:orders]])
+            least = mixed if least is None else np.minimum(least, mixed)
     packed = np.packbits(counts * 2 > total, bitorder="little").view(np.int64)
-    return int(packed[0])
+    return int(packed[0]), least.view(np.int64).tolist() if orders else []
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows of ``df`` with ``fp`` (long). Null and empty texts have fingerprint zero."""
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return sketch(text, shingle)[0]
+
+
+def with_fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, orders: int = 0) -> DataFrame:
+    """Rows of ``df`` with ``fp`` (long), and ``anchors`` if orders are asked for. Null and empty texts have fingerprint zero."""
+    fields = [T.StructField("fp", T.LongType(), False), T.StructField("anchors", T.ArrayType(T.LongType(), False), False)]
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([fingerprint(value, shingle) for value in texts_of(column)], pa.int64())]
+        found = [sketch(value, shingle, orders) for value in texts_of(column)]
+        columns = [pa.array([f for f, _ in found], pa.int64()), pa.array([a for _, a in found], pa.list_(pa.int64()))]
+        return columns if orders else columns[:1]
 
-    return attach(df, text, [T.StructField("fp", T.LongType(), False)], compute)
+    return attach(df, text, fields if orders else fields[:1], compute)
 
 
 def turned(fp: Column, bits: int) -> Column:
@@ -152,26 +176,106 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 
 def roots(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(__key, fp) rows with their component's root and least key."""
-    distinct = materialise(rows.groupBy("fp").agg(F.min("__key").alias("least"), F.count(F.lit(1)).alias("n")))
-    reached = components(fingerprint_links(distinct.select("fp"), distance, segments))
+    distinct = materialise(rows.groupBy("fp").agg(F.min("__key").alias("least")))
+    return _rooted(rows, distinct, fingerprint_links(distinct.select("fp"), distance, segments))
+
+
+def _rooted(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    reached = components(links)
     classes = distinct.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
     return rows.join(named, F.col("fp") == F.col("__fp")).select("__key", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+_NIBBLE = np.array([bin(i).count("1") for i in range(16)], np.uint8)
+
+
+def chained(differing: np.ndarray, distance: int) -> np.ndarray:
+    """Which of some XORs hold a chain of 4-bit segments whose prefixes all keep within their budgets."""
+    raw = differing.view(np.uint8).reshape(-1, 8)
+    ring = np.empty((len(raw), 2 * SEGMENTS), np.uint8)
+    ring[:, 0:SEGMENTS:2], ring[:, 1:SEGMENTS:2] = _NIBBLE[raw & 15], _NIBBLE[raw >> 4]
+    ring[:, SEGMENTS:] = ring[:, :SEGMENTS]
+    sums = np.concatenate([np.zeros((len(raw), 1), np.int16), np.cumsum(ring, axis=1, dtype=np.int16)], axis=1)
+    budgets = np.array(chain_budgets(distance, SEGMENTS), np.int16)
+    found = np.zeros(len(raw), bool)
+    for start in range(SEGMENTS):
+        open_ = np.flatnonzero(~found)
+        if len(open_):
+            found[open_] = (sums[open_, start + 1 : start + SEGMENTS + 1] - sums[open_, start : start + 1] <= budgets).all(axis=1)
+    return found
+
+
+def similar_links(anchored: DataFrame, distance: int) -> DataFrame:
+    """(a, b) links that connect fingerprints within ``distance`` bits among those that share an anchor.
+
+    ``anchored`` is (anchor, fp). A key with many fingerprints is cut into blocks; every pair of its blocks is compared in a
+    task of its own, which holds two blocks and gives the links of a spanning forest only, not all pairs.
+    """
+    rows = materialise(anchored.distinct())
+    sizes = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = rows.join(sizes, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    spread = placed.select("anchor", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = spread.select("anchor", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+        for group in groups_of(batches, 3):
+            x, own, fps = (np.asarray(group.column(c)) for c in ("x", "own", "fp"))
+            left, right = fps[own == x], fps[own != x]
+            right = right if len(right) else left
+            root = {int(f): int(f) for f in fps}
+
+            def find(f: int, root=root) -> int:
+                while root[f] != f:
+                    root[f] = root[root[f]]
+                    f = root[f]
+                return f
+
+            for start in range(0, len(left), 64):
+                part = left[start : start + 64]
+                differing = (part[:, None] ^ right[None]).ravel()
+                candidates = np.flatnonzero((differing != 0))
+                candidates = candidates[chained(differing[candidates], distance)]
+                near = candidates[np.bitwise_count(differing[candidates].view(np.uint64)) <= distance]
+                for i, j in zip((near // len(right)).tolist(), (near % len(right)).tolist(), strict=True):
+                    a, b = int(part[i]), int(right[j])
+                    ra, rb = find(a), find(b)
+                    if ra != rb:
+                        root[max(ra, rb)] = min(ra, rb)
+                        held.append((a, b))
+            if len(held) > 10_000:
+                yield pair_batch(held)
+                held = []
+        if held:
+            yield pair_batch(held)
+
+    dealt = cells.repartition("anchor", "x", "y").sortWithinPartitions("anchor", "x", "y").select("anchor", "x", "y", "own", "fp")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` with one row of each component: that of the smallest key, of equal ones the first in the table.
 
-    Null keys come last. Columns are unchanged.
+    Fingerprints link at a similarity of 1 - distance / 64 or more if their texts share an anchor; equal texts and all texts
+    without words share a fingerprint. Null keys come last. Columns are unchanged, whatever their names.
     """
+    distance = math.floor(BITS * (1 - similarity) + 1e-9)
     kept = list(df.columns)
     numbered = df.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     at = {c: f"c{i}" for i, c in enumerate(kept)}
-    # Written once, so that a row keeps its number; the search reads three columns of it.
-    stored = materialise(with_fingerprints(numbered.withColumn("__body", F.col(at[text])), "__body", shingle).drop("__text", "__body"))
+    # Written once, so that a row keeps its number; the search reads the small columns of it.
+    stored = materialise(with_fingerprints(numbered.withColumn("__body", F.col(at[text])), "__body", shingle, ORDERS).drop("__text", "__body"))
+    rows = stored.select(F.col("__row").alias("__key"), "fp")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("__key").alias("least")))
+    anchored = stored.select("fp", F.posexplode("anchors").alias("order", "least")).select(F.xxhash64("order", "least").alias("anchor"), "fp")
+    found = _rooted(rows, distinct, similar_links(anchored, distance)).select(F.col("__key").alias("row"), "root")
     ordered = F.struct(F.col(at[key]).isNull().alias("last"), F.col(at[key]).alias("key"), F.col("__row").alias("row"))
-    found = roots(stored.select(F.col("__row").alias("__key"), "fp"), distance, segments).select(F.col("__key").alias("row"), "root")
     heads = stored.select("__row", ordered.alias("place")).join(found, F.col("__row") == F.col("row")).groupBy("root").agg(F.min("place").alias("first"))
     winners = heads.select(F.col("first.row").alias("__winner"))
     return stored.join(winners, F.col("__row") == F.col("__winner"), "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)])
