@@ -168,3 +168,22 @@ def test_evaluate_builds_every_table(spark):
         spark.createDataFrame([(0, "a")], "class_index int, class_name string"),
     )
     assert [r.target_class for r in unknown.collect()] == ["zz"]
+
+
+def test_centroids_stand_at_their_labels(spark):
+    rows = [(0, 0, [1.0, 0.0, 0.0]), (1, 2, [0.0, 1.0, 0.0]), (2, 5, [0.0, 0.0, 1.0])]
+    features = spark.createDataFrame(rows, "id bigint, target int, features array<double>")
+    scored = scores.predictions(scores.centroid_scores(features, scores.centroids(features))).collect()
+    assert all(r.predicted_index == r.true_index and r.correct for r in scored)
+    assert all(len(r.probs) == 6 and r.probs[1] == r.probs[3] == r.probs[4] == 0.0 and sum(r.probs) == pytest.approx(1.0) for r in scored)
+    unseen = features.filter("target <> 5")
+    assert {r.true_index: r.correct for r in scores.predictions(scores.centroid_scores(features, scores.centroids(unseen))).collect()} == {0: True, 2: True, 5: False}
+
+
+def test_a_mapping_to_an_unknown_class_fails(spark):
+    from veriset.operators.checks import ContractError
+
+    mapping = spark.createDataFrame([("x", "a"), ("y", "nowhere")], "source_class string, target_class string")
+    classes = spark.createDataFrame([("a", 0)], "class_name string, class_index int")
+    with pytest.raises(ContractError, match="mapped_classes_exist"):
+        confusion.mapped_targets(spark.createDataFrame([("x",)], "source_class string"), mapping, classes)

@@ -1,6 +1,4 @@
-"""Registered queries against their SQL on the smallest tables; ``VERISET_ALL_QUERIES=1`` runs every one."""
-
-import os
+"""Every registered query against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
@@ -8,14 +6,8 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = [
-    "missing_class_splits", "folder_completeness", "exact_groups", "exact_pairs", "collision_log", "leaf_coverage", "leaf_resolve",
-    "list_resolution", "near_pairs_strict", "quarantine_manifest", "near_review_summary", "components", "safe_manifest", "greedy_split",
-    "half_split", "label_permutation", "embedding_top_pairs", "set_checks", "name_columns", "file_names", "class_report", "macro_weighted",
-    "calibration_bins", "auc_averages", "roc_macro_auc", "bootstrap_poisson_ci", "weight_search", "ood_summary", "condition_sweep",
-    "permutation_control", "early_stop", "gap", "run_comparison", "control_report",
-]
-NAMES = list(entry.queries()) if os.environ.get("VERISET_ALL_QUERIES") else SAMPLE
+# The text operators' queries are tested in tests/llm.
+NAMES = list(entry.QUERIES)
 
 
 @pytest.fixture(scope="module")

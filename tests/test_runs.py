@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import golden
 from veriset.operators import runs
@@ -42,10 +43,10 @@ def test_best_epoch_of_the_published_runs(spark):
     assert stopped["short"].effective_epochs == 8 and stopped["short"].best_epoch == 6 and stopped["short"].stopped_early
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 20, 0])
-def test_chain_equals_the_sequential_rule_for_short_and_long_runs(spark, fold_limit):
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_chain_equals_the_sequential_rule_for_short_and_long_runs(spark, partitions):
     series = random_series(7)
-    chain = runs.improvement_chain(history(spark, series), fold_limit=fold_limit)
+    chain = runs.improvement_chain(history(spark, series).repartition(partitions))
     found = {}
     for r in chain.orderBy("step").collect():
         found.setdefault(r.run, []).append((r.epoch, r.position))
@@ -57,6 +58,13 @@ def test_chain_equals_the_sequential_rule_for_short_and_long_runs(spark, fold_li
             assert stopped[name] == (expected_chain[-1][0], expected_epochs)
 
 
+def test_a_run_that_improves_in_each_of_many_epochs(spark):
+    long = spark.range(50_000).select(F.lit("long").alias("run"), F.col("id").alias("epoch"), (F.col("id") * 2e-4).alias("f1"), F.lit(1.0).alias("loss"))
+    chain = runs.improvement_chain(long.union(spark.createDataFrame([("x", 1, 0.5, 1.0)], long.schema)))
+    assert chain.count() == 50_001
+    assert {(r.run, r.best_epoch, r.epochs) for r in runs.best_epoch(chain).collect()} == {("long", 49_999, 50_000), ("x", 1, 1)}
+
+
 def test_best_and_last_takes_the_earliest_of_equal_rows(spark):
     df = history(spark, {"a": [(1, 0.5, 0.7), (2, 0.4, 0.9), (3, 0.3, 0.9), (4, 0.2, 0.1)]})
     row = runs.best_and_last(df).first()

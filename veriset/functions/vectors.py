@@ -45,7 +45,8 @@ def predicted_index(probs: Column) -> Column:
 
 
 def true_probability(probs: Column, target: Column) -> Column:
-    return F.element_at(probs, target + 1)
+    """Probability of the truth; 0 for a label behind the last one the model knows."""
+    return F.coalesce(F.try_element_at(probs, target + 1), F.lit(0.0))
 
 
 def log_loss_term(probability: Column) -> Column:

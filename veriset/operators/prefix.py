@@ -7,6 +7,8 @@ key to its running sum inside the block. Only the small block table is windowed
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def hash_block(hash_value: Column, bits: int = 10) -> Column:
     return F.shiftright(hash_value, HASH_BITS - bits)
 
 
+def block_bits(df: DataFrame, rows: int = 100_000) -> int:
+    """Bits for blocks of about ``rows`` rows, were all rows under one key."""
+    return max(4, math.ceil(math.log2(max(1, df.count() / rows))))
+
+
 def _as_columns(items: list[str | Column]) -> list[Column]:
     return [F.col(i) if isinstance(i, str) else i for i in items]
 
@@ -93,8 +100,8 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str | Column], name: s
     return ranked.withColumn(name, F.col(name) + 1)
 
 
-def rank_by_hash(df: DataFrame, keys: list[str], salt: str, id_column: str = "id", name: str = "rank", bits: int = 10) -> DataFrame:
+def rank_by_hash(df: DataFrame, keys: list[str], salt: str, id_column: str = "id", name: str = "rank", bits: int | None = None) -> DataFrame:
     """Reproducible shuffle: 1-based position of each row of a key in the order of its salted hash."""
     hashed = df.withColumn("_hash", hash60(F.lit(f"{salt}:"), F.col(id_column)))
-    ranked = rank_rows(hashed, keys, ["_hash", id_column], name, block=hash_block(F.col("_hash"), bits))
+    ranked = rank_rows(hashed, keys, ["_hash", id_column], name, block=hash_block(F.col("_hash"), block_bits(df) if bits is None else bits))
     return ranked.drop("_hash")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions import flags
-from veriset.operators.prefix import rank_rows
-from veriset.session import materialise
 
 MIN_GAIN = 1e-4
 
@@ -17,67 +17,33 @@ MIN_GAIN = 1e-4
 # --- best epoch and early stop -------------------------------------------------------------
 
 
-def _improves(f1: Column, loss: Column, best_f1: Column, best_loss: Column, min_gain: float) -> Column:
-    """Better F1 by more than the tolerance, or within it and lower loss."""
-    return (f1 > best_f1 + min_gain) | ((F.abs(f1 - best_f1) <= min_gain) & (loss < best_loss))
-
-
-def improvement_chain(history: DataFrame, min_gain: float = MIN_GAIN, fold_limit: int = 10_000) -> DataFrame:
+def improvement_chain(history: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
     """(run, step, epoch, position, f1, loss, epochs): every epoch that replaced the best one.
 
-    ``history`` is (run, epoch, f1, loss). F1 and loss of the best epoch move together. The rule depends
-    on the previous choice, so a run is folded in epoch order. Runs of at most ``fold_limit`` epochs are
-    folded inside one row; longer ones leap from improvement to improvement, each leap one
-    aggregation over all their epochs in parallel.
+    ``history`` is (run, epoch, f1, loss). F1 and loss of the best epoch move together, and the tolerance makes the rule
+    depend on the previous choice, so a run is read in epoch order: rows are sorted within partitions (Spark spills the
+    sort) and pass by batch, with the best epoch so far as the only state. One pass at every length.
     """
-    lengths = history.groupBy("run").agg(F.count("*").alias("epochs"))
-    longest = lengths.agg(F.max("epochs").alias("n")).first().n or 0
-    if longest <= fold_limit:
-        return _folded_chain(history, min_gain)
-    long_runs = materialise(lengths.filter(F.col("epochs") > fold_limit))
-    short = history.join(long_runs, "run", "left_anti")
-    return _folded_chain(short, min_gain).unionByName(_leaping_chain(history.join(long_runs, "run"), min_gain))
-
-
-def _folded_chain(history: DataFrame, min_gain: float) -> DataFrame:
-    entry = "struct<epoch:bigint,position:bigint,f1:double,loss:double>"
-    ordered = history.groupBy("run").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("bigint").alias("epoch"), F.col("f1").cast("double").alias("f1"), F.col("loss").cast("double").alias("loss")))).alias("e"),
-    )
-    indexed = F.transform(
-        "e", lambda x, i: F.struct(x.epoch.alias("epoch"), (i + 1).cast("bigint").alias("position"), x.f1.alias("f1"), x.loss.alias("loss"))
-    )
-
-    def step(chain, x):
-        last = F.element_at(chain, -1)
-        better = F.when(F.size(chain) == 0, F.lit(True)).otherwise(_improves(x.f1, x.loss, last.f1, last.loss, min_gain))
-        return F.when(better, F.concat(chain, F.array(x))).otherwise(chain)
-
-    chain = F.aggregate(indexed, F.array().cast(f"array<{entry}>"), step)
-    return ordered.select("run", F.size("e").cast("bigint").alias("epochs"), F.posexplode(chain).alias("step", "c")).select(
-        "run", (F.col("step") + 1).alias("step"), "c.epoch", "c.position", "c.f1", "c.loss", "epochs"
-    )
-
-
-def _leaping_chain(history: DataFrame, min_gain: float) -> DataFrame:
-    placed = materialise(
-        rank_rows(history.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.col("f1").cast("double").alias("f1"), F.col("loss").cast("double").alias("loss"), "epochs"), ["run"], ["epoch"], "position")
-    )
-    columns = ["run", "epoch", "position", "f1", "loss", "epochs"]
-    current = materialise(placed.filter(F.col("position") == 1).select(columns))
-    steps = [current.withColumn("step", F.lit(1))]
-    while True:
-        best = current.select("run", F.col("position").alias("_p"), F.col("f1").alias("_f1"), F.col("loss").alias("_loss"))
-        later = placed.join(best, "run").filter(
-            (F.col("position") > F.col("_p")) & _improves(F.col("f1"), F.col("loss"), F.col("_f1"), F.col("_loss"), min_gain)
-        )
-        current = materialise(
-            later.groupBy("run").agg(F.min(F.struct("position", "epoch", "f1", "loss", "epochs")).alias("n")).select("run", "n.epoch", "n.position", "n.f1", "n.loss", "n.epochs")
-        )
-        if current.isEmpty():
-            break
-        steps.append(current.withColumn("step", F.lit(len(steps) + 1)))
-    return reduce(DataFrame.unionByName, steps).select("run", "step", "epoch", "position", "f1", "loss", "epochs")
+    columns = history.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.col("f1").cast("double").alias("f1"), F.col("loss").cast("double").alias("loss"))
+    kind = columns.schema["run"].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, best, position, step = object(), None, 0, 0
+        for batch in batches:
+            found = []
+            for name, epoch, f1, loss in zip(batch["run"], batch["epoch"], batch["f1"], batch["loss"], strict=True):
+                if name != run and not (name is None and run is None):
+                    run, best, position, step = name, None, 0, 0
+                position += 1
+                if best is None or f1 > best[0] + min_gain or (abs(f1 - best[0]) <= min_gain and loss < best[1]):
+                    best, step = (f1, loss), step + 1
+                    found.append((name, step, epoch, position, f1, loss))
+            yield pd.DataFrame(found, columns=["run", "step", "epoch", "position", "f1", "loss"])
+
+    ordered = columns.repartition("run").sortWithinPartitions("run", "epoch", "f1", "loss")
+    chain = ordered.mapInPandas(fold, f"run {kind}, step int, epoch bigint, position bigint, f1 double, loss double")
+    lengths = history.groupBy(F.col("run").alias("_run")).agg(F.count("*").alias("epochs"))
+    return chain.join(lengths, F.col("run").eqNullSafe(F.col("_run"))).drop("_run")
 
 
 def best_epoch(chain: DataFrame) -> DataFrame:

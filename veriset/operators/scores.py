@@ -138,8 +138,9 @@ def weight_search(first: DataFrame, second: DataFrame, labels: int, eligible: tu
         vectors.predicted_index(F.col("probs")).alias("predicted_index"),
         vectors.log_loss_term(vectors.true_probability(F.col("probs"), F.col("target"))).alias("loss"),
     )
-    cells = predicted.groupBy("weight", "true_index", "predicted_index").agg(
-        F.count("*").alias("count"), F.sum("loss").alias("loss")
+    # weights x labels x labels rows, written once: quality, loss and choice all read them.
+    cells = materialise(
+        predicted.groupBy("weight", "true_index", "predicted_index").agg(F.count("*").alias("count"), F.sum("loss").alias("loss"))
     )
     quality = confusion.averages(confusion.class_report(cells, labels, ["weight"]), ["weight"])
     loss = cells.groupBy("weight").agg((F.sum("loss") / F.sum("count")).alias("validation_loss"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions.names import hash60
 from veriset.operators.checks import check, enforce
-from veriset.operators.prefix import hash_block, rank_by_hash, rank_rows, running_sums
+from veriset.operators.prefix import block_bits, hash_block, rank_by_hash, rank_rows, running_sums
 from veriset.session import materialise
 
 DEFAULT_RATIOS = {"train": "0.8", "validation": "0.1", "test": "0.1"}
@@ -35,7 +35,7 @@ def validation_prefix(groups: DataFrame, fraction: float, group: str = "group",
         ["class"],
         ["_hash", group],
         {"_before": F.col("size"), "_position": F.lit(1).cast("bigint")},
-        block=hash_block(F.col("_hash")),
+        block=hash_block(F.col("_hash"), block_bits(groups)),
     ).join(totals, "class")
     target = F.greatest(F.bround(F.col("_total") * F.lit(fraction), 0).cast("bigint"), F.lit(1))
     taken = (F.col("_before") < target) & (F.col("_position") < F.col("_groups") - 1)
@@ -146,7 +146,7 @@ def apply_group_split(records: DataFrame, assignment: DataFrame, group: str = "g
 def half_split(records: DataFrame, seed: int = 42) -> DataFrame:
     """Stratified halves: test gets ceil(n/2) rows in all, every class within one row of its half."""
     hashed = records.withColumn("_hash", hash60(F.lit(f"half:{seed}:"), F.col("id")))
-    ranked = rank_rows(hashed, ["class"], ["_hash", "id"], "_rank", block=hash_block(F.col("_hash")))
+    ranked = rank_rows(hashed, ["class"], ["_hash", "id"], "_rank", block=hash_block(F.col("_hash"), block_bits(records)))
     sizes = records.groupBy("class").agg(F.count("*").alias("_n"))
     odd = sizes.filter(F.col("_n") % 2 == 1)
     extra = rank_rows(
