@@ -95,15 +95,15 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def half_features(spark: SparkSession, folder: str, model: str) -> DataFrame:
-    """Features of model ``a`` (dimensions 1-32) or ``b`` (33-64)."""
-    start = {"a": 1, "b": 33}[model]
-    return embeddings(spark, folder).withColumn("features", F.slice("embedding", start, 32)).drop("embedding")
+def model_features(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    """Features of model ``a`` (the whole vector) or of ``b``, the second one of an ensemble (the vector from place 33)."""
+    seen = {"a": F.col("embedding"), "b": F.slice("embedding", 33, F.greatest(F.size("embedding") - 32, F.lit(0)))}[model]
+    return embeddings(spark, folder).withColumn("features", seen).drop("embedding")
 
 
 def scored(spark: SparkSession, folder: str, model: str) -> DataFrame:
     """Class probabilities of every embedding from centroids fitted on the training split."""
-    features = half_features(spark, folder, model)
+    features = model_features(spark, folder, model)
     fitted = scores.centroids(features.filter(F.col("split") == "train"))
     return scores.centroid_scores(features, fitted).select("id", "target", "split", "probs")
 

@@ -52,7 +52,7 @@ SELECT id, predicted_index::BIGINT AS predicted_index, round(confidence, 6) AS c
        round(-ln(least(greatest(true_probability, 1e-12), 1.0)), 6) AS log_loss, round(brier, 6) AS brier FROM pred JOIN sq USING (id)""",
 )
 def score_batches(spark, folder):
-    features = derived.half_features(spark, folder, "a")
+    features = derived.model_features(spark, folder, "a")
     scored = scores.centroid_scores(features, scores.centroids(features.filter("split = 'train'")))
     scored = confusion.row_losses(scored)
     return scores.predictions(scored).select("id", "predicted_index", "confidence", "log_loss", "brier")

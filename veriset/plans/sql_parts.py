@@ -50,8 +50,7 @@ EMB = f"""emb AS (
 
 def probabilities(model: str, source: str = "emb", features: str | None = None, fit_on: str = "split = 'train'", fit_label: str = "target", extra: str = "") -> str:
     """CTEs p_<model>(id, target, k, p): softmax of the cosine to the training centroids."""
-    start = {"a": 1, "b": 33}.get(model, 1)
-    vector = features or f"embedding[{start}:{start + 31}]"
+    vector = features or ("embedding[33:]" if model == "b" else "embedding")
     extra_columns = f", {extra}" if extra else ""
     extra_group = extra_columns
     return f"""

@@ -56,6 +56,23 @@ def clear_intermediates(spark: SparkSession) -> None:
     files.delete(where, True)
 
 
+_scope = ""
+
+
+def open_scope(spark: SparkSession) -> str:
+    """Gather the tables written from here on in a folder of their own, until another scope opens; returns its name."""
+    global _scope
+    own_folder(spark)
+    _scope = f"scope-{uuid.uuid4().hex}/"
+    return _scope
+
+
+def drop_scope(spark: SparkSession, scope: str) -> None:
+    """Delete the tables of a scope, when everything that reads them has been written."""
+    files, where = _hadoop(spark, f"{own_folder(spark)}/{scope}")
+    files.delete(where, True)
+
+
 def _hadoop(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -68,6 +85,6 @@ def materialise(df: DataFrame) -> DataFrame:
     executors. Used where a result feeds several branches or the next round of an iteration.
     """
     spark = df.sparkSession
-    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{own_folder(spark)}/{_scope}{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
