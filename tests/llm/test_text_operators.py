@@ -122,8 +122,9 @@ def test_lines_give_the_text_back(odd, given):
             assert "".join(line for chunk in brute_chunks(text) for line in chunk) == text
 
 
-@pytest.mark.parametrize("table", ["odd", "given"])
-def test_line_dedup(request, table):
+@pytest.mark.parametrize("table, broadcast", [("odd", 0), ("odd", 2_000_000), ("given", 0), ("given", 2_000_000)])
+def test_line_dedup(request, monkeypatch, table, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_HASHES", broadcast)
     df = request.getfixturevalue(table)
     done = linededup.dedup_lines(df).collect()
     order = sorted(range(len(done)), key=lambda i: (done[i].doc_id is not None, done[i].doc_id or 0))

@@ -19,6 +19,8 @@ LINE = r"[^.!?\n]+[.!?\n \t\r]*|[.!?\n \t\r]+"
 #: A chunk ends where the rolling hash is divisible by this: chunks have about as many lines.
 DIVISOR = 4
 BASE = 31
+#: Up to so many repeated hashes are broadcast.
+BROADCAST_HASHES = 2_000_000
 #: A paragraph end (sentence end, then line feed) always ends a chunk.
 PARAGRAPH = r"[.!?][ \t\r]*\n"
 
@@ -56,12 +58,14 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor:
     hashed = cut.withColumn("__hashes", F.transform("__chunks", lambda c: F.xxhash64(c["text"]))).drop("__lines")
     # Written once: row numbers hold for good, and the hashes can be read without the texts.
     stored = materialise(hashed.drop(text))
-    repeated = stored.select(F.explode("__hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    repeated = materialise(stored.select(F.explode("__hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    # Eight bytes a hash: up to a counted bound they go to the chunks, beyond it both sides meet in a shuffle.
+    wanted = F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated
     place = F.struct(F.col(f"`{key}`").alias("id"), F.col("__row").alias("row"), F.col("at"))
     found = (
         stored.select("__row", F.col(f"`{key}`"), F.posexplode(F.arrays_zip("__hashes", "__chunks")).alias("at", "c"))
         .select("__row", place.alias("place"), "at", F.col("c.__hashes").alias("h"), F.col("c.__chunks.text").alias("chunk"), (F.col("c.__chunks.n") > 1).alias("long"))
-        .join(repeated, "h")
+        .join(wanted, "h")
     )
     found = materialise(found)
     # Equal bytes, not only equal hashes, make a group.
