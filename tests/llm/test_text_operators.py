@@ -446,6 +446,12 @@ def test_mix_reaches_the_weights(spark, odd, none):
         mixing.poisson_mix(odd, total=1e9).count()
 
 
+def test_mix_of_a_source_of_one_row(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "large").otherwise("rare").alias("source"))
+    counts = {r.source: r["count"] for r in mixing.poisson_mix(docs, {"large": 1.0, "rare": 1.0}).groupBy("source").count().collect()}
+    assert counts == {s: pytest.approx(1_500, rel=0.15) for s in ("large", "rare")}
+
+
 def test_poisson_inversion():
     import math
 

@@ -57,21 +57,24 @@ def replication_rates(df: DataFrame, weights: dict[str, float] | None = None, so
 
 
 def poisson_mix(
-    df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = SEED, total: float | None = None, max_rate: float = 1024.0
+    df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = SEED, total: float | None = None, max_rate: float | None = 1024.0
 ) -> DataFrame:
     """Rows of ``df`` repeated to the target weights and shuffled globally, with ``copy`` (from 1) and ``shuffle_key``.
 
     A null source is a source of its own (weight only if none are given). A null key is hashed as the empty string;
     rows that share key and source draw the same count. Texts pass through unread. Empty tables give empty results.
-    Input columns named copy or shuffle_key are replaced. ``max_rate`` guards against a rate that would flood the result
-    and fails the query when exceeded, rather than cutting it.
+    Input columns named copy or shuffle_key are replaced. With a ``total``, ``max_rate`` guards against a rate that
+    would flood the result and fails the query when exceeded, rather than cutting it (None: no bound). Without a total the
+    result has about as many rows as the input, however large the rate of a small source, and no bound applies.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("copy", "shuffle_key")]
     rates = replication_rates(df, weights, source, total).select(F.col("source").alias("__source"), "rate")
     # A few rows per source name: Spark broadcasts it while its size allows, and splits a hot source otherwise.
     rated = df.select(*kept).join(rates, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
     name, document = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    checked = F.when(F.col("rate") <= max_rate, F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).otherwise(F.raise_error(F.lit("a replication rate exceeds max_rate")).cast("int"))
+    checked = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
+    if total is not None and max_rate is not None:
+        checked = F.when(F.col("rate") <= max_rate, checked).otherwise(F.raise_error(F.lit("a replication rate exceeds max_rate")).cast("int"))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")),
         F.lit(0),
