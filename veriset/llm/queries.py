@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriset.llm import bpe, linededup, mixing, neighbourgraph, privacy, quality, rollups, sharding, simhash, sql, toxicity
+from veriset.llm import bpe, conversations, linededup, mixing, neighbourgraph, privacy, quality, rollups, sharding, simhash, sql, toxicity
 from veriset.llm.common import table
 from veriset.session import checkpoint_root
 
@@ -122,3 +122,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, keep_text=False), path)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_structure_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    found = conversations.audits(conversations.damaged(table(spark, folder, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
