@@ -93,7 +93,7 @@ def test_variants_equal_plain_version(spark):
     rng = random.Random(9)
     words = crowd(5, 60)
     rows = [(i, " ".join(rng.choice(words[:8] if rng.random() < 0.8 else words) for _ in range(200)).title()) for i in range(40)]
-    rows += [(None, None), (7, ""), (None, "ABÉABÉABAÉ " * 3), (3, "x" * 50_000 + " " + "x" * 50_000 + "1" + "x" * 49_999), (4, "x" * 49_999 + "×÷" * 9)]
+    rows += [(None, None), (7, ""), (None, "ABÉABÉABAÉ " * 3), (3, "x" * 3_000 + " " + "x" * 3_000 + "1" + "x" * 2_999), (4, "x" * 2_999 + "×÷" * 9)]
     rows += rows[:2]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
     wanted = plain(rows)
