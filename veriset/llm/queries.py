@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriset.llm import bpe, conversations, linededup, mixing, neighbourgraph, privacy, quality, rollups, sharding, simhash, spelling, sql, toxicity
+from veriset.llm import bpe, conversations, linededup, mixing, neighbourgraph, privacy, quality, rollups, setjoin, sharding, simhash, spelling, sql, toxicity
 from veriset.llm.common import table
 from veriset.session import checkpoint_root
 
@@ -124,6 +124,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op11_partenum")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of shingles and component of every document."""
+    return setjoin.similar_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Form, root and near words of every word of the documents."""
