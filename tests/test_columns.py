@@ -94,10 +94,7 @@ def test_band_masks_catch_every_close_pair(bands, threshold):
     masks = vectors.band_masks(bands, bands - threshold)
     for _ in range(2000):
         difference = sum(1 << b for b in rng.sample(range(64), threshold))
-        hit = [m for m in masks if difference & m & (2**64 - 1) == 0]
-        assert hit
-        finer = vectors.sub_masks(hit[0], threshold + 1)
-        assert any(difference & m & (2**64 - 1) == 0 for m in finer)
+        assert any(difference & m & (2**64 - 1) == 0 for m in masks)
 
 
 def test_hash_bands_cover_all_bits(spark):

@@ -189,13 +189,6 @@ def band_masks(count: int, kept: int) -> list[int]:
     return [signed64(sum(chosen)) for chosen in combinations(bands, kept)]
 
 
-def sub_masks(mask: int, count: int) -> list[int]:
-    """Masks that add to ``mask`` one of ``count`` equal shares of the bits it leaves out."""
-    whole = mask % (1 << 64)
-    free = [1 << bit for bit in range(64) if not whole & 1 << bit]
-    return [signed64(whole + sum(free[i] for i in share)) for share in shares(len(free), count)]
-
-
 # --- pixel vectors -------------------------------------------------------------------------
 
 

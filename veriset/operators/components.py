@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.operators import links
+from veriset.operators.nearhash import near_count, near_forest
 from veriset.operators.prefix import rank_rows
 from veriset.session import materialise
 
 
 def _signature(edges: DataFrame):
     return edges.agg(
-        F.count("*").alias("edges"), F.bit_xor(F.xxhash64("big", "small")).alias("mix"), F.sum("small").cast("string").alias("total")
+        F.count("*").alias("edges"), F.bit_xor(F.xxhash64("big", "small")).alias("mix"), F.sum(F.col("small").cast("decimal(38,0)")).cast("string").alias("total")
     ).first()
 
 
@@ -73,8 +74,7 @@ def record_components(records: DataFrame, threshold: int = 4, near_edges: bool =
     if near_edges:
         hashed = folded.filter(F.col("fp").isNotNull()).select("rep", "class", "fp").distinct()
         centres = hashed.groupBy("class", "fp").agg(F.min("rep").alias("centre"))
-        everywhere = centres.select("class", "fp", F.lit(7).alias("in_splits"))
-        near = links.near_hashes(everywhere, "class", threshold)
+        near = near_forest(centres, "class", threshold)
         edges = edges.unionByName(_stars(hashed, ["class", "fp"])).unionByName(
             near.join(centres.select("class", F.col("fp").alias("fp_a"), F.col("centre").alias("big")), ["class", "fp_a"])
             .join(centres.select("class", F.col("fp").alias("fp_b"), F.col("centre").alias("small")), ["class", "fp_b"])
@@ -109,11 +109,7 @@ def link_counts(records: DataFrame, threshold: int = 4) -> DataFrame:
     """How many links each evidence gives: n-1 per digest, and every pair within the hash threshold."""
     hashed = records.filter(F.col("fp").isNotNull()).groupBy("class", "fp").agg(F.count("*").alias("copies"))
     counts = materialise(hashed)
-    near = links.near_hashes(counts.select("class", "fp", F.lit(7).alias("in_splits")), "class", threshold)
-    sides = {s: counts.select("class", F.col("fp").alias(f"fp_{s}"), F.col("copies").alias(f"copies_{s}")) for s in "ab"}
-    across = near.join(sides["a"], ["class", "fp_a"]).join(sides["b"], ["class", "fp_b"]).select(
-        (F.col("copies_a") * F.col("copies_b")).alias("n")
-    )
+    across = near_count(counts, "class", threshold, "copies").select(F.col("links").alias("n"))
     within = counts.select(F.expr("copies * (copies - 1) div 2").alias("n"))
     near_total = across.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
     exact = links.exact_link_count(records)

@@ -8,13 +8,11 @@ leaves a record out.
 
 from __future__ import annotations
 
-from math import comb
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions.names import split_pair
-from veriset.functions.vectors import band_masks, hamming64, sub_masks
+from veriset.operators.nearhash import BLOCK, near_hashes
 from veriset.session import materialise
 
 
@@ -105,129 +103,6 @@ def exact_link_count(records: DataFrame, key: str = "digest") -> DataFrame:
 # --- near pairs ----------------------------------------------------------------------------
 
 
-def choose_bands(hashes: int, threshold: int, most_keys: int = 500) -> int:
-    """Number of bands for which shuffled keys plus expected chance candidates cost least.
-
-    A shuffled and sorted key row was measured to weigh about sixteen candidate comparisons.
-    """
-
-    def cost(bands: int) -> float:
-        keys = comb(bands, threshold)
-        bits = 64.0 * (bands - threshold) / bands
-        return 16.0 * hashes * keys + keys * float(hashes) ** 2 / 2.0 ** (bits + 1)
-
-    options = [b for b in range(threshold + 1, 33) if comb(b, threshold) <= most_keys]
-    return min(options, key=cost)
-
-
-def _literals(masks: list[int]) -> Column:
-    return F.array(*[F.lit(m).cast("bigint") for m in masks])
-
-
-def _first_match(difference: Column, masks: Column) -> Column:
-    """Index of the first mask on which two hashes agree, from the XOR of the hashes."""
-    return (F.array_position(F.transform(masks, lambda m: difference.bitwiseAND(m) == 0), F.lit(True)) - 1).cast("int")
-
-
-def _cells(keyed: DataFrame, bucket: list[str], limit: int) -> DataFrame:
-    """Spread each oversized bucket over a triangle of cells that together see every pair once."""
-    sizes = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / limit).cast("int").alias("_chunks"))
-    chunked = keyed.join(sizes, bucket).withColumn(
-        "_chunk", F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int")
-    )
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("_chunks") - 1),
-        lambda other: F.struct(F.least("_chunk", other).alias("x"), F.greatest("_chunk", other).alias("y")),
-    )
-    spread = chunked.withColumn("_cell", F.explode(cells))
-    return spread.select("*", F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y")).drop("_chunks", "_cell")
-
-
-def _fullest_bucket(keyed: DataFrame, bucket: list[str], limit: int, slots: int = 1 << 20) -> int:
-    """Size of the largest bucket, or a bound within the limit.
-
-    Buckets share a fixed number of slots first, which combines well before the shuffle; the exact count
-    is only needed when some slot exceeds the limit.
-    """
-
-    def largest(*keys) -> int:
-        return keyed.groupBy(*keys).count().agg(F.max("count").alias("n")).first().n or 0
-
-    bound = largest(F.pmod(F.xxhash64(*bucket), F.lit(slots)))
-    return bound if bound <= limit else largest(*bucket)
-
-
-def near_hashes(hashes: DataFrame, block: str, threshold: int, bands: int | None = None, bucket_limit: int = 20_000) -> DataFrame:
-    """All pairs of distinct hashes of one block within ``threshold`` bits, each once.
-
-    ``hashes`` holds distinct (block, fp, in_splits) rows, ``in_splits`` being a bit set of the
-    splits that hold the hash; pairs that live in one and the same split are skipped early.
-    Candidates agree on a choice of bands. A bucket above ``bucket_limit`` is cut by the bits its
-    band leaves out, where the same argument applies again, and what is still too large is spread over
-    cells. All three steps are exact.
-    """
-    if bands is None:
-        bands = choose_bands(hashes.count(), threshold)
-    masks = band_masks(bands, bands - threshold)
-    keyed = hashes.select(
-        F.col(block).alias("_block"),
-        "fp",
-        "in_splits",
-        F.posexplode(_literals(masks)).alias("_band", "_mask"),
-    )
-    keyed = keyed.select("_block", "fp", "in_splits", "_band", F.col("fp").bitwiseAND(F.col("_mask")).alias("_value"), F.lit(-1).alias("_sub"))
-    bucket = ["_block", "_band", "_value", "_sub"]
-    oversized = _fullest_bucket(keyed, bucket, bucket_limit) > bucket_limit
-    if oversized:
-        keyed = _refined(keyed, masks, threshold, bucket, bucket_limit)
-        keyed = _cells(materialise(keyed), bucket, bucket_limit)
-        bucket = [*bucket, "_x", "_y"]
-
-    # one bigint key sorts fastest; the conditions below weed out hash collisions
-    key = F.xxhash64(*bucket).alias("_key")
-    own = ["_block", "_band", "_sub", *(["_x", "_y", "_chunk"] if oversized else [])]
-    left = keyed.select(key, *own, F.col("fp").alias("fp_a"), F.col("in_splits").alias("in_a"))
-    right = keyed.select(
-        key, *[F.col(c).alias(f"{c}_r") for c in own], F.col("fp").alias("fp_b"), F.col("in_splits").alias("in_b")
-    )
-    distance = hamming64(F.col("fp_a"), F.col("fp_b"))
-    difference = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    wanted = (
-        (F.col("fp_a") < F.col("fp_b"))
-        & (distance <= threshold)
-        & ~((F.col("in_a") == F.col("in_b")) & (F.bit_count("in_a") == 1))
-        & (F.least("_block", "_block_r") == F.greatest("_block", "_block_r"))
-        & (F.col("_band") - F.col("_band_r") == 0)
-        & (F.col("_sub") - F.col("_sub_r") == 0)
-    )
-    if oversized:
-        wanted = (
-            wanted
-            & ((F.col("_x") - F.col("_x_r") == 0) & (F.col("_y") - F.col("_y_r") == 0))
-            & (F.least("_chunk", "_chunk_r") == F.col("_x"))
-            & (F.greatest("_chunk", "_chunk_r") == F.col("_y"))
-        )
-    pairs = left.join(right, "_key").filter(wanted).filter(F.col("_band") == _first_match(difference, _literals(masks)))
-    if oversized:
-        lowest_sub = _first_match(difference, _finer_masks(masks, threshold))
-        pairs = pairs.filter((F.col("_sub") == -1) | (F.col("_sub") == lowest_sub))
-    return pairs.select(F.col("_block").alias(block), "fp_a", "fp_b", distance.alias("distance"))
-
-
-def _finer_masks(masks: list[int], threshold: int) -> Column:
-    """Second-level masks of the row's own band."""
-    return F.element_at(F.array(*[_literals(sub_masks(m, threshold + 1)) for m in masks]), F.col("_band") + 1)
-
-
-def _refined(keyed: DataFrame, masks: list[int], threshold: int, bucket: list[str], limit: int) -> DataFrame:
-    hot = keyed.groupBy(*bucket).count().filter(F.col("count") > limit).drop("count")
-    cold = keyed.join(hot, bucket, "left_anti")
-    finer = keyed.join(hot, bucket, "left_semi").select(
-        "_block", "fp", "in_splits", "_band", F.posexplode(_finer_masks(masks, threshold)).alias("_sub", "_mask")
-    )
-    return cold.unionByName(finer.withColumn("_value", F.col("fp").bitwiseAND(F.col("_mask"))).select(*cold.columns))
-
-
 def hash_nodes(records: DataFrame) -> DataFrame:
     """One row per (class, fp, split) of the records that have a fingerprint."""
     return records.filter(F.col("fp").isNotNull()).groupBy("class", "fp", "split").agg(
@@ -240,13 +115,13 @@ def distinct_hashes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("class", "fp").agg(F.bit_or(flag).alias("in_splits"))
 
 
-def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None, bucket_limit: int = 20_000) -> DataFrame:
+def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None, size: int = BLOCK) -> DataFrame:
     """Cross-split pairs of hash nodes within a class, identical hashes included (distance 0).
 
     The smaller split name comes first, so each unordered pair of nodes comes once. ``pairs`` counts its record pairs.
     """
     nodes = materialise(hash_nodes(records))
-    found = near_hashes(distinct_hashes(nodes), "class", threshold, bands, bucket_limit)
+    found = near_hashes(distinct_hashes(nodes), "class", threshold, bands, size)
     same = distinct_hashes(nodes).filter(F.bit_count("in_splits") > 1).select(
         "class", F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"), F.lit(0).alias("distance")
     )
