@@ -70,8 +70,8 @@ def test_exact_pairs_and_members_equal_brute_force(records):
     assert sorted(r.id for r in members) == sorted({i for p in brute(rows, lambda a, b: a[3] == b[3]) for i in p})
 
 
-@pytest.mark.parametrize("threshold, bands, bucket_limit", [(4, None, 20_000), (4, 6, 20_000), (8, None, 20_000), (4, 5, 3), (8, 9, 3), (8, 10, 2)])
-def test_near_pairs_equal_brute_force(records, threshold, bands, bucket_limit):
+@pytest.mark.parametrize("threshold, bands, size", [(4, None, 16_384), (4, 6, 16_384), (8, None, 16_384), (4, 5, 3), (8, 9, 3), (8, 10, 2)])
+def test_near_pairs_equal_brute_force(records, threshold, bands, size):
     rows = random_records()
     by_id = {r[0]: r for r in rows}
     pairs = brute(rows, lambda a, b: a[1] == b[1] and distance(a, b) <= threshold)
@@ -79,7 +79,7 @@ def test_near_pairs_equal_brute_force(records, threshold, bands, bucket_limit):
     def key(a, b):
         return (by_id[a][1], distance(by_id[a], by_id[b]), *sorted(((by_id[i][2], by_id[i][5]) for i in (a, b))))
 
-    nodes = links.near_node_pairs(records, threshold, bands, bucket_limit)
+    nodes = links.near_node_pairs(records, threshold, bands, size)
     found = nodes.collect()
     assert {(r["class"], r.distance, (r.split_a, r.fp_a), (r.split_b, r.fp_b)): r.pairs for r in found} == counted(pairs, key)
     assert len(found) == len(counted(pairs, key))
@@ -251,15 +251,16 @@ def test_object_resolution(spark):
     assert found == {0: "only", 1: None, 2: "has k in it", 3: None, 4: None}
 
 
-@pytest.mark.parametrize("block_rows, direct_limit", [(7, 10**9), (8192, 10**9), (8192, 0), (9, 300)])
-def test_nearest_neighbours_equal_brute_force(spark, block_rows, direct_limit):
+@pytest.mark.parametrize("block_rows, leaf", [(7, 4096), (8192, 4096), (8192, 20), (9, 5)])
+def test_nearest_neighbours_equal_brute_force(spark, block_rows, leaf):
     import numpy as np
 
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 8))
     rows = []
     for i in range(180):
-        vector = base[0] if i % 3 == 0 else base[rng.integers(6)] + rng.normal(size=8) * 0.2
+        # copies, near-identical vectors that angles cannot part, and others
+        vector = base[0] if i % 3 == 0 else base[1] + rng.normal(size=8) * 1e-9 if i % 3 == 1 and i < 120 else base[rng.integers(6)] + rng.normal(size=8) * 0.2
         rows.append((i, int(i % 2), SPLITS[int(rng.integers(3))], None, [float(x) for x in vector]))
     records = spark.createDataFrame(rows, "id bigint, class int, split string, object string, embedding array<double>")
     unit = {r[0]: np.array(r[4]) / np.linalg.norm(r[4]) for r in rows}
@@ -271,7 +272,7 @@ def test_nearest_neighbours_equal_brute_force(spark, block_rows, direct_limit):
             queries, candidates = (a, b) if len(a) <= len(b) else (b, a)
             for q in queries:
                 expected[(q, frozenset((first, second)))] = max(float(unit[q] @ unit[c]) for c in candidates)
-    found = neighbours.nearest_across_splits(records, block_rows=block_rows, direct_limit=direct_limit).collect()
+    found = neighbours.nearest_across_splits(records, block_rows=block_rows, leaf=leaf).collect()
     assert len(found) == len(expected)
     for r in found:
         assert r.similarity == pytest.approx(expected[(r.query_id, frozenset((r.query_split, r.candidate_split)))])

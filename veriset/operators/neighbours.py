@@ -1,14 +1,16 @@
 """Closest cross-split neighbour by embedding: exact, in bounded pieces, and without needless comparisons.
 
-Equal vectors of a split are folded into their smallest id first. Small classes are then compared
-block by block. Large ones are cut into cells around a few pivot vectors: a query is compared with
-the cell it lies closest to, and after that only with cells that could still hold something closer.
-That bound is the triangle inequality on angles, so nothing is missed.
+Equal vectors of a split are folded into their smallest id first. The vectors of each class and split form a ball tree, kept
+as tables: a ball with too many vectors is split among a few of them, and every ball knows its centre, its radius and its
+parent. Two trees are compared from the roots down, level by level as joins of balls with their children; a pair of balls
+goes on only if it can hold something closer than what is certain to be found elsewhere. Then the leaves are compared, the
+nearest one first, and after that only those that could still hold something closer. The bound is the triangle inequality
+on angles, so nothing is missed; a class of any size takes this way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from functools import reduce
 
 import numpy as np
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from veriset.functions import flags, vectors
 from veriset.functions.names import pair_key, split_pair
-from veriset.operators.prefix import rank_by_hash
 from veriset.session import materialise
 
 SPLIT_PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
 BLOCK_ROWS = 2048
-DIRECT_LIMIT = 10**9
-PIVOT_VECTORS = 16_384
+#: Vectors of a leaf, balls that a ball is split into, and vectors dealt by one task.
+LEAF, FAN, DEALT = 4096, 16, 65_536
+#: A child with a larger share of its ball is not split again: its vectors lie too close for angles to part them.
+STUCK = 0.9
 # arccos loses about 1.5e-8 near 1; the bound on angles is taken with a much wider margin, and ties keep the smaller id.
 SLACK = 1e-6
 
@@ -99,39 +102,16 @@ def _query_sides(records: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sides)
 
 
-def nearest_across_splits(records: DataFrame, vector: str = "embedding", block_rows: int = BLOCK_ROWS, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """For each class and pair of splits, every record of the smaller side with its best match opposite.
-
-    A class and pair with more than ``direct_limit`` comparisons goes through the cells.
-    """
+def nearest_across_splits(records: DataFrame, vector: str = "embedding", block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
+    """For each class and pair of splits, every record of the smaller side with its best match opposite."""
     units = records.select("class", "split", "id", vectors.unit_vector(F.col(vector)).alias("unit"))
     units = materialise(units)
     points = materialise(units.groupBy("class", "split", "unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    sizes = points.groupBy("class", "split").agg(F.count("*").alias("rows"))
-    plan = _query_sides(units)
-    for side in ("query", "candidate"):
-        plan = plan.join(
-            sizes.select("class", F.col("split").alias(f"{side}_split"), F.col("rows").alias(f"{side}_rows")),
-            ["class", f"{side}_split"],
-        )
-    plan = materialise(plan)
-    comparisons = F.col("query_rows") * F.col("candidate_rows")
-    large = plan.filter(comparisons > direct_limit)
-    large_classes = large.select("class").distinct().count()
-    # pivots travel to every task, so cells are only used while their number stays bounded
-    use_cells = 0 < large_classes <= PIVOT_VECTORS
-    direct = plan.filter(comparisons <= direct_limit) if use_cells else plan
-
-    def side_rows(of: DataFrame, side: str) -> DataFrame:
-        chosen = of.select("class", "query_split", "candidate_split", F.col(f"{side}_split").alias("split"))
-        return points.join(chosen, ["class", "split"]).select("class", "query_split", "candidate_split", "id", "unit")
-
-    pair = ["class", "query_split", "candidate_split"]
-    found = _compare(side_rows(direct, "query"), side_rows(direct, "candidate"), pair, direct, block_rows)
-    if use_cells:
-        pivots = _pivots(points.join(large.select("class").distinct(), "class", "left_semi"), large_classes)
-        sides = side_rows(large, "query"), side_rows(large, "candidate")
-        found = found.unionByName(_through_cells(pivots, *sides, block_rows))
+    placed, balls, levels = _ball_tree(points.select("class", "split", "id", "unit"), leaf)
+    pairs = _query_sides(units).withColumns({"query_ball": F.lit(""), "candidate_ball": F.lit("")})
+    for _ in range(levels):
+        pairs = _nearer_pairs(pairs, balls)
+    found = _over_leaves(pairs, placed, balls, block_rows) if levels else _compare_balls(pairs, placed, balls, block_rows)
     best = _best(found)
     single = points.filter(F.col("copies") == 1)
     copied = points.filter(F.col("copies") > 1).select("class", "split", "unit", F.col("id").alias("query_id"))
@@ -143,69 +123,126 @@ def nearest_across_splits(records: DataFrame, vector: str = "embedding", block_r
     )
 
 
-def _pivots(points: DataFrame, classes: int) -> dict:
-    """A few vectors per class, picked by hash; at most ``PIVOT_VECTORS`` in all, so they fit every task."""
-    per_class = min(64, PIVOT_VECTORS // classes)
-    picked = rank_by_hash(points, ["class"], "pivot", name="_rank").filter(F.col("_rank") <= per_class)
-    rows = picked.select("class", "unit").collect()
-    return {c: np.array([r.unit for r in rows if r["class"] == c]) for c in {r["class"] for r in rows}}
+def _angle(a: Column, b: Column) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))
 
 
-def _angles(batch: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(np.stack(batch["unit"].to_numpy()) @ pivots.T, -1.0, 1.0))
+def _ball_tree(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int]:
+    """Vectors (class, split, id, unit, ball) in their leaves, balls (class, split, ball, parent, centre, radius, rows, leaf) and the depth.
 
-
-def _through_cells(pivots: dict, queries: DataFrame, candidates: DataFrame, block_rows: int) -> DataFrame:
-    class_type, id_type = (queries.schema[c].dataType.simpleString() for c in ("class", "id"))
-    row_schema = f"class {class_type}, query_split string, candidate_split string, id {id_type}, unit array<double>"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, part in batch.groupby("class"):
-                angle = _angles(part, pivots[name])
-                cell = angle.argmin(axis=1)
-                yield part.assign(cell=cell.astype(np.int32), angle=angle[np.arange(len(part)), cell])
-
-    placed = materialise(candidates.mapInPandas(assign, f"{row_schema}, cell int, angle double"))
-    pair = ["class", "query_split", "candidate_split"]
-    filled = placed.groupBy(*pair, "cell").agg(
-        F.count("*").alias("candidate_rows"), F.max("angle").alias("far"), F.min("angle").alias("near")
+    A ball is named by its path from the root, which is empty. Its centre is one of its vectors.
+    """
+    key = ["class", "split", "ball"]
+    placed = points.withColumn("ball", F.lit(""))
+    roots = placed.groupBy(*key).agg(F.min_by("unit", "id").alias("centre"), F.count("*").alias("rows"))
+    balls = materialise(roots.select(*key, F.lit(None).cast("string").alias("parent"), "centre", F.lit(math.pi).alias("radius"), "rows", (F.col("rows") <= leaf).alias("leaf")))
+    level, done, all_balls, levels = balls, [], [balls], 0
+    while not level.filter(~F.col("leaf")).isEmpty():
+        large = level.filter(~F.col("leaf")).select(*key, "rows")
+        done.append(placed.join(level.filter("leaf").select(*key), key, "left_semi"))
+        open_ = placed.join(large, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / DEALT)))
+        # a limit on ranks is taken in every task before the shuffle
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id")
+        pivots = materialise(open_.withColumn("child", F.row_number().over(order)).filter(F.col("child") <= FAN).select(*key, "rows", "child", F.col("unit").alias("centre")))
+        chunks = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("rows") / DEALT) - 1)))
+        dealt = _dealt(open_, chunks, key)
+        placed = dealt.select("class", "split", "id", "unit", F.col("child_ball").alias("ball"))
+        sizes = dealt.groupBy("class", "split", F.col("ball").alias("parent"), F.col("child_ball").alias("ball")).agg(F.max("angle").alias("radius"), F.count("*").alias("rows"))
+        named = pivots.select("class", "split", F.col("ball").alias("parent"), _child_name(F.col("ball"), F.col("child")).alias("ball"), "centre", F.col("rows").alias("parent_rows"))
+        stuck = F.col("rows") > STUCK * F.col("parent_rows")
+        level = materialise(sizes.join(named, ["class", "split", "parent", "ball"]).select(*key, "parent", "centre", "radius", "rows", ((F.col("rows") <= leaf) | stuck).alias("leaf")))
+        all_balls.append(level)
+        levels += 1
+    return reduce(DataFrame.unionByName, [*done, placed]), reduce(DataFrame.unionByName, all_balls), levels
+
+
+def _child_name(ball: Column, child: Column) -> Column:
+    return F.concat(ball, child.cast("string"), F.lit("."))
+
+
+def _dealt(open_: DataFrame, pivots: DataFrame, key: list[str]) -> DataFrame:
+    """Each vector with the nearest pivot of its ball, as (class, split, ball, id, unit, child_ball, angle)."""
+    names = [*key, "id", "unit", "child_ball", "angle"]
+    fields = [f"{c} {open_.schema[c].dataType.simpleString()}" for c in (*key, "id")]
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or near.empty:
+            return pd.DataFrame(columns=names)
+        near = near.sort_values("child")
+        angles = np.arccos(np.clip(np.stack(rows["unit"].to_numpy()) @ np.stack(near["centre"].to_numpy()).T, -1.0, 1.0))
+        child = angles.argmin(axis=1)
+        ball = rows["ball"].iloc[0]
+        path = np.array([f"{ball}{c}." for c in near["child"]], dtype=object)
+        return rows.assign(child_ball=path[child], angle=angles[np.arange(len(rows)), child])[names]
+
+    by = [*key, "chunk"]
+    left = open_.select(*by, "id", "unit").groupBy(*by)
+    return materialise(left.cogroup(pivots.select(*by, "child", "centre").groupBy(*by)).applyInPandas(assign, f"{', '.join(fields)}, unit array<double>, child_ball string, angle double"))
+
+
+def _side(pairs: DataFrame, balls: DataFrame, side: str, on: str) -> DataFrame:
+    """``pairs`` with ball, centre and radius of one side; ``on`` is the column of ``balls`` that holds the ball to look up."""
+    listed = balls.select(
+        "class", F.col("split").alias(f"{side}_split"), F.col(on).alias(f"{side}_up"), F.col("ball").alias(f"{side}_down"),
+        F.col("centre").alias(f"{side}_centre"), F.col("radius").alias(f"{side}_radius"),
     )
-    filled = materialise(filled)
-    # one row per pivot and pair of splits, as few as the pivots
-    layout = {key: part for key, part in filled.drop("candidate_rows").toPandas().groupby(pair)}
-
-    def visits(first: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for key, part in batch.groupby(pair):
-                    cells = layout[key]
-                    to_pivot = _angles(part, pivots[key[0]][cells["cell"].to_numpy()])
-                    home = to_pivot.argmin(axis=1)
-                    # no member of a cell is closer than its ring around the pivot allows
-                    least = np.maximum(0.0, np.maximum(to_pivot - cells["far"].to_numpy(), cells["near"].to_numpy() - to_pivot))
-                    if first:
-                        rows, columns = np.arange(len(part)), home
-                    else:
-                        reached = np.arccos(np.clip(part["bound"].to_numpy(), -1.0, 1.0))
-                        wanted = least <= reached[:, None] + SLACK
-                        wanted[np.arange(len(part)), home] = False
-                        rows, columns = np.nonzero(wanted)
-                    out = part.iloc[rows][[*pair, "id", "unit"]]
-                    yield out.assign(cell=cells["cell"].to_numpy()[columns].astype(np.int32))
-
-        return run
-
-    def compared(chosen: DataFrame) -> DataFrame:
-        chosen = materialise(chosen)
-        counts = chosen.groupBy(*pair, "cell").agg(F.count("*").alias("query_rows"))
-        return _compare(chosen, placed, [*pair, "cell"], counts.join(filled, [*pair, "cell"]), block_rows)
-
-    visit_schema = f"{row_schema}, cell int"
-    at_home = materialise(_best(compared(queries.mapInPandas(visits(True), visit_schema))))
-    bounds = at_home.select(*pair, F.col("query_id").alias("id"), F.col("similarity").alias("bound"))
-    elsewhere = queries.join(bounds, [*pair, "id"]).mapInPandas(visits(False), visit_schema)
-    return at_home.unionByName(compared(elsewhere))
+    found = pairs.withColumnRenamed(f"{side}_ball", f"{side}_up").join(listed, ["class", f"{side}_split", f"{side}_up"])
+    return found.drop(f"{side}_up").withColumnRenamed(f"{side}_down", f"{side}_ball")
+
+
+def _nearer_pairs(pairs: DataFrame, balls: DataFrame) -> DataFrame:
+    """Pairs of the children (of a leaf: itself) that can hold a nearest neighbour."""
+    down = balls.filter(F.col("parent").isNotNull()).withColumn("up", F.col("parent")).unionByName(balls.filter("leaf").withColumn("up", F.col("ball")))
+    both = _side(_side(pairs, down, "query", "up"), down, "candidate", "up")
+    apart = both.withColumn("apart", _angle(F.col("query_centre"), F.col("candidate_centre")))
+    # a centre is a vector, so every query of the ball has one within this angle
+    sure = apart.groupBy("class", "query_split", "candidate_split", "query_ball").agg(F.min(F.col("apart") + F.col("query_radius")).alias("sure"))
+    kept = apart.join(sure, ["class", "query_split", "candidate_split", "query_ball"]).filter(F.col("apart") - F.col("query_radius") - F.col("candidate_radius") <= F.col("sure") + SLACK)
+    return materialise(kept.select("class", "query_split", "candidate_split", "query_ball", "candidate_ball"))
+
+
+def _members(pairs: DataFrame, placed: DataFrame, side: str) -> DataFrame:
+    """The vectors of one side of every pair of leaves."""
+    own = placed.select("class", F.col("split").alias(f"{side}_split"), F.col("ball").alias(f"{side}_ball"), "id", "unit")
+    return own.join(pairs, ["class", f"{side}_split", f"{side}_ball"])
+
+
+def _sized(pairs: DataFrame, balls: DataFrame, side: str) -> DataFrame:
+    sizes = balls.filter("leaf").select("class", F.col("split").alias(f"{side}_split"), F.col("ball").alias(f"{side}_ball"), F.col("rows").alias(f"{side}_rows"))
+    return pairs.join(sizes, ["class", f"{side}_split", f"{side}_ball"])
+
+
+def _compare_balls(pairs: DataFrame, placed: DataFrame, balls: DataFrame, block_rows: int) -> DataFrame:
+    cell = ["class", "query_split", "candidate_split", "query_ball", "candidate_ball"]
+    pairs = materialise(pairs.select(*cell))
+    plan = materialise(_sized(_sized(pairs, balls, "query"), balls, "candidate"))
+    return _compare(_members(pairs, placed, "query"), _members(pairs, placed, "candidate"), cell, plan, block_rows)
+
+
+def _over_leaves(pairs: DataFrame, placed: DataFrame, balls: DataFrame, block_rows: int) -> DataFrame:
+    """The nearest leaf of every query leaf first; then those that can still hold something closer, query by query."""
+    group = ["class", "query_split", "candidate_split"]
+    both = _side(_side(pairs, balls.filter("leaf"), "query", "ball"), balls.filter("leaf"), "candidate", "ball")
+    both = materialise(both.withColumn("apart", _angle(F.col("query_centre"), F.col("candidate_centre"))))
+    first = both.groupBy(*group, "query_ball").agg(F.min_by("candidate_ball", F.struct("apart", "candidate_ball")).alias("candidate_ball"))
+    first = materialise(first)
+    at_home = materialise(_best(_compare_balls(first, placed, balls, block_rows)))
+
+    bounds = at_home.select(*group, F.col("query_id").alias("id"), F.acos(F.least(F.greatest("similarity", F.lit(-1.0)), F.lit(1.0))).alias("bound"))
+    queries = placed.select("class", F.col("split").alias("query_split"), F.col("ball").alias("query_ball"), "id", "unit")
+    bounded = materialise(queries.join(bounds, ["class", "query_split", "id"]))
+    worst = bounded.groupBy(*group, "query_ball").agg(F.max("bound").alias("worst"))
+    rest = both.join(first, [*group, "query_ball", "candidate_ball"], "left_anti").join(worst, [*group, "query_ball"])
+    rest = rest.filter(F.col("apart") - F.col("query_radius") - F.col("candidate_radius") <= F.col("worst") + SLACK)
+    visits = bounded.join(rest.select(*group, "query_ball", "candidate_ball", "candidate_centre", "candidate_radius"), [*group, "query_ball"])
+    visits = visits.filter(_angle(F.col("unit"), F.col("candidate_centre")) - F.col("candidate_radius") <= F.col("bound") + SLACK)
+    visits = materialise(visits.select(*group, "candidate_ball", "id", "unit"))
+    cell = [*group, "candidate_ball"]
+    counts = visits.groupBy(*cell).agg(F.count("*").alias("query_rows"))
+    plan = materialise(_sized(counts, balls, "candidate"))
+    elsewhere = _compare(visits, _members(plan.select(*cell), placed, "candidate"), cell, plan, block_rows)
+    return at_home.unionByName(elsewhere)
 
 
 def _once() -> Column:
