@@ -43,6 +43,33 @@ def test_best_epoch_of_the_published_runs(spark):
     assert stopped["short"].effective_epochs == 8 and stopped["short"].best_epoch == 6 and stopped["short"].stopped_early
 
 
+def test_summaries_lead_every_state_where_the_rule_does():
+    """Blocks of tight series, entered with states on and around the tolerance."""
+    import numpy as np
+
+    rng = random.Random(4)
+    for turn in range(300):
+        gain = 1e-4
+        steps = [0.5 + gain * rng.choice([0, 1, 2, 3, 0.5, -1]) for _ in range(rng.randint(1, 40))]
+        f1, loss = np.array(steps), np.array([rng.choice([0.1, 0.2, 0.3, 0.15]) for _ in steps])
+        summary = runs._summary(f1, loss, gain)
+        for state in [(0.5 + gain * k, x) for k in (-1, 0, 0.5, 1, 2) for x in (0.05, 0.12, 0.4)]:
+            chain = runs._chain(f1, loss, 0, state, gain)
+            first = next((r for r in summary if runs._beats(r[0], r[1], *state, gain)), None)
+            assert (first[2:] if first else None) == ((len(chain), f1[chain[-1]], loss[chain[-1]]) if chain else None)
+
+
+def test_a_hot_run_lies_in_many_blocks(spark):
+    rng = random.Random(6)
+    run = [(e, rng.choice([0.1, 0.2, 0.3]) + rng.random() / 1000, round(0.5 + rng.random() * 0.0005, 6)) for e in range(20_000)]
+    df = history(spark, {"hot": run, "small": run[:3]})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    chain = runs.improvement_chain(df).where("run = 'hot'").orderBy("step").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.epoch, r.position) for r in chain] == sequential(run)[0]
+    assert [r.step for r in chain] == list(range(1, len(chain) + 1)) and {r.epochs for r in chain} == {20_000}
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_chain_equals_the_sequential_rule_for_short_and_long_runs(spark, partitions):
     series = random_series(7)
