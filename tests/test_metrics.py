@@ -156,6 +156,59 @@ def test_centroid_scores_equal_a_direct_computation(spark):
         assert found[i] == pytest.approx(list(z[i] / z[i].sum()))
 
 
+@pytest.mark.parametrize("size", [3, 4, 100])
+def test_blocks_of_labels_give_the_same_scores_and_predictions(spark, size):
+    rng = np.random.default_rng(2)
+    labels = [0, 1, 2, 5, 6, 17]  # whole blocks of three have no label
+    rows = [(i, labels[i % 6] if i % 7 else 9, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 5)))]
+    features = spark.createDataFrame(rows, "id bigint, target int, features array<double>")
+    model = scores.centroids(features.filter("target <> 9"))
+    dense = scores.centroid_scores(features, model)
+    blocked = {r.id: r.probs for r in scores.centroid_scores(features, model, size=size).collect()}
+    assert all(blocked[r.id] == pytest.approx(r.probs, abs=1e-12) for r in dense.collect())
+    wanted = {r.id: r for r in scores.predictions(dense).collect()}
+    for r in scores.centroid_predictions(features, model, size=size).collect():
+        w = wanted[r.id]
+        assert (r.true_index, r.predicted_index, r.correct) == (w.true_index, w.predicted_index, w.correct)
+        assert (r.confidence, r.true_probability) == (pytest.approx(w.confidence), pytest.approx(w.true_probability))
+
+
+def test_fifty_thousand_labels(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50_000, 4))
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(unit)], "target int, centroid array<double>")
+    asked = rng.integers(0, 50_000, 40)
+    features = spark.createDataFrame([(i, int(k), [float(x) for x in centres[k] * 3]) for i, k in enumerate(asked)], "id bigint, target int, features array<double>")
+    found = scores.centroid_predictions(features, model, sharpness=1e4).collect()
+    assert len(found) == 40 and all(r.correct for r in found)
+    z = np.exp(1e4 * (unit @ unit[asked].T - 1))
+    assert all(r.confidence == pytest.approx(1 / z[:, r.id].sum(), rel=1e-6) for r in found)
+
+
+def test_a_splitting_tree_draws_a_multinomial():
+    weights, samples = np.array([5, 0, 3, 100, 7, 7, 0, 1]), 3000
+    drawn = resampling.split_counts(np.full(samples, 123), weights, np.arange(samples), 3, 0, 1)
+    share = weights / 123
+    assert (drawn.sum(axis=1) == 123).all() and (drawn[:, weights == 0] == 0).all()
+    assert np.abs(drawn.mean(axis=0) - weights).max() < 0.4
+    covariance = np.cov(drawn.T)
+    assert np.abs(covariance - 123 * (np.diag(share) - np.outer(share, share))).max() < 1.6
+
+
+def test_draws_equal_the_distributions():
+    at = (np.arange(20_000) + 0.5) / 20_000
+    import math
+
+    binomial = resampling.binomial_counts(40, 0.3, at)
+    exact = [math.comb(40, k) * 0.3**k * 0.7 ** (40 - k) for k in range(41)]
+    assert np.abs(np.bincount(binomial, minlength=41) / 20_000 - exact).max() < 1.1e-4
+    poisson = resampling.poisson_counts(6.5, at)
+    exact = [math.exp(-6.5) * 6.5**k / math.factorial(k) for k in range(40)]
+    assert np.abs(np.bincount(poisson, minlength=40)[:40] / 20_000 - exact).max() < 1.1e-4
+    assert resampling.binomial_counts(10**9, 0.5, np.array([0.5])).tolist() == [500_000_000]
+
+
 def test_evaluate_builds_every_table(spark):
     _, _, df = scored_frame(spark)
     tables = evaluation.evaluate(df, 4, samples=20)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ from veriset.functions import vectors
 from veriset.operators import confusion, splits
 from veriset.session import materialise
 
-MAX_LABELS = 10_000
+#: Labels of a block of a model, and rows that meet a block in a task.
+BLOCK_LABELS, BLOCK_ROWS = 4096, 8192
 
 # --- scorers -------------------------------------------------------------------------------
 
@@ -28,19 +30,91 @@ def centroids(features: DataFrame, label: str = "target", vector: str = "feature
     return means.select(label, vectors.unit_vector(vector_to_array("mean")).alias("centroid"))
 
 
-def centroid_scores(features: DataFrame, model: DataFrame, label: str = "target", vector: str = "features", sharpness: float = 10.0) -> DataFrame:
+def centroid_scores(features: DataFrame, model: DataFrame, label: str = "target", vector: str = "features", sharpness: float = 10.0, size: int = BLOCK_LABELS) -> DataFrame:
     """Replace the vector by ``probs``: softmax of the cosine to each label's centroid, at the label's place.
 
-    Labels are indices from 0; one that the model has not seen gets probability 0.
-    The fitted model has one short vector per label. It is read once and shipped with the tasks, where
-    a matrix product per Arrow batch takes the place of labels x dimensions expression steps per row.
+    Labels are indices from 0; one that the model has not seen gets probability 0. A model of one block is read once and
+    shipped with the tasks, where a matrix product per Arrow batch takes the place of labels x dimensions expression steps
+    per row. A larger one meets the rows block by block; ``centroid_predictions`` then spares the wide vectors.
     """
-    fitted = model.orderBy(label).limit(MAX_LABELS + 1).collect()
-    if len(fitted) > MAX_LABELS:
-        raise ValueError(f"A centroid model may have at most {MAX_LABELS} labels.")
-    weights = np.array([row["centroid"] for row in fitted])
+    fitted = model.orderBy(label).limit(size + 1).collect()
     others = tuple(c for c in features.columns if c != vector)
-    return score_batches(features, cosine_scorer(weights, sharpness, [int(row[label]) for row in fitted]), vector, others)
+    if len(fitted) <= size:
+        weights = np.array([row["centroid"] for row in fitted])
+        return score_batches(features, cosine_scorer(weights, sharpness, [int(row[label]) for row in fitted]), vector, others)
+    rows, met = _against_blocks(features, model, label, vector, size)
+
+    def logits(block: pd.DataFrame, labels: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        whole = np.full((len(block), size), -np.inf)
+        whole[:, labels % size] = scores
+        return block[["_row", "_block"]].assign(logits=list(whole))
+
+    parts = met(logits, "_row bigint, _block bigint, logits array<double>", sharpness)
+    # a wide row is its blocks in order, cut behind the last label; a block without labels has no chance
+    count = int(model.agg(F.max(label)).first()[0]) + 1
+    by_block = parts.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_block", "logits"))).alias("held"))
+    none = F.array_repeat(F.lit(-math.inf), size)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((count - 1) // size).cast("bigint")), lambda b: F.coalesce(F.try_element_at("held", b), none)))
+    joined = by_block.select("_row", F.slice(whole, 1, count).alias("logits"))
+    return rows.join(joined, "_row").select(*others, vectors.softmax(F.col("logits")).alias("probs"))
+
+
+def centroid_predictions(features: DataFrame, model: DataFrame, label: str = "target", vector: str = "features", sharpness: float = 10.0, size: int = BLOCK_LABELS) -> DataFrame:
+    """What ``predictions`` says of ``centroid_scores``, for models of any number of labels.
+
+    A block of labels gives a row its highest logit, the label of it, the sum of exponents below it and the logit of the true
+    label. These merge, so no row holds a number per label.
+    """
+    rows, met = _against_blocks(features, model, label, vector, size)
+
+    def best(block: pd.DataFrame, labels: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        at = scores.argmax(axis=1)
+        top = scores[np.arange(len(block)), at]
+        place = np.searchsorted(labels, block["_target"].to_numpy())
+        known = labels[np.minimum(place, len(labels) - 1)] == block["_target"].to_numpy()
+        truth = np.where(known, scores[np.arange(len(block)), np.minimum(place, len(labels) - 1)], -np.inf)
+        return pd.DataFrame({"_row": block["_row"], "top": top, "label": labels[at], "total": np.exp(scores - top[:, None]).sum(axis=1), "truth": truth})
+
+    parts = met(best, "_row bigint, top double, label int, total double, truth double", sharpness)
+    # one entry per block
+    merged = parts.groupBy("_row").agg(F.max("top").alias("top"), F.max("truth").alias("truth"), F.collect_list(F.struct("top", "label", "total")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["total"] * F.exp(p["top"] - F.col("top")))
+    label_of = F.array_min(F.transform(F.filter("parts", lambda p: p["top"] == F.col("top")), lambda p: p["label"]))
+    told = merged.select("_row", label_of.alias("predicted_index"), (1.0 / total).alias("confidence"), (F.exp(F.col("truth") - F.col("top")) / total).alias("true_probability"))
+    others = [c for c in features.columns if c not in (vector, "target")]
+    found = rows.join(told, "_row").select(*others, F.col("target").alias("true_index"), "predicted_index", "confidence", "true_probability")
+    return found.withColumn("correct", F.col("true_index") == F.col("predicted_index"))
+
+
+def _against_blocks(features: DataFrame, model: DataFrame, label: str, vector: str, size: int):
+    """Numbered rows, and a function that runs a kernel over every block of labels and chunk of rows.
+
+    The kernel gets the rows (_row, _block, _target), the labels of the block in order, and rows x labels logits.
+    """
+    rows = materialise(features.withColumn("_row", F.monotonically_increasing_id()))
+    chunks = rows.count() // BLOCK_ROWS + 1
+    blocks = materialise(
+        model.groupBy(F.expr(f"cast({label} as bigint) div {size}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("int").alias("label"), "centroid"))).alias("labels"))
+    )
+    target = F.col("target").cast("bigint") if "target" in features.columns else F.lit(-1).cast("bigint")
+    numbered = rows.select("_row", F.coalesce(target, F.lit(-1)).alias("_target"), F.col(vector).cast("array<double>").alias("_vector"), F.pmod(F.xxhash64("_row"), F.lit(chunks)).alias("_chunk"))
+    # every block of labels meets every row: that is the result, not a detour
+    listed = blocks.agg(F.collect_list("_block").alias("all")).first()["all"]
+    left = numbered.withColumn("_block", F.explode(F.array(*[F.lit(b) for b in listed])))
+    right = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+
+    def met(kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sharpness: float) -> DataFrame:
+        def run(block: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if block.empty or held.empty:
+                return pd.DataFrame(columns=[f.strip().split()[0] for f in schema.split(",")])
+            entries = held["labels"].iloc[0]
+            labels = np.array([e["label"] for e in entries])
+            scorer = cosine_scorer(np.array([e["centroid"] for e in entries]), sharpness)
+            return kernel(block, labels, scorer(np.stack(block["_vector"].to_numpy())))
+
+        return left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInPandas(run, schema)
+
+    return rows, met
 
 
 def score_batches(features: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], vector: str = "features", id_columns: tuple[str, ...] = ("id", "target")) -> DataFrame:

@@ -6,7 +6,7 @@ from fractions import Fraction
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriset.functions.names import hash60
@@ -168,9 +168,13 @@ def half_split(records: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def balanced_sample(records: DataFrame, per_class: int, seed: int = 42, id_column: str = "id") -> DataFrame:
-    """``per_class`` records of every class in hash order; a class with fewer records fails the call."""
+    """``per_class`` records of every class in hash order; a class with fewer records fails the call.
+
+    Every task keeps its first ones of each class before the shuffle: a limit on ranks is taken there already.
+    """
     enforce(check("every_class_has_enough_records", short_classes(records, per_class)))
-    return rank_by_hash(records, ["class"], f"sample:{seed}", id_column, "_rank").filter(F.col("_rank") <= per_class).drop("_rank")
+    order = Window.partitionBy("class").orderBy(hash60(F.lit(f"sample:{seed}:"), F.col(id_column)), id_column)
+    return records.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank")
 
 
 def short_classes(records: DataFrame, per_class: int) -> DataFrame:

@@ -58,6 +58,17 @@ def score_batches(spark, folder):
     return scores.predictions(scored).select("id", "predicted_index", "confidence", "log_loss", "brier")
 
 
+@query(
+    "blocked_predictions",
+    f"WITH {_PRED} SELECT id, true_index::BIGINT AS true_index, predicted_index::BIGINT AS predicted_index, round(confidence, 6) AS confidence, round(true_probability, 6) AS true_probability FROM pred",
+)
+def blocked_predictions(spark, folder):
+    features = derived.model_features(spark, folder, "a")
+    fitted = scores.centroids(features.filter("split = 'train'"))
+    found = scores.centroid_predictions(features, fitted, size=4)
+    return found.select("id", "true_index", "predicted_index", "confidence", "true_probability")
+
+
 @query("confusion", f"WITH {_PRED}, {_CELLS} SELECT true_index::BIGINT AS true_index, predicted_index::BIGINT AS predicted_index, n AS count FROM cells")
 def confusion_cells(spark, folder):
     return confusion.cells(_predictions(spark, folder))
@@ -280,12 +291,15 @@ def roc_macro_auc(spark, folder):
 # --- resampling ----------------------------------------------------------------------------
 
 _REPLICATES = 1000
-_WEIGHTS = " + ".join(
-    f"(u >= {step})::INTEGER" for step in resampling.POISSON_STEPS
-)
-_POISSON = f"""draws AS (SELECT true_index, predicted_index, r AS replicate, {h60("'poisson:' || r || ':' || id")} % 1000000 AS u
-  FROM pred CROSS JOIN (SELECT unnest(range({_REPLICATES})) AS r)),
-cells AS (SELECT replicate, true_index, predicted_index, sum({_WEIGHTS}) AS n FROM draws GROUP BY 1, 2, 3),
+_UNIT = "({} + 0.5::DOUBLE) / 1152921504606846976::DOUBLE"
+_DRAWN = "len(list_filter(c, lambda x: x < u))"
+_POISSON = f"""counted AS (SELECT true_index, predicted_index, count(*) AS m FROM pred GROUP BY 1, 2),
+below AS (SELECT m, list(c ORDER BY k) AS c FROM (
+  SELECT m, k, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS c
+  FROM (SELECT m, unnest(range(0, ceil(m + 12 * sqrt(m) + 41)::BIGINT)) AS k FROM (SELECT DISTINCT m FROM counted))) GROUP BY m),
+draws AS (SELECT *, {_UNIT.format(h60("'poisson:' || replicate || ':' || true_index || ':' || predicted_index"))} AS u
+  FROM counted CROSS JOIN (SELECT unnest(range({_REPLICATES})) AS replicate)),
+cells AS (SELECT * FROM (SELECT replicate, true_index, predicted_index, {_DRAWN} AS n FROM draws JOIN below USING (m)) WHERE n > 0),
 {report('cells', LABELS, keys='replicate')},
 reps AS (SELECT replicate, sum(hits) / sum(support) AS accuracy, avg(f1) AS macro_f1 FROM rep GROUP BY replicate)"""
 
@@ -311,23 +325,45 @@ def bootstrap_poisson_ci(spark, folder):
     return resampling.intervals(resampling.poisson_replicates(_predictions(spark, folder), LABELS, _REPLICATES))
 
 
-def _point_sql(model: str) -> str:
-    return f"""(WITH {EMB}, {probabilities(model)}, {predicted(f'p_{model}')}, cells AS (SELECT true_index, predicted_index, count(*) AS n FROM pred GROUP BY 1, 2), {report('cells', LABELS)}
-SELECT '{model}' AS model, 1000::BIGINT AS samples, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, true AS accuracy_inside, true AS ordered FROM rep)"""
+def _splits_sql(bits: int) -> str:
+    """Counts of the two halves of every node, one level after the other, from the distribution of the binomial draws."""
+    levels = ["t0 AS (SELECT model, replicate, 0::BIGINT AS node, sum(n)::BIGINT AS n FROM leaves CROSS JOIN (SELECT unnest(range(1000)) AS replicate) GROUP BY model, replicate)"]
+    for depth in range(bits):
+        shift = bits - depth - 1
+        levels.append(f"""w{depth} AS (SELECT model, node >> {shift + 1} AS node, coalesce(sum(n) FILTER (WHERE (node >> {shift}) % 2 = 0), 0)::BIGINT AS wl, sum(n)::BIGINT AS w FROM leaves GROUP BY ALL),
+q{depth} AS (SELECT t.*, wl, w, {_UNIT.format(h60(f"'7:' || replicate || ':{depth}:' || node"))} AS u FROM t{depth} t JOIN w{depth} USING (model, node) WHERE n > 0),
+b{depth} AS (SELECT n, wl, w, list(c ORDER BY k) AS c FROM (
+  SELECT n, wl, w, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(wl / w) + (n - k) * ln(1 - wl / w))) OVER (PARTITION BY n, wl, w ORDER BY k) AS c
+  FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT n, wl, w FROM q{depth} WHERE wl > 0 AND wl < w))) GROUP BY n, wl, w),
+l{depth} AS (SELECT model, replicate, node, n, CASE WHEN wl = 0 THEN 0 WHEN wl = w THEN n ELSE least(n, {_DRAWN}) END AS left_n FROM q{depth} LEFT JOIN b{depth} USING (n, wl, w)),
+t{depth + 1} AS (SELECT model, replicate, 2 * node AS node, left_n AS n FROM l{depth} UNION ALL SELECT model, replicate, 2 * node + 1, n - left_n FROM l{depth})""")
+    return ",\n".join(levels)
+
+
+_MEASURES = [f"{how}({c}{rest}), 6) AS {c}_{name}" for c in ("accuracy", "macro_f1") for how, rest, name in (("round(avg", "", "mean"), ("round(quantile_cont", ", 0.025", "ci_low"), ("round(quantile_cont", ", 0.975", "ci_high"))]
 
 
-@query("bootstrap_multinomial", f"SELECT * FROM {_point_sql('a')} UNION ALL SELECT * FROM {_point_sql('b')}")
+@query(
+    "bootstrap_multinomial",
+    f"""WITH {EMB}, {probabilities('a')}, {probabilities('b')}, {predicted('p_a', 'pred_a')}, {predicted('p_b', 'pred_b')},
+points AS (SELECT 'a' AS model, true_index, predicted_index, count(*) AS n FROM pred_a GROUP BY 2, 3 UNION ALL SELECT 'b', true_index, predicted_index, count(*) FROM pred_b GROUP BY 2, 3),
+{report('points', LABELS, 'prep', 'model')},
+point AS (SELECT model, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM prep GROUP BY model),
+leaves AS (SELECT model, (true_index * {LABELS} + predicted_index)::BIGINT AS node, n FROM points),
+{_splits_sql((LABELS * LABELS - 1).bit_length())},
+drawn AS (SELECT model, replicate, node // {LABELS} AS true_index, node % {LABELS} AS predicted_index, n FROM t{(LABELS * LABELS - 1).bit_length()} WHERE n > 0),
+{report('drawn', LABELS, 'drep', 'model, replicate')},
+reps AS (SELECT model, replicate, sum(hits) / sum(support) AS accuracy, avg(f1) AS macro_f1 FROM drep GROUP BY model, replicate),
+found AS (SELECT model, count(*) AS samples, {", ".join(_MEASURES)} FROM reps GROUP BY model)
+SELECT * FROM found JOIN point USING (model)""",
+)
 def bootstrap_multinomial(spark, folder):
     models = [
         confusion.cells(_predictions(spark, folder, m).withColumn("model", F.lit(m)), ["model"]) for m in ("a", "b")
     ]
     both = materialise(models[0].unionByName(models[1]))
     found = resampling.intervals(resampling.multinomial_replicates(both, LABELS), ["model"])
-    point = confusion.averages(confusion.class_report(both, LABELS, ["model"]), ["model"]).select("model", "accuracy", "macro_f1")
-    # The draws are random; SQL checks the point metrics, the number of resamples and where the intervals lie.
-    inside = F.col("accuracy").between(F.col("accuracy_ci_low"), F.col("accuracy_ci_high"))
-    ordered = (F.col("accuracy_ci_low") <= F.col("accuracy_mean")) & (F.col("accuracy_mean") <= F.col("accuracy_ci_high")) & (F.col("macro_f1_ci_low") <= F.col("macro_f1_ci_high"))
-    return found.join(point, "model").select("model", "samples", "accuracy", "macro_f1", inside.alias("accuracy_inside"), ordered.alias("ordered"))
+    return found.join(confusion.averages(confusion.class_report(both, LABELS, ["model"]), ["model"]).select("model", "accuracy", "macro_f1"), "model")
 
 
 # --- ensembles -----------------------------------------------------------------------------
