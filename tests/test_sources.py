@@ -180,3 +180,69 @@ def test_completeness_and_report(spark):
 def test_band_values_of_hashes(spark):
     bands = spark.range(1).select(vectors.hash_bands(F.lit(-1), 9).alias("b")).first().b
     assert [b.value for b in bands] == [2**b.size - 1 for b in bands] and sum(b.size for b in bands) == 64
+
+
+def test_a_stage_follows_its_inputs_and_parameters(spark, tmp_path):
+    source, built = str(tmp_path / "in"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).groupBy().count()
+
+    def run(parameters=None):
+        return sinks.stage(spark, str(tmp_path / "stage"), build, [source, str(tmp_path / "absent")], parameters).first()[0]
+
+    spark.range(5).write.parquet(source)
+    assert run() == 5 and run() == 5 and len(built) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert run() == 7 and run() == 7 and len(built) == 2
+    assert run({"seed": 1}) == 7 and len(built) == 3
+    sinks.prune(spark, str(tmp_path / "stage"))
+    assert run({"seed": 1}) == 7 and len(built) == 3
+
+
+def test_a_set_is_published_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "set")
+    assert sinks.published(spark, path) == {}
+    sinks.publish(spark, {"manifest": spark.range(3), "log": spark.range(1)}, path)
+    before = sinks.published(spark, path)
+    reader = spark.read.parquet(before["manifest"])
+    broken = spark.range(4).select(F.raise_error(F.lit("no log")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="no log"):
+        sinks.publish(spark, {"manifest": spark.range(9), "log": broken}, path)
+    assert sinks.published(spark, path) == before and reader.count() == 3
+    sinks.publish(spark, {"manifest": spark.range(9), "log": spark.range(2)}, path)
+    now = sinks.published(spark, path)
+    assert (spark.read.parquet(now["manifest"]).count(), spark.read.parquet(now["log"]).count()) == (9, 2)
+    assert reader.count() == 3
+    sinks.prune(spark, path)
+    assert spark.read.parquet(sinks.published(spark, path)["manifest"]).count() == 9
+    assert len([p for p in (tmp_path / "set").iterdir() if not p.name.startswith(".")]) == 2
+
+
+def test_json_ranges_cut_anywhere(spark, tmp_path):
+    """Every cut of a small object, with texts that look like structure, gives the same entries."""
+    from veriset.sources import jsonobject
+
+    wanted = {'a"],{': ["x\\", '"', "},"], "b": "plain, \\\" text", "": None, "n": 3, "é\u2028": ["é" * 5], "d": {"k": ["v", {"w": "]"}]}, "last": []}
+    for text in (json.dumps(wanted), json.dumps(wanted, indent=2, ensure_ascii=False) + "\n"):
+        path = tmp_path / "object.json"
+        path.write_text(text, encoding="utf-8")
+        expected = sorted((k, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in wanted.items())
+        for size in range(1, 40):
+            first = jsonobject._Reader({"path": str(path), "size": str(size)})
+            parts = first.partitions()
+            effects = [{mode: (end, delta) for _, _, mode, end, delta in first.read(p)} for p in parts]
+            state, states = (jsonobject.OUTSIDE, 0), []
+            for effect in effects:
+                states.append(state)
+                state = (effect[state[0]][0], state[1] + effect[state[0]][1])
+            second = jsonobject._Reader({"path": str(path), "size": str(size), "states": json.dumps(states)})
+            assert sorted((e for p in second.partitions() for e in second.read(p)), key=lambda e: e[0]) == expected, size
+    found = {r.identifier: r.value for r in jsonobject.json_object(spark, str(path), 7).collect()}
+    assert found == dict(expected)
+    (tmp_path / "cut.json").write_text(json.dumps(wanted)[:-9])
+    with pytest.raises(Exception, match="ends inside an entry"):
+        jsonobject.json_object(spark, str(tmp_path / "cut.json"), 16).collect()
+    (tmp_path / "empty.json").write_text(" {} ")
+    assert jsonobject.json_object(spark, str(tmp_path / "empty.json"), 2).collect() == []

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from veriset.functions import flags, vectors
+from veriset.functions import flags
 from veriset.functions.names import hash60
 from veriset.operators import checks, cleanup, components, images, profile, splits
 from veriset.plans import derived
 from veriset.plans.catalog import query
-from veriset.plans.sql_parts import DOCS, EMB, h60, split_case
+from veriset.plans.sql_parts import DOCS, EMB, h60, probabilities, split_case
 from veriset.session import own_folder
 from veriset.sources import files, sinks
 
@@ -173,6 +173,21 @@ _MAP_SQL = f"""WITH {DOCS}, map AS (SELECT 'obj ' || (id // 5) AS identifier, li
 SELECT identifier, array_to_string(suggestions, '|') AS suggestions FROM map"""
 
 
+@query("metadata_map", _MAP_SQL)
+def metadata_map(spark, folder):
+    """The map as one JSON object in one file, read in ranges of 4 KB that cut entries anywhere."""
+    docs = derived.documents(spark, folder).where("object is not null")
+    grouped = docs.groupBy(F.concat(F.lit("obj "), F.expr("id div 5")).alias("identifier")).agg(F.array_sort(F.collect_set("object")).alias("suggestions"))
+    entry = F.concat(F.lit(", "), F.substring(F.to_json(F.create_map("identifier", "suggestions")), 2, 1 << 30))
+    lines = grouped.select(F.lit(1).alias("place"), entry.alias("value"))
+    lines = lines.select("place", F.substring("value", F.lit(1), F.length("value") - 1).alias("value"))
+    ends = spark.createDataFrame([(0, '{"": null'), (2, "}")], "place int, value string")
+    path = _fresh(spark)
+    # one file is what is tested here; its lines pass, none is gathered
+    lines.unionByName(ends).orderBy("place").coalesce(1).select("value").write.text(path)
+    return files.metadata_map(spark, path, 4096).where("identifier <> ''").select("identifier", "suggestions")
+
+
 @query("metadata_lines", _MAP_SQL)
 def metadata_lines(spark, folder):
     docs = derived.documents(spark, folder).where("object is not null")
@@ -197,12 +212,16 @@ def summary_sink(spark, folder):
     return spark.read.schema("records bigint, mapped bigint, contents bigint").json(path)
 
 
-@query("probability_sink", f"WITH {EMB} SELECT 'a' AS model, target::BIGINT AS target, count(*) AS records, true AS whole FROM emb GROUP BY target")
+@query(
+    "probability_sink",
+    f"""WITH {EMB}, {probabilities('a')} SELECT 'a' AS model, target::BIGINT AS target, count(DISTINCT id) AS records,
+  round(avg(p) FILTER (WHERE k = target), 6) AS mean_true, round(sum(p * p) / count(DISTINCT id), 6) AS mean_square FROM p_a GROUP BY target""",
+)
 def probability_sink(spark, folder):
     path = _fresh(spark)
     sinks.write_probabilities(derived.scored(spark, folder, "a").withColumn("model", F.lit("a")), path)
-    total = F.aggregate("probs", F.lit(0.0), lambda acc, p: acc + p)
-    return spark.read.parquet(path).groupBy("model", "target").agg(F.count("*").alias("records"), F.bool_and(F.abs(total - 1.0) < 1e-9).alias("whole"))
+    squares = F.aggregate("probs", F.lit(0.0), lambda acc, p: acc + p * p)
+    return spark.read.parquet(path).groupBy("model", "target").agg(F.count("*").alias("records"), F.avg(F.get("probs", F.col("target"))).alias("mean_true"), F.avg(squares).alias("mean_square"))
 
 
 @query("stage_reuse", f"WITH {DOCS} SELECT split, count(*) AS records FROM docs GROUP BY split")
@@ -213,6 +232,37 @@ def stage_reuse(spark, folder):
     return sinks.stage(spark, path, lambda: spark.range(1).select(F.raise_error(F.lit("built twice"))))
 
 
+@query("stage_freshness", f"WITH {DOCS} SELECT split, count(*) AS records FROM docs GROUP BY split")
+def stage_freshness(spark, folder):
+    """A stage over a folder that grows after the first run: the second one covers what was added."""
+    source, path = _fresh(spark), _fresh(spark)
+    docs = derived.documents(spark, folder).select("id", "split")
+    for part in (F.col("split") == "train", F.col("split") != "train"):
+        docs.filter(part).write.mode("append").parquet(source)
+        found = sinks.stage(spark, path, lambda: profile.split_counts(spark.read.parquet(source)), [source])
+    return found
+
+
+@query(
+    "published_set",
+    f"""WITH {DOCS}, te AS (SELECT DISTINCT digest FROM docs WHERE split = 'test')
+SELECT 'manifest' AS "table", count(*) AS "rows" FROM docs WHERE split = 'test' OR digest NOT IN (SELECT digest FROM te)
+UNION ALL SELECT 'log', count(*) FROM docs WHERE split <> 'test' AND digest IN (SELECT digest FROM te)""",
+)
+def published_set(spark, folder):
+    """A manifest and its log published together twice; the second set replaces the first one as a whole."""
+    path = _fresh(spark)
+    docs = derived.digests(spark, folder).select("id", "split", "digest")
+    test = docs.filter("split = 'test'").select("digest").distinct()
+    others = docs.filter("split <> 'test'")
+    kept = docs.filter("split = 'test'").unionByName(others.join(test, "digest", "left_anti"))
+    sinks.publish(spark, {"manifest": docs, "log": docs.limit(0)}, path)
+    sinks.publish(spark, {"manifest": kept, "log": others.join(test, "digest", "left_semi")}, path)
+    sinks.prune(spark, path)
+    counts = [spark.read.parquet(where).agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name, where in sinks.published(spark, path).items()]
+    return counts[0].unionByName(counts[1])
+
+
 @query("report_order", f"""WITH {DOCS} SELECT count(*) AS "rows", 0::BIGINT AS misplaced FROM docs""")
 def report_order(spark, folder):
     """Rows of an exported manifest that stand before a smaller one: none, in whatever pieces the export was cut."""
@@ -332,9 +382,17 @@ def picture_similarity(spark, folder):
     return images.pixel_similarity(pairs, images.paired_pixels(_pictures(spark, folder), pairs, size=8))
 
 
-@query("picture_hashes", f"{_LEVELS} SELECT path, true AS close_to_kernel FROM px")
+@query(
+    "picture_hashes",
+    f"""{_LEVELS},
+taps AS (SELECT c, k, (c + 0.5::DOUBLE) * 8 / 9 AS centre FROM (SELECT unnest(range(9)) AS c) CROSS JOIN (SELECT unnest(range(8)) AS k)),
+lobes AS (SELECT c, k, CASE WHEN abs(x) >= 3 THEN 0.0 ELSE sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) END AS l
+  FROM (SELECT c, k, k - centre + 0.5 AS x FROM taps WHERE k >= greatest(trunc(centre - 2.5), 0) AND k < least(trunc(centre + 3.5), 8))),
+w AS (SELECT c, k, l / sum(l) OVER (PARTITION BY c) AS w FROM lobes),
+cells AS (SELECT path, r, c, least(greatest(floor(sum(w * p[r * 8 + k + 1]) + 0.5), 0), 255) AS g FROM px CROSS JOIN (SELECT unnest(range(8)) AS r) CROSS JOIN w GROUP BY path, r, c)
+SELECT a.path, lower(to_hex(sum(CASE WHEN a.g > b.g THEN (1::HUGEINT << (8 * a.r + a.c)::INTEGER) ELSE 0 END)::UBIGINT)) AS fp
+FROM cells a JOIN cells b ON b.path = a.path AND b.r = a.r AND b.c = a.c + 1 GROUP BY a.path""",
+)
 def picture_hashes(spark, folder):
-    """Difference hashes of all pictures, each checked against the hash of its grid."""
-    pictures = _pictures(spark, folder)
-    grids = images.grey_grids(pictures).select("path", vectors.dhash_from_grid(F.col("grid")).alias("again"))
-    return images.dhashes(pictures).join(grids, "path").select("path", (F.col("fp") == F.col("again")).alias("close_to_kernel"))
+    """Difference hashes of all pictures; of 8 x 8 pixels only the rows are resampled, which SQL can follow."""
+    return images.dhashes(_pictures(spark, folder)).select("path", F.lower(F.hex("fp")).alias("fp"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from veriset.functions.names import IMAGE_EXTENSIONS, file_extension, strip_whitespace
 from veriset.operators.prefix import rank_rows
+from veriset.sources.jsonobject import RANGE, json_object
 
 MANIFEST_SCHEMA = (
     "split string, official_split string, relative_path string, source_partition string, "
@@ -102,10 +103,9 @@ def split_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(strip_whitespace(F.col("value")).alias("line")).filter(F.col("line") != "")
 
 
-def metadata_map(spark: SparkSession, path: str) -> DataFrame:
-    """(identifier, suggestions) from a JSON object whose values are a string or a list of strings."""
-    document = spark.read.text(path, wholetext=True)
-    entries = document.select(F.explode(F.from_json("value", "map<string,string>")).alias("identifier", "value"))
+def metadata_map(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(identifier, suggestions) from a JSON object whose values are a string or a list of strings, read in ranges of bytes."""
+    entries = json_object(spark, path, size)
     listed = F.from_json(F.col("value"), "array<string>")
     suggestions = F.when(F.col("value").startswith("["), listed).when(
         F.col("value").isNotNull() & (F.col("value") != ""), F.array("value")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +63,86 @@ def write_probabilities(scored: DataFrame, path: str, mode: str = "errorifexists
     write_table(scored.select("model", "id", "target", "probs"), path, mode, ["model"])
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Result of a stage: read when it exists, built and written otherwise."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if not done:
-        write_table(build(), path, "overwrite")
-    return spark.read.parquet(path)
+# --- sets of tables, published at once -----------------------------------------------------
+
+_POINTER = "CURRENT"
+
+
+def signature(spark: SparkSession, inputs: list[str], parameters: dict[str, object] | None = None) -> str:
+    """Digest of a stage's inputs, by path, length and time of every file below them, and of its parameters.
+
+    Files are listed by Spark and summed up there; none is opened. A missing input counts as empty.
+    """
+    seen = []
+    for path in sorted(inputs):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+            mark = F.xxhash64("path", "length", "modificationTime")
+            seen.append(tuple(listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)")).cast("string")).first()))
+        else:
+            seen.append((path, "missing"))
+    return hashlib.sha256(json.dumps([seen, parameters or {}], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, mark: str = "") -> None:
+    """Write a set of tables to a folder of its own below ``path``, then switch one pointer file to it.
+
+    A reader finds the whole former set until the switch and the whole new one after it, also where a write fails in between.
+    """
+    version = uuid.uuid4().hex
+    for name, table in tables.items():
+        write_table(table, f"{path}/{version}/{name}")
+    draft = f"{path}/{_POINTER}-{version}"
+    _write_text(spark, draft, json.dumps({"version": version, "mark": mark, "tables": sorted(tables)}))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(hadoop.Path(draft), hadoop.Path(f"{path}/{_POINTER}"), overwrite)
+
+
+def published(spark: SparkSession, path: str) -> dict[str, str]:
+    """Folders of the tables of the current set, by name; empty if none was published."""
+    return {name: f"{path}/{found['version']}/{name}" for found in _current(spark, path) for name in found["tables"]}
+
+
+def prune(spark: SparkSession, path: str) -> None:
+    """Delete all sets but the current one; for when no reader of a former one is left."""
+    keep = {f["version"] for f in _current(spark, path)} | {_POINTER}
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(where):
+        name = entry.getPath().getName()
+        if keep != {_POINTER} and name not in keep and not name.startswith("."):
+            files.delete(entry.getPath(), True)
+
+
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: list[str] | None = None, parameters: dict[str, object] | None = None) -> DataFrame:
+    """Result of a stage: read when it was built from the same inputs and parameters, built and published otherwise."""
+    mark = signature(spark, inputs or [], parameters)
+    if not any(found["mark"] == mark for found in _current(spark, path)):
+        publish(spark, {"result": build()}, path, mark)
+    return spark.read.parquet(published(spark, path)["result"])
+
+
+def _current(spark: SparkSession, path: str) -> list[dict]:
+    """The pointer's content, or nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    stream = files.open(where)
+    try:
+        return [json.loads(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode())]
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
