@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veriset.functions import names, vectors
@@ -9,7 +11,8 @@ from veriset.operators import checks, cleanup, components, links, neighbours, pr
 from veriset.plans import audit, derived
 from veriset.plans.catalog import query
 from veriset.plans.sql_parts import DOCS, EMB, FDOCS, h60, near
-from veriset.session import materialise
+from veriset.session import materialise, own_folder
+from veriset.sources import sinks
 
 PRIORITY = "CASE {0} WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END"
 
@@ -281,6 +284,42 @@ def quarantine_manifest(spark, folder):
     return cleaned.select("id", "class", "split")
 
 
+_LISTED = f"""WITH {FDOCS}, {_near_nodes(4)}, listed AS (SELECT distance, first_id_a AS id_a, first_id_b AS id_b, split_a, split_b FROM nodes)"""
+
+
+def _listed_pairs(spark, folder):
+    """One pair of record ids per pair of nodes, written as the file that a review hands over, and read again."""
+    records = derived.fingerprints(spark, folder)
+    pairs = links.near_node_pairs(records, 4).select("distance", F.col("first_id_a").alias("id_a"), F.col("first_id_b").alias("id_b"))
+    path = f"{own_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    sinks.write_csv(pairs, path)
+    return records, spark.read.schema("distance int, id_a bigint, id_b bigint").csv(path, header=True)
+
+
+@query(
+    "listed_quarantine_log",
+    f"""{_LISTED} SELECT distance, {", ".join(f"CASE WHEN {_REMOVE_A} THEN {c}_{x} ELSE {c}_{y} END AS {side}_{c}" for side, x, y in (("removed", "a", "b"), ("protected", "b", "a")) for c in ("id", "split"))},
+  'strict_cross_split_dhash_quarantine' AS reason FROM listed""",
+)
+def listed_quarantine_log(spark, folder):
+    records, pairs = _listed_pairs(spark, folder)
+    return cleanup.quarantine_listed(pairs, records)[0]
+
+
+@query(
+    "listed_quarantine_manifest",
+    f"""{_LISTED}, gone AS (SELECT DISTINCT CASE WHEN {_REMOVE_A} THEN id_a ELSE id_b END AS id FROM listed)
+SELECT id, class, split, (SELECT count(*) FROM listed WHERE id_a NOT IN (SELECT id FROM gone) AND id_b NOT IN (SELECT id FROM gone)) AS surviving
+FROM docs WHERE id NOT IN (SELECT id FROM gone)""",
+)
+def listed_quarantine_manifest(spark, folder):
+    """The manifest without the removed side of every listed pair, and how many listed pairs are still in it: none."""
+    records, pairs = _listed_pairs(spark, folder)
+    _, cleaned = cleanup.quarantine_listed(pairs, records)
+    surviving = cleanup.surviving_listed(pairs, cleaned).agg(F.count("*").alias("n"))
+    return cleaned.select("id", "class", "split", surviving.scalar().alias("surviving"))
+
+
 @query(
     "quarantine_removed",
     f"WITH {FDOCS}, {near(4)}, {_GONE} SELECT split, count(*) AS removed FROM docs WHERE id IN (SELECT id FROM gone) GROUP BY split",
@@ -466,9 +505,9 @@ def safe_manifest(spark, folder):
     return manifest.select("id", "class", "split")
 
 
-_GREEDY = f"""WITH RECURSIVE {DOCS},
-g AS (SELECT class, coalesce('leaf::' || object, 'unmapped_hash::' || digest) AS grp, count(*) AS size FROM docs GROUP BY 1, 2),
-o AS (SELECT *, {h60("'greedy:42:' || class || ':' || grp")} AS hash FROM g),
+_GROUPS = f"""WITH RECURSIVE {DOCS},
+g AS (SELECT class, coalesce('leaf::' || object, 'unmapped_hash::' || digest) AS grp, count(*) AS size FROM docs GROUP BY 1, 2)"""
+_FOLD = f"""o AS (SELECT *, {h60("'greedy:42:' || class || ':' || grp")} AS hash FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY size DESC, hash, grp) AS rn,
         row_number() OVER (PARTITION BY class, size ORDER BY hash, grp) AS in_run FROM o),
 fold AS (
@@ -482,6 +521,8 @@ fold AS (
   JOIN r ON r.class = f.class AND r.rn = f.rn + 1),
 runs AS (SELECT class, size, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation,
            count(*) FILTER (WHERE split = 'test') AS n_test FROM fold GROUP BY class, size)"""
+_GREEDY = f"{_GROUPS},\n{_FOLD}"
+_PLACED = "CASE WHEN in_run <= n_train THEN 'train' WHEN in_run <= n_train + n_validation THEN 'validation' ELSE 'test' END"
 
 
 def _all_groups(spark, folder):
@@ -504,6 +545,17 @@ def greedy_split(spark, folder):
     return splits.greedy_split(_all_groups(spark, folder))
 
 
+@query(
+    "component_split",
+    f"""{_COMPONENTS}, g AS (SELECT class, component::VARCHAR AS grp, count(*) AS size FROM comp GROUP BY 1, 2), {_FOLD}
+SELECT c.id, c.class, c.component, {_PLACED} AS split FROM comp c JOIN r ON r.class = c.class AND r.grp = c.component::VARCHAR
+JOIN runs u ON u.class = r.class AND u.size = r.size""",
+)
+def component_split(spark, folder):
+    """Whole components, linked by contents, objects and near hashes, dealt to the three parts."""
+    return audit.component_split(derived.fingerprints(spark, folder)).select("id", "class", "component", "split")
+
+
 @query(
     "half_split",
     f"""WITH {DOCS}, n AS (SELECT class, count(*) AS n FROM docs GROUP BY class),
