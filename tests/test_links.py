@@ -108,6 +108,30 @@ def test_a_large_node_is_whole_in_ids_log_and_summary(spark):
     assert (summary.pairs, summary.unmapped_pairs, summary.mapped_pairs, summary.mapped_same_object) == (len(pairs), len(unmapped), len(pairs) - len(unmapped), len(same))
 
 
+@pytest.mark.parametrize("size", [7, 1024])
+def test_tiles_sum_up_what_the_pairs_of_contents_say(spark, size):
+    """A fingerprint with hundreds of contents on both sides, and others with few or constant ones."""
+    from veriset.functions import vectors
+
+    rng = random.Random(size)
+    rows = []
+    for i in range(500):
+        fp = 77 if i < 400 else rng.choice([78, 79, 1 << 40])
+        grid = [5] * 6 if rng.random() < 0.05 else [rng.choice([8, 9, 10]) if rng.random() < 0.8 else 1 for _ in range(6)]
+        rows.append((i, "a", rng.choice(SPLITS), f"d{i}", None if rng.random() < 0.3 else f"o{rng.randrange(20)}", fp, grid))
+    records = spark.createDataFrame(rows, f"{SCHEMA}, grid array<int>")
+    nodes = links.near_node_pairs(records, 4).cache()
+    a, b = (F.col(f"grid_{side}").cast("array<double>") for side in "ab")
+    scaled = lambda g: F.transform(g, lambda x: x / F.array_max(g))
+    described = review.content_pairs(nodes, records, "grid").withColumns({"embedding_cosine": vectors.cosine(a, b), "mae": vectors.mean_absolute_error(scaled(a), scaled(b)), "correlation": vectors.guarded_correlation(a, b)})
+    wanted = review.review_summary(review.flagged_pairs(described), review.same_object_pairs(nodes, records)).first().asDict()
+    found = review.tiled_summary(nodes, records, size=size).first().asDict()
+    assert set(found) == set(wanted) and wanted["pairs"] > 10_000 and wanted["unmapped_pixel_flags"] > 0
+    assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in wanted.items())
+    none = review.tiled_summary(nodes.limit(0), records, size=size).first()
+    assert none.pairs == 0 and none.max_cosine is None
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_near_pairs_do_not_depend_on_partitioning(spark, records, partitions):
     moved = records.repartition(partitions)

@@ -139,15 +139,15 @@ class _Cell:
 
 def _run(cells: DataFrame, masks: np.ndarray, threshold: int, schema: str, told: Callable[[_Cell], Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in sorted_groups(batches):
             if table.num_rows > 1:
                 yield from told(_Cell(table, masks, threshold))
 
     return cells.mapInArrow(run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows of one cell from sorted batches."""
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first four columns, which are numbers, from sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions import flags
 from veriset.functions.names import split_pair
+from veriset.operators.nearhash import sorted_groups
+from veriset.session import materialise
+
+#: Contents of a side of a tile.
+TILE = 1024
 
 
 def content_pairs(node_pairs: DataFrame, records: DataFrame, content: str) -> DataFrame:
@@ -77,3 +86,78 @@ def review_summary(flagged: DataFrame, same_object: DataFrame) -> DataFrame:
         total("unmapped_pairs", F.col("embedding_flag")).alias("unmapped_embedding_flags"),
         total("unmapped_pairs", F.col("pixel_flag")).alias("unmapped_pixel_flags"),
     )
+
+
+_TOTALS = ("pairs", "unmapped_pairs", "unmapped_embedding_flags", "unmapped_pixel_flags")
+_EXTREMES = ("max_cosine", "max_cosine_unmapped", "max_correlation_unmapped", "min_mae_unmapped")
+
+
+def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid", size: int = TILE) -> DataFrame:
+    """``review_summary`` of all pairs of contents, without a row for any of them.
+
+    The distinct contents (``grid``, an array of numbers) of the two nodes of a pair meet in tiles of ``size`` x ``size``: a task
+    computes cosines, correlations and mean errors as matrices and returns totals and extremes of its tile. A node's contents
+    are dealt once per block of the other side.
+    """
+    contents = records.groupBy("class", "fp", "split", grid).agg(F.count("*").alias("copies"), F.count("object").alias("mapped"))
+    contents = materialise(contents.withColumn("own", F.xxhash64(grid)))
+    blocks = contents.groupBy("class", "fp", "split").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    pairs = node_pairs.select("class", "fp_a", "split_a", "fp_b", "split_b")
+    for side in "ab":
+        pairs = pairs.join(blocks.select("class", F.col("fp").alias(f"fp_{side}"), F.col("split").alias(f"split_{side}"), F.col("blocks").alias(f"blocks_{side}")), ["class", f"fp_{side}", f"split_{side}"])
+    numbered = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()))
+
+    def dealt(own: str, other: str, place: int) -> DataFrame:
+        side = contents.select("class", F.col("fp").alias(f"fp_{own}"), F.col("split").alias(f"split_{own}"), F.col(grid).cast("array<double>").alias("grid"), "copies", "mapped", "own")
+        rows = numbered.join(side, ["class", f"fp_{own}", f"split_{own}"])
+        block, others = F.pmod("own", F.col(f"blocks_{own}")).cast("int"), F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1))
+        x, y = (block.alias("x"), others.alias("y")) if place == 0 else (others.alias("x"), block.alias("y"))
+        return rows.select("pair", x, y, F.lit(0).alias("z"), F.lit(place).alias("side"), "grid", "copies", "mapped")
+
+    both = dealt("a", "b", 0).unionByName(dealt("b", "a", 1))
+    fields = [*[(c, "bigint") for c in _TOTALS], *[(c, "double") for c in _EXTREMES]]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in sorted_groups(batches):
+            side = np.asarray(tile.column("side"))
+            grids = np.stack([np.asarray(g.as_py(), float) for g in tile.column("grid")])
+            copies, mapped = (np.asarray(tile.column(c)) for c in ("copies", "mapped"))
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(a) and len(b):
+                found = _tile(grids[a], copies[a], mapped[a], grids[b], copies[b], mapped[b])
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if kind == "bigint" else pa.float64()) for v, (_, kind) in zip(found, fields, strict=True)], names=[c for c, _ in fields])
+
+    # pmod and hashes deal evenly; a pair of nodes with many contents is many tiles
+    tiles = both.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y").mapInArrow(measure, ", ".join(f"{c} {kind}" for c, kind in fields))
+    zero = F.lit(0).cast("bigint")
+    rows = tiles.unionByName(same_object_pairs(node_pairs, records), allowMissingColumns=True)
+    totals = {c: F.coalesce(F.sum(c), zero) for c in _TOTALS}
+    return rows.agg(
+        totals["pairs"].alias("pairs"),
+        totals["unmapped_pairs"].alias("unmapped_pairs"),
+        (totals["pairs"] - totals["unmapped_pairs"]).alias("mapped_pairs"),
+        F.coalesce(F.sum("mapped_same_object"), zero).alias("mapped_same_object"),
+        *[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in _EXTREMES],
+        *[totals[c].alias(c) for c in _TOTALS[2:]],
+    )
+
+
+def _tile(a: np.ndarray, copies_a: np.ndarray, mapped_a: np.ndarray, b: np.ndarray, copies_b: np.ndarray, mapped_b: np.ndarray) -> tuple:
+    """Totals and extremes (None where no pair qualifies) over all pairs of rows of two matrices of grids."""
+    pairs = copies_a[:, None] * copies_b[None]
+    unmapped = pairs - mapped_a[:, None] * mapped_b[None]
+    some = unmapped > 0
+    inner, squares_a, squares_b = a @ b.T, (a * a).sum(axis=1), (b * b).sum(axis=1)
+    norms = np.sqrt(squares_a)[:, None] * np.sqrt(squares_b)[None]
+    cosine = np.divide(inner, norms, out=np.zeros_like(inner), where=norms > 0)
+    count = a.shape[1]
+    spread_a, spread_b = count * squares_a - a.sum(axis=1) ** 2, count * squares_b - b.sum(axis=1) ** 2
+    both = (spread_a > 0)[:, None] & (spread_b > 0)[None]
+    roots = np.sqrt(np.maximum(spread_a, 0))[:, None] * np.sqrt(np.maximum(spread_b, 0))[None]
+    correlation = np.divide(count * inner - a.sum(axis=1)[:, None] * b.sum(axis=1)[None], roots, out=np.zeros_like(inner), where=both)
+    level_a, level_b = (x / np.maximum(x.max(axis=1, keepdims=True), 1e-300) for x in (a, b))
+    mae = np.stack([np.abs(row - level_b).mean(axis=1) for row in level_a])
+    pixel = (correlation >= flags.REVIEW_CORRELATION) & (mae <= flags.REVIEW_MAE)
+    embedding = cosine >= flags.REVIEW_COSINE
+    extremes = (cosine.max(), *[float(v[some].max()) if some.any() else None for v in (cosine, correlation)], float(mae[some].min()) if some.any() else None)
+    return int(pairs.sum()), int(unmapped.sum()), int(unmapped[embedding].sum()), int(unmapped[pixel].sum()), *extremes

@@ -403,8 +403,8 @@ def near_review(spark, folder):
   count(*) FILTER (WHERE unmapped AND pixel_flag) AS unmapped_pixel_flags FROM flagged""",
 )
 def near_review_summary(spark, folder):
-    flagged, node_pairs, records = _review(spark, folder)
-    return review.review_summary(flagged, review.same_object_pairs(node_pairs, records))
+    records = derived.fingerprints(spark, folder)
+    return review.tiled_summary(materialise(links.near_node_pairs(records, 8)), records)
 
 
 @query(
