@@ -88,6 +88,24 @@ def test_similar_sets_share_a_signature():
                 assert shared and max(sum(s & 255 == i for s in shared) - bands.surplus[i] for i in {s & 255 for s in shared}) > 0
 
 
+def test_sketches_only_part_sets_that_are_apart():
+    rng = np.random.default_rng(5)
+    parted = 0
+    for turn in range(2000):
+        size = int(rng.integers(1, 400))
+        a = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[rng.integers(0, size // 4 + 1) :], rng.integers(1, 1 << 63, rng.integers(0, size // 4 + 1), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        apart = setjoin.surely_apart(setjoin.sketch(a), len(a), setjoin.sketch(b), len(b), 85)
+        similar = 100 * common >= 85 * (len(a) + len(b) - common)
+        assert not (apart and similar)
+        parted += apart
+        if turn % 10 == 0:
+            assert not setjoin.surely_apart(setjoin.sketch(a), len(a), setjoin.sketch(a), len(a), 85)
+    assert parted > 800
+
+
 def test_components_equal_all_pairs(spark):
     texts = near_copies(1, 60, 6)
     rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (None, "one  TWO"), (None, "alone here"), (5, texts[5]), (904, "long " * 60_000)]

@@ -9,7 +9,8 @@ a signature must hold enough shingles to be rare.
 A signature that many sets share (an empty part, a common passage) says little. A set that has no more of these than the
 surplus can do without them, since a similar set then shares another one. Where sets are alike by the hundred, pairs are not
 listed: the sets under a signature are first compared with its most central one, and only sets that are then still in
-different components with each other. Candidates are confirmed on their whole shingle sets.
+different components with each other. Candidates are confirmed on their whole shingle sets, those that their sketches do not
+tell apart already.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriset.llm.common import groups_of
 from veriset.llm.components import components
-from veriset.llm.simhash import _hashes
 from veriset.session import materialise
 
 SHINGLE = 4
@@ -35,6 +36,10 @@ CROWD = 32
 ROUNDS = 2
 #: Sets compared with one other set in a task.
 CHUNK = 512
+#: Sets of a block, where the sets left under a signature are compared with one another.
+BLOCK = 512
+#: Rows of three numbers that may be sent to all tasks.
+SENT = 1_000_000
 #: (k2, n2): differing smaller parts allowed, smaller parts of a part.
 CUTS = ((0, 1), (1, 3), (2, 4), (2, 5), (3, 6), (3, 7), (4, 8))
 _SEEN = 200_000
@@ -95,7 +100,30 @@ def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; fewer words make one shingle, none an empty set."""
     words = text.encode().lower().split()
-    return np.unique(np.concatenate(list(_hashes(words, shingle)))) if words else np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    count = max(min(1, len(words)), len(words) - shingle + 1)
+    mixed = hashes[:count]
+    for place in range(1, min(shingle, len(words))):
+        mixed = _mixed(mixed, _A) + hashes[place : place + count]
+    return np.unique(_mixed(mixed, _B))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Sums of the shingles of each of about as many parts as there are shingles, a byte each; halves add up to coarser parts."""
+    parts = 1 << max(3, len(hashes).bit_length() - 1)
+    place = (_mixed(hashes, _C) & np.uint64(parts - 1)).astype(np.int64)
+    sums = np.zeros(parts, np.uint64)
+    np.add.at(sums, place, _mixed(hashes, _A) >> np.uint64(7))
+    return sums.astype(np.uint8).tobytes()
+
+
+def surely_apart(a: bytes, size_a: int, b: bytes, size_b: int, percent: int) -> bool:
+    """Whether two sets cannot be similar, by their sketches: each differing part holds a differing shingle."""
+    if 100 * min(size_a, size_b) < percent * max(size_a, size_b):
+        return True
+    width = min(len(a), len(b))
+    x, y = (_folded(np.frombuffer(v, np.uint8), width) for v in (a, b))
+    return int(np.count_nonzero(x != y)) * (100 + percent) > (100 - percent) * (size_a + size_b)
 
 
 def digest_of(hashes: np.ndarray) -> int:
@@ -217,10 +245,10 @@ def _once(pairs: DataFrame) -> DataFrame:
     return materialise(once.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(a, b, common) of the pairs whose sets are similar; a hub's set goes once to each of its chunks of other sets."""
-    named = pairs.select(F.explode(F.array("hub", "other")).alias("sid")).distinct()
-    wanted = sets.join(named, "sid", "left_semi").select("sid", F.col("key").alias("k"), F.col("mark").alias("m"))
+def _whole(sids: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(sid, n, parts, body): sketch and shingles of some sets, from one text of each."""
+    wanted = sets.join(sids, "sid", "left_semi").select("sid", F.col("key").alias("k"), F.col("mark").alias("m"))
+    wanted = _small(materialise(wanted))
     texts = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["mark"] == wanted["m"])).select("sid", "body")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,22 +256,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int,
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids, bodies = [], []
+                ids, found = [], []
                 for sid, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     if sid not in seen:  # repeated rows of one key and text
                         if len(seen) >= _SEEN:
                             seen.clear()
                         seen.add(sid)
                         ids.append(sid)
-                        bodies.append(shingle_set(body.as_py() or "", shingle).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["sid", "body"])
+                        found.append(shingle_set(body.as_py() or "", shingle))
+                columns = pa.array(ids, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([sketch(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["sid", "n", "parts", "body"])
+
+    return materialise(texts.mapInArrow(listed, "sid bigint, n bigint, parts binary, body binary"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of three numbers a row, sent to all tasks if it has few rows; else it meets the other side by a shuffle."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def _confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common) of the pairs whose sets are similar.
 
-    whole = materialise(texts.mapInArrow(listed, "sid bigint, body binary"))
+    Pairs meet as sketches first. Of those left, a hub's set goes once to each of its chunks of other sets.
+    """
+    one, two = (whole.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}")) for side in ("hub", "other"))
+
+    def compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            keep = pa.array([not surely_apart(a, n, b, m, percent) for n, a, m, b in rows], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    compared = pairs.join(one, "hub").join(two, "other").select("hub", "other", "n_hub", "parts_hub", "n_other", "parts_other")
+    pairs = materialise(compared.mapInArrow(compatible, "hub bigint, other bigint"))
     chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     placed = pairs.join(chunks, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("chunks")).alias("chunk"), F.col("other").alias("sid"))
     hubs = chunks.select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("sid"))
     both = hubs.withColumn("place", F.lit(0)).unionByName(placed.withColumn("place", F.lit(1)))
-    dealt = both.join(whole, "sid").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place").select("hub", "chunk", "place", "sid", "body")
+    dealt = _small(materialise(both)).join(whole.select("sid", "body"), "sid").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place").select("hub", "chunk", "place", "sid", "body")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.empty(0, np.uint64)
@@ -266,6 +317,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int,
     return materialise(dealt.mapInArrow(compare, "a bigint, b bigint, common bigint"))
 
 
+def _within(open_: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(hub, other): sets of different components under one signature that their sketches do not part.
+
+    ``open_`` is (sig, sid, root). A signature of many sets is cut into blocks; two blocks meet in a task, where their sketches
+    are compared as matrices, and only pairs that may be similar leave it.
+    """
+    sizes = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = open_.join(sizes, "sig").join(whole.select("sid", "n", "parts"), "sid")
+    spread = held.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("also", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("sig", F.least("own", "also").alias("x"), F.greatest("own", "also").alias("y"), "own", "sid", "root", "n", "parts")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate([np.empty(0, np.int64), *[f[i] for f in found]]), pa.int64()) for i in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["hub", "other"])
+
+        for group in groups_of(batches, 3):
+            if len(found) > 10_000:
+                yield told()
+            if group.num_rows < 2:
+                continue
+            own, sid, root, n = (np.asarray(group.column(c)) for c in ("own", "sid", "root", "n"))
+            sketches = [np.frombuffer(v, np.uint8) for v in group.column("parts").to_pylist()]
+            width = min(map(len, sketches))
+            parts = np.stack([_folded(v, width) for v in sketches])
+            alone = group.column("x")[0] == group.column("y")[0]
+            left = np.arange(len(sid)) if alone else np.flatnonzero(own == own.min())
+            right = left if alone else np.flatnonzero(own != own.min())
+            for i in left:
+                others = right[right > i] if alone else right
+                others = others[(root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+                apart = np.count_nonzero(parts[others] != parts[i], axis=1)
+                near = others[apart * (100 + percent) <= (100 - percent) * (n[others] + n[i])]
+                if len(near):
+                    found.append((np.full(len(near), sid[i]), sid[near]))
+        yield told()
+
+    dealt = cells.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return _once(dealt.mapInArrow(meet, "hub bigint, other bigint"))
+
+
+def _folded(parts: np.ndarray, width: int) -> np.ndarray:
+    while len(parts) > width:
+        parts = parts[: len(parts) // 2] + parts[len(parts) // 2 :]
+    return parts
+
+
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(sig, sid, root) of signatures whose sets lie in several components."""
     placed = rows.select("sig", "sid").join(components(links.select("a", "b")), F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
@@ -284,24 +385,21 @@ def set_links(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     sets = materialise(sized.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), first).select("sid", "n", "first.key", "first.mark"))
     bands = Bands(percent, sets.count())
     left = _telling(materialise(_shared(_signed(rows, bands, shingle))), bands, crowd)
+    whole = _whole(left.select("sid").distinct(), sets, rows, shingle)
     links, tested = None, None
     for _ in range(0 if every else ROUNDS):
         pivots, pairs = _stars(left)
-        found = _confirmed(pairs if tested is None else pairs.join(tested, _same(pairs, tested), "left_anti"), sets, rows, percent, shingle)
+        found = _confirmed(pairs if tested is None else pairs.join(tested, _same(pairs, tested), "left_anti"), whole, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         # A pivot has met all sets under its signature.
         left = _still_open(left, links).join(pivots.withColumnRenamed("pivot", "sid"), ["sig", "sid"], "left_anti")
     if every:
         left = left.withColumn("root", F.col("sid"))
-    sizes = sets.select(F.col("sid").alias("s"), F.col("n"))
-    one = left.join(sizes, F.col("sid") == F.col("s")).select("sig", "sid", "root", "n")
-    one, two = one.alias("x"), one.alias("y")
-    fits = (F.col("x.root") != F.col("y.root")) & (F.col("x.sid") < F.col("y.sid")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    rest = _once(one.join(two, (F.col("x.sig") == F.col("y.sig")) & fits).select(F.col("x.sid").alias("hub"), F.col("y.sid").alias("other")))
+    rest = _within(left, whole, percent)
     if tested is not None:
         rest = rest.join(tested, _same(rest, tested), "left_anti")
-    found = _confirmed(materialise(rest), sets, rows, percent, shingle)
+    found = _confirmed(materialise(rest), whole, percent)
     return sized, sets, found if links is None else links.unionByName(found)
 
 
