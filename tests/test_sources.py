@@ -246,3 +246,16 @@ def test_json_ranges_cut_anywhere(spark, tmp_path):
         jsonobject.json_object(spark, str(tmp_path / "cut.json"), 16).collect()
     (tmp_path / "empty.json").write_text(" {} ")
     assert jsonobject.json_object(spark, str(tmp_path / "empty.json"), 2).collect() == []
+
+
+def test_a_table_is_published_only_if_its_rows_keep_the_contracts(spark, tmp_path):
+    from veriset.operators.checks import ContractError
+
+    path = str(tmp_path / "set")
+    contracts = {"small": F.col("id") > 5, "even": F.col("id") % 2 == 1}
+    good = spark.range(0, 6, 2)
+    assert {tuple(r) for r in sinks.publish_checked(spark, good, contracts, path).collect()} == {("small", 0, True), ("even", 0, True)}
+    before = sinks.published(spark, path)
+    with pytest.raises(ContractError, match="even: 5 violations"):
+        sinks.publish_checked(spark, spark.range(10).repartition(3), contracts, path)
+    assert sinks.published(spark, path) == before and spark.read.parquet(before["manifest"]).count() == 3

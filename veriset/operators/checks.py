@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veriset.operators import profile
@@ -49,6 +49,19 @@ def enforce(checks: DataFrame) -> None:
         raise ContractError("; ".join(f"{r.check}: {r.violations} violations" for r in failed))
 
 
+def observed(df: DataFrame, contracts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with counts of the rows that break each contract, taken while it is written or collected: no scan of their own."""
+    observation = Observation()
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *[F.count_if(broken).alias(name) for name, broken in contracts.items()]), observation
+
+
+def observed_checks(df: DataFrame, observation: Observation) -> DataFrame:
+    """The checks of an observed table whose action has ended, one row per contract."""
+    counts = {name: n for name, n in observation.get.items() if name != "rows"}
+    rows = [(name, int(n), n == 0) for name, n in counts.items()]
+    return df.sparkSession.createDataFrame(rows, "check string, violations bigint, passed boolean")
+
+
 def require_columns(df: DataFrame, required: set[str], what: str = "table") -> DataFrame:
     missing = sorted(required - set(df.columns))
     if missing:

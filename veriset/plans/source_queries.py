@@ -280,6 +280,27 @@ def report_order(spark, folder):
 # --- contracts -----------------------------------------------------------------------------
 
 
+@query(
+    "manifest_row_contracts",
+    f"""WITH {DOCS}, c AS (SELECT count(*) FILTER (WHERE split NOT IN ('train', 'validation', 'test')) AS a, count(*) FILTER (WHERE digest IS NULL) AS b,
+  count(*) FILTER (WHERE class NOT IN ('de', 'en', 'es', 'fr')) AS c, count(*) FILTER (WHERE object IS NULL) AS d FROM docs)
+SELECT "check", n AS violations, n = 0 AS passed FROM (SELECT 'split_is_known' AS "check", a AS n FROM c UNION ALL SELECT 'digest_is_there', b FROM c
+  UNION ALL SELECT 'class_is_known', c FROM c UNION ALL SELECT 'object_is_mapped', d FROM c)""",
+)
+def manifest_row_contracts(spark, folder):
+    """Row contracts of the manifest, counted in the pass that writes it."""
+    contracts = {
+        "split_is_known": ~F.col("split").isin("train", "validation", "test"),
+        "digest_is_there": F.col("digest").isNull(),
+        "class_is_known": ~F.col("class").isin("de", "en", "es", "fr"),
+        "object_is_mapped": F.col("object").isNull(),
+    }
+    manifest = derived.documents(spark, folder).drop("text")
+    watched, observation = checks.observed(manifest, contracts)
+    sinks.write_table(watched, _fresh(spark))
+    return checks.observed_checks(manifest, observation)
+
+
 @query("expected_cardinality", """SELECT 'one_row_per_label' AS "check", abs(count(*) - count(DISTINCT doc_id)) AS violations, count(*) = count(DISTINCT doc_id) AS passed FROM labels""")
 def expected_cardinality(spark, folder):
     labels = derived.table(spark, folder, "labels")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from veriset.operators import confusion
+from veriset.operators import checks, confusion
 
 
 REPORT_ORDER = {
@@ -93,8 +93,12 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, mark:
     version = uuid.uuid4().hex
     for name, table in tables.items():
         write_table(table, f"{path}/{version}/{name}")
+    _switch(spark, path, version, sorted(tables), mark)
+
+
+def _switch(spark: SparkSession, path: str, version: str, names: list[str], mark: str) -> None:
     draft = f"{path}/{_POINTER}-{version}"
-    _write_text(spark, draft, json.dumps({"version": version, "mark": mark, "tables": sorted(tables)}))
+    _write_text(spark, draft, json.dumps({"version": version, "mark": mark, "tables": names}))
     hadoop = spark._jvm.org.apache.hadoop.fs
     overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     overwrite[0] = hadoop.Options.Rename.OVERWRITE
@@ -102,6 +106,20 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, mark:
     context.rename(hadoop.Path(draft), hadoop.Path(f"{path}/{_POINTER}"), overwrite)
 
 
+def publish_checked(spark: SparkSession, table: DataFrame, contracts: dict[str, Column], path: str, name: str = "manifest") -> DataFrame:
+    """Publish a table if no row breaks a contract; the rows are counted in the pass that writes them. Returns the checks.
+
+    A broken contract fails the call, and the former set stays.
+    """
+    watched, observation = checks.observed(table, contracts)
+    version = uuid.uuid4().hex
+    write_table(watched, f"{path}/{version}/{name}")
+    found = checks.observed_checks(table, observation)
+    checks.enforce(found)
+    _switch(spark, path, version, [name], "")
+    return found
+
+
 def published(spark: SparkSession, path: str) -> dict[str, str]:
     """Folders of the tables of the current set, by name; empty if none was published."""
     return {name: f"{path}/{found['version']}/{name}" for found in _current(spark, path) for name in found["tables"]}
