@@ -422,6 +422,14 @@ def test_base_spans(spark, odd, given):
             assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
 
 
+def test_counts_of_each_kind(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TRICKY)] + [(50, "1.2.3.4 5.6.7.8 9.9.9.9"), (51, "a@b.c 1.2.3.4 d@e.f"), (52, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op7_disclosure"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found}
+    assert got == {k: tuple(sum(s[1] == kind for s in brute_pii(t)) for kind in range(4)) for k, t in ((k, t or "") for k, t in rows)}
+
+
 def test_terms_that_disclose(spark):
     rng = random.Random(4)
     common = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(40)]
