@@ -173,6 +173,20 @@ def test_blocks_of_labels_give_the_same_scores_and_predictions(spark, size):
         assert (r.confidence, r.true_probability) == (pytest.approx(w.confidence), pytest.approx(w.true_probability))
 
 
+def test_several_groups_of_rows_meet_the_blocks_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(scores, "BLOCK_ROWS", 500)
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 10, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12_000, 64)))]
+    features = spark.createDataFrame(rows, "id bigint, target int, features array<double>")
+    model = scores.centroids(features)
+    wanted = {r.id: r for r in scores.predictions(scores.centroid_scores(features, model)).collect()}
+    found = scores.centroid_predictions(features, model, size=4).collect()
+    assert sorted(r.id for r in found) == list(range(12_000))
+    for r in found:
+        w = wanted[r.id]
+        assert (r.predicted_index, r.confidence) == (w.predicted_index, pytest.approx(w.confidence))
+
+
 def test_fifty_thousand_labels(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(50_000, 4))

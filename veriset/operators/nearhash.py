@@ -146,17 +146,17 @@ def _run(cells: DataFrame, masks: np.ndarray, threshold: int, schema: str, told:
     return cells.mapInArrow(run, schema)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in the first four columns, which are numbers, from sorted batches."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int = 4) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first columns, four if not told, which are numbers, from sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
-        if not len(keys):
+        key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(keys)], axis=1)
+        if not len(key):
             continue
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
         for start, end in zip(cuts, cuts[1:], strict=False):
-            own = keys[start].tolist()
+            own = key[start].tolist()
             if held and own != last:
                 yield pa.Table.from_batches(held)
                 held = []

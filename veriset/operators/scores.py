@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions import vectors
 from veriset.operators import confusion, splits
+from veriset.operators.nearhash import sorted_groups
 from veriset.session import materialise
 
 #: Labels of a block of a model, and rows that meet a block in a task.
@@ -93,26 +95,36 @@ def _against_blocks(features: DataFrame, model: DataFrame, label: str, vector: s
     """
     rows = materialise(features.withColumn("_row", F.monotonically_increasing_id()))
     chunks = rows.count() // BLOCK_ROWS + 1
-    blocks = materialise(
-        model.groupBy(F.expr(f"cast({label} as bigint) div {size}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("int").alias("label"), "centroid"))).alias("labels"))
-    )
+    block = F.expr(f"cast({label} as bigint) div {size}")
+    labels = materialise(model.where(F.col(label).isNotNull()).select(block.alias("_block"), F.col(label).cast("bigint").alias("_row"), F.col("centroid").cast("array<double>").alias("_vector")))
     target = F.col("target").cast("bigint") if "target" in features.columns else F.lit(-1).cast("bigint")
     numbered = rows.select("_row", F.coalesce(target, F.lit(-1)).alias("_target"), F.col(vector).cast("array<double>").alias("_vector"), F.pmod(F.xxhash64("_row"), F.lit(chunks)).alias("_chunk"))
     # every block of labels meets every row: that is the result, not a detour
-    listed = blocks.agg(F.collect_list("_block").alias("all")).first()["all"]
-    left = numbered.withColumn("_block", F.explode(F.array(*[F.lit(b) for b in listed])))
-    right = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    listed = labels.agg(F.array_sort(F.collect_set("_block")).alias("all")).first()["all"]
+    left = numbered.withColumn("_block", F.explode(F.array(*[F.lit(b) for b in listed]).cast("array<bigint>")))
+    right = labels.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))).withColumn("_target", F.lit(-1).cast("bigint"))
+    columns = ["_block", "_chunk", "_side", "_row", "_target", "_vector"]
+    # one flat table, labels before rows: cogroups of nested arrays broke the Arrow stream when a task had several groups
+    both = right.withColumn("_side", F.lit(0)).select(*columns).unionByName(left.withColumn("_side", F.lit(1)).select(*columns))
+    dealt = both.repartition("_block", "_chunk").sortWithinPartitions("_block", "_chunk", "_side", "_row")
 
     def met(kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sharpness: float) -> DataFrame:
-        def run(block: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            if block.empty or held.empty:
-                return pd.DataFrame(columns=[f.strip().split()[0] for f in schema.split(",")])
-            entries = held["labels"].iloc[0]
-            labels = np.array([e["label"] for e in entries])
-            scorer = cosine_scorer(np.array([e["centroid"] for e in entries]), sharpness)
-            return kernel(block, labels, scorer(np.stack(block["_vector"].to_numpy())))
-
-        return left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInPandas(run, schema)
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        told = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(","))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches, keys=2):
+                number = lambda name: np.asarray(group.column(name).combine_chunks())  # noqa: B023, E731
+                cut = int((number("_side") == 0).sum())
+                if not 0 < cut < group.num_rows:
+                    continue
+                vectors_of = lambda part: np.stack(part.column("_vector").to_pandas().to_numpy())
+                names = number("_row")[:cut].astype(np.int32)
+                scorer = cosine_scorer(vectors_of(group.slice(0, cut)), sharpness)
+                block = pd.DataFrame({"_row": number("_row")[cut:], "_block": number("_block")[cut:], "_target": number("_target")[cut:]})
+                yield pa.RecordBatch.from_pandas(kernel(block, names, scorer(vectors_of(group.slice(cut)))), schema=told, preserve_index=False)
+
+        return dealt.mapInArrow(run, schema)
 
     return rows, met
 
