@@ -8,6 +8,7 @@ leaves a task: pairs, the links of a spanning forest, or one number. All three a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from math import comb
 
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions.vectors import band_masks
+from veriset.session import materialise
 
 #: Hashes of a slot where the bits would spread them further, and of a block.
 SLOT, BLOCK = 1024, 16_384
 #: Comparisons that weigh as much as one dealt row, and those of a task.
-ROW_COST, TASK = 400.0, 5e8
+ROW_COST, TASK = 400.0, 2e8
+#: Dealt rows of a task.
+ROWS = 200_000
 _CELLS = 1 << 21
 
 
@@ -45,11 +49,14 @@ def _cells(hashes: DataFrame, block: str, weight: str, threshold: int, bands: in
     named = hashes.select(F.xxhash64(block).alias("mix"), F.col(block).alias("block"), "fp", F.col(weight).cast("bigint").alias("weight"), F.posexplode(listed).alias("band", "mask"))
     slots = max(1, -(-count // SLOT))
     keyed = named.withColumn("slot", F.pmod(F.xxhash64("mix", F.col("fp").bitwiseAND(F.col("mask"))), F.lit(slots))).drop("mask")
-    sizes = keyed.groupBy("band", "slot").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    counted = materialise(keyed.groupBy("band", "slot").agg(F.count("*").alias("n")))
+    sizes = counted.select("band", "slot", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
     placed = keyed.join(sizes, ["band", "slot"]).withColumn("own", F.pmod(F.xxhash64("fp", "mix"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("band", "slot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "mix", "block", "fp", "weight")
-    tasks = max(1, int(count * len(masks) * SLOT / TASK))
+    # tasks by the comparisons of the slots as they are: bits of real hashes are far from even
+    work = counted.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0.0
+    tasks = max(1, -(-count * len(masks) // ROWS), math.ceil(work / TASK))
     key = ["band", "slot", "x", "y"]
     return cells.repartition(tasks, *key).sortWithinPartitions(*key), np.array(masks, np.int64)
 

@@ -39,6 +39,32 @@ def content_pairs(node_pairs: DataFrame, records: DataFrame, content: str) -> Da
     )
 
 
+def measured_pairs(described: DataFrame, grid: str = "grid") -> DataFrame:
+    """``described`` with cosine, correlation and mean error of its two grids in place of them, a matrix per Arrow batch."""
+    held = (f"{grid}_a", f"{grid}_b")
+    kept = described.drop(*held)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "embedding_cosine double", "mae double", "correlation double"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1).astype(float) for c in held)
+            inner, squares_a, squares_b = ((x * y).sum(axis=1) for x, y in ((a, b), (a, a), (b, b)))
+            count, sum_a, sum_b = a.shape[1], a.sum(axis=1), b.sum(axis=1)
+            norms = np.sqrt(squares_a) * np.sqrt(squares_b)
+            cosine = np.divide(inner, norms, out=np.zeros_like(inner), where=norms > 0)
+            spread_a, spread_b = count * squares_a - sum_a**2, count * squares_b - sum_b**2
+            roots = np.sqrt(np.maximum(spread_a, 0)) * np.sqrt(np.maximum(spread_b, 0))
+            correlation = np.divide(count * inner - sum_a * sum_b, roots, out=np.zeros_like(inner), where=(spread_a > 0) & (spread_b > 0))
+            level_a, level_b = (x / np.maximum(x.max(axis=1, keepdims=True), 1e-300) for x in (a, b))
+            mae = np.abs(level_a - level_b).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_names), *map(pa.array, (cosine, mae, correlation))], names=[*kept_names, "embedding_cosine", "mae", "correlation"])
+
+    kept_names = kept.columns
+    return described.mapInArrow(measure, schema)
+
+
 def same_object_pairs(node_pairs: DataFrame, records: DataFrame) -> DataFrame:
     """One row: how many record pairs share their object, counted per object and side."""
     counts = records.filter(F.col("object").isNotNull()).groupBy("class", "fp", "split", "object").agg(F.count("*").alias("n"))

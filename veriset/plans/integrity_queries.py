@@ -361,18 +361,8 @@ def _review(spark, folder):
     """(content pairs with metrics and flags, node pairs, records) of the review distance."""
     records = derived.fingerprints(spark, folder)
     node_pairs = materialise(links.near_node_pairs(records, 8))
-    described = review.content_pairs(node_pairs, records, "grid")
-
-    def scaled(grid):
-        return F.transform(grid, lambda x: x / F.array_max(grid))
-
-    a, b = (F.col(f"grid_{side}").cast("array<double>") for side in "ab")
-    measured = (
-        described.withColumn("embedding_cosine", vectors.cosine(a, b))
-        .withColumn("mae", vectors.mean_absolute_error(scaled(a), scaled(b)))
-        .withColumn("correlation", vectors.guarded_correlation(a, b))
-    )
-    return review.flagged_pairs(measured.drop("grid_a", "grid_b")), node_pairs, records
+    measured = review.measured_pairs(review.content_pairs(node_pairs, records, "grid"))
+    return review.flagged_pairs(measured), node_pairs, records
 
 
 @query(
