@@ -112,10 +112,25 @@ def quarantined_manifest(records: DataFrame, threshold: int = 4) -> tuple[DataFr
     return cleaned, cleanup.quarantine_log(node_pairs), contract
 
 
-def component_split(records: DataFrame, threshold: int = 4, ratios: dict[str, str] | None = None, seed: int = 42) -> DataFrame:
-    """Split whole connected components, class by class, close to the wanted ratios."""
+def component_assignment(records: DataFrame, threshold: int = 4, ratios: dict[str, str] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Whole connected components, class by class, close to the wanted ratios, and the contract that holds for a clean corpus.
+
+    A component of several classes breaks the contract; its records of each class are dealt as one group of that class. A
+    class of fewer than three groups fills the first parts only.
+    """
     members = materialise(components.record_components(records, threshold).withColumn("group", F.col("component").cast("string")))
-    checks.enforce(checks.check("component_has_one_class", components.mixed_components(components.component_table(members))))
-    sizes = splits.group_sizes(members)
-    checks.enforce(checks.check("three_groups_per_class", splits.too_few_groups(sizes, 3)))
-    return splits.apply_group_split(members, splits.greedy_split(sizes, ratios, seed=seed))
+    sizes = materialise(splits.group_sizes(members))
+    contract = checks.all_checks(
+        [
+            checks.check("component_has_one_class", components.mixed_components(components.component_table(members))),
+            checks.check("three_groups_per_class", splits.too_few_groups(sizes, 3)),
+        ]
+    )
+    return splits.apply_group_split(members, splits.greedy_split(sizes, ratios, seed=seed)), contract
+
+
+def component_split(records: DataFrame, threshold: int = 4, ratios: dict[str, str] | None = None, seed: int = 42) -> DataFrame:
+    """``component_assignment`` of a corpus that keeps its contract; any other one fails the call."""
+    placed, contract = component_assignment(records, threshold, ratios, seed)
+    checks.enforce(contract)
+    return placed

@@ -542,8 +542,9 @@ SELECT c.id, c.class, c.component, {_PLACED} AS split FROM comp c JOIN r ON r.cl
 JOIN runs u ON u.class = r.class AND u.size = r.size""",
 )
 def component_split(spark, folder):
-    """Whole components, linked by contents, objects and near hashes, dealt to the three parts."""
-    return audit.component_split(derived.fingerprints(spark, folder)).select("id", "class", "component", "split")
+    """Whole components, linked by contents, objects and near hashes, dealt to the three parts, on any table as its SQL does."""
+    placed, _ = audit.component_assignment(derived.fingerprints(spark, folder))
+    return placed.select("id", "class", "component", "split")
 
 
 @query(
