@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriset.operators import nearhash, review
+from veriset.operators import links, nearhash, review
 
 
 def test_metrics_of_pairs_of_grids(spark):
@@ -24,3 +24,14 @@ def test_uneven_slots_get_tasks_by_their_comparisons(spark, monkeypatch):
     hashes = spark.range(6000).select(F.lit("a").alias("class"), F.col("id").alias("fp"), F.lit(3).alias("in_splits"))  # one slot of most bands
     cells, masks = nearhash._cells(hashes, "class", "in_splits", 4, None, nearhash.BLOCK)
     assert cells.rdd.getNumPartitions() > 6000 * len(masks) * nearhash.SLOT / 1e5
+
+
+def test_few_contents_by_batch_and_many_by_tile_give_one_summary(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], ["train", "test"][i // 2 % 2], None if i % 3 else "o", int(i % 7), [int(x) for x in rng.integers(0, 3, 6) + 1]) for i in range(160)]
+    records = spark.createDataFrame(rows, "id bigint, class string, split string, object string, fp bigint, grid array<int>")
+    pairs = links.near_node_pairs(records, 3)
+    found = [review.tiled_summary(pairs, records, few=few).first() for few in (0, 60, 10**6)]
+    assert found[0].pairs > 0 and found[0].unmapped_pairs > 0
+    for other in found[1:]:
+        assert all(a == pytest.approx(b) for a, b in zip(found[0], other, strict=True))

@@ -14,8 +14,8 @@ from veriset.functions.names import split_pair
 from veriset.operators.nearhash import sorted_groups
 from veriset.session import materialise
 
-#: Contents of a side of a tile.
-TILE = 1024
+#: Contents of a side of a tile, and pairs of contents of two nodes up to which they are rows of a batch instead.
+TILE, FEW = 1024, 64
 
 
 def content_pairs(node_pairs: DataFrame, records: DataFrame, content: str) -> DataFrame:
@@ -118,20 +118,35 @@ _TOTALS = ("pairs", "unmapped_pairs", "unmapped_embedding_flags", "unmapped_pixe
 _EXTREMES = ("max_cosine", "max_cosine_unmapped", "max_correlation_unmapped", "min_mae_unmapped")
 
 
-def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid", size: int = TILE) -> DataFrame:
-    """``review_summary`` of all pairs of contents, without a row for any of them.
+def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid", size: int = TILE, few: int = FEW) -> DataFrame:
+    """``review_summary`` of all pairs of contents, without a row for those of two nodes with many.
 
     The distinct contents (``grid``, an array of numbers) of the two nodes of a pair meet in tiles of ``size`` x ``size``: a task
     computes cosines, correlations and mean errors as matrices and returns totals and extremes of its tile. A node's contents
-    are dealt once per block of the other side.
+    are dealt once per block of the other side. Nodes of few contents, most of all, would be tiles of a number or two: up to
+    ``few`` pairs of contents are rows, measured by the batch.
     """
     contents = records.groupBy("class", "fp", "split", grid).agg(F.count("*").alias("copies"), F.count("object").alias("mapped"))
     contents = materialise(contents.withColumn("own", F.xxhash64(grid)))
-    blocks = contents.groupBy("class", "fp", "split").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    pairs = node_pairs.select("class", "fp_a", "split_a", "fp_b", "split_b")
+    blocks = contents.groupBy("class", "fp", "split").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"), F.count("*").alias("n"))
+    pairs = node_pairs.select("class", "distance", "fp_a", "split_a", "fp_b", "split_b")
     for side in "ab":
-        pairs = pairs.join(blocks.select("class", F.col("fp").alias(f"fp_{side}"), F.col("split").alias(f"split_{side}"), F.col("blocks").alias(f"blocks_{side}")), ["class", f"fp_{side}", f"split_{side}"])
-    numbered = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()))
+        pairs = pairs.join(blocks.select("class", F.col("fp").alias(f"fp_{side}"), F.col("split").alias(f"split_{side}"), F.col("blocks").alias(f"blocks_{side}"), F.col("n").alias(f"n_{side}")), ["class", f"fp_{side}", f"split_{side}"])
+    every = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    small = F.col("n_a") * F.col("n_b") <= few
+    numbered = every.where(~small).drop("n_a", "n_b", "distance")
+    flagged = flagged_pairs(measured_pairs(content_pairs(every.where(small), records, grid), grid))
+    unmapped = F.col("involves_unmapped")
+    batched = flagged.agg(
+        F.sum("pairs").alias("pairs"),
+        F.sum("unmapped_pairs").alias("unmapped_pairs"),
+        F.sum(F.when(F.col("embedding_flag"), F.col("unmapped_pairs"))).alias("unmapped_embedding_flags"),
+        F.sum(F.when(F.col("pixel_flag"), F.col("unmapped_pairs"))).alias("unmapped_pixel_flags"),
+        F.max("embedding_cosine").alias("max_cosine"),
+        F.max(F.when(unmapped, F.col("embedding_cosine"))).alias("max_cosine_unmapped"),
+        F.max(F.when(unmapped, F.col("correlation"))).alias("max_correlation_unmapped"),
+        F.min(F.when(unmapped, F.col("mae"))).alias("min_mae_unmapped"),
+    )
 
     def dealt(own: str, other: str, place: int) -> DataFrame:
         side = contents.select("class", F.col("fp").alias(f"fp_{own}"), F.col("split").alias(f"split_{own}"), F.col(grid).cast("array<double>").alias("grid"), "copies", "mapped", "own")
@@ -156,7 +171,7 @@ def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid",
     # pmod and hashes deal evenly; a pair of nodes with many contents is many tiles
     tiles = both.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y").mapInArrow(measure, ", ".join(f"{c} {kind}" for c, kind in fields))
     zero = F.lit(0).cast("bigint")
-    rows = tiles.unionByName(same_object_pairs(node_pairs, records), allowMissingColumns=True)
+    rows = tiles.unionByName(batched).unionByName(same_object_pairs(node_pairs, records), allowMissingColumns=True)
     totals = {c: F.coalesce(F.sum(c), zero) for c in _TOTALS}
     return rows.agg(
         totals["pairs"].alias("pairs"),
