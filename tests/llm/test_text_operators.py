@@ -596,3 +596,18 @@ def test_empty_tables(none):
     assert simhash.keep_one(none).count() == 0
     assert privacy.sanitise(none).count() == 0
     assert bpe.decode(bpe.encode(none, path), path).count() == 0
+
+
+def test_bpe_store_of_words_stays_small(tokenizer, monkeypatch):
+    with open(queries.vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = bpe.Coder(f.read())
+    for text in ("a" * 5_000 + " b", "x" * 65 + " y", "die Straße", "b b y"):
+        assert coder.closed(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert {len(w) > 64 for w in coder.known} == {False}  # words of any length cannot fill it
+    often = 0
+    for i in range(12_000):
+        text = " ".join(f"w{i}n{j}" for j in range(25)) + " often"
+        assert i % 500 or coder.closed(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        coder.closed(text)
+        often += b"often" in coder.known
+    assert often == 12_000 and len(coder.known) + len(coder.older) <= bpe.REMEMBERED

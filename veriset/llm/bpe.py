@@ -31,8 +31,9 @@ from veriset.session import materialise
 SLICE = 128
 #: Code points of a leaf.
 LEAF = 16_384
-#: Words whose tokens are remembered (about 170 bytes each); the store is emptied when full.
-REMEMBERED = 350_000
+#: Words whose tokens are remembered (about 170 bytes each), and the longest one in bytes. A worker has its store for as long as it
+#: lives and up to four workers share an executor, so that what they hold must not grow with the number of texts.
+REMEMBERED, WORD = 262_144, 64
 
 _BLANK = re.compile(r"[ \t\n\x0b\f\r]")
 #: One sign after an ASCII letter and before white space is always a token sequence of its own.
@@ -79,6 +80,7 @@ class Coder:
         self.longest = max(map(len, self.specials), default=0)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # words of the half before; those met again move on
 
     def stretch(self, text: str) -> Stretch:
         if not text:
@@ -94,14 +96,22 @@ class Coder:
             raw = _SIGN.sub(rb"\1 \2", raw.lower())  # the normaliser lowers case too; special tokens stay as they are
         words = raw.split()
         known = self.known
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.kind).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), self.kind)
+        missing = {w for w in words if w not in known}
+        if not missing:
+            return np.frombuffer(b"".join([known[w] for w in words]), self.kind)
+        if len(known) + len(missing) > REMEMBERED // 2:
+            self.older, self.known = known, (known := {})
+            missing = set(words)
+        older = self.older
+        known |= {w: older[w] for w in missing if w in older}
+        new = [w for w in missing if w not in older]
+        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, self.kind).tobytes()
+        tokens = b"".join([known[w] for w in words])
+        for word in new:
+            if len(word) > WORD:
+                del known[word]
+        return np.frombuffer(tokens, self.kind)
 
     def leaf(self, text: str) -> Part:
         first = _BLANK.search(text)
@@ -217,6 +227,14 @@ def _lists(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def _tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow keeps of earlier ones goes back to the system, since idle workers hold on to it otherwise."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 _STRETCH = "struct<text:string,ids:array<int>,starts:array<int>,ends:array<int>>"
 
 
@@ -239,7 +257,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = L
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
-        for batch in batches:
+        for batch in _tidy(batches):
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([coder.closed(v.as_py()) for v in part.column(1)])], names=["own", "ids"])
@@ -250,7 +268,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = L
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
-        for batch in batches:
+        for batch in _tidy(batches):
             for i in range(batch.num_rows):
                 found = coder.pieces(batch.column(1)[i].as_py(), leaf)
                 # The row's other columns travel with its first piece.
@@ -261,7 +279,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = L
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
-        for batch in batches:
+        for batch in _tidy(batches):
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 found = [coder.leaf(v.as_py()) for v in part.column(3)]
@@ -281,7 +299,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", leaf: int = L
         def result() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([first, _lists([coder.tree(parts).tokens()])], names=["own", "ids"])
 
-        for batch in batches:
+        for batch in _tidy(batches):
             for i in range(batch.num_rows):
                 current, no, head, middle, tail = (batch.column(k)[i].as_py() for k in range(1, 6))
                 if no == 0:
@@ -315,7 +333,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", skip_special_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = decoder_of(sent.value, skip_special_tokens)
-        for batch in batches:
+        for batch in _tidy(batches):
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 texts = [text_of(np.asarray(row.values) if row.is_valid else None) for row in part.column(at)]
