@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriset.functions.names import split_pair
-from veriset.operators.nearhash import BLOCK, near_hashes
+from veriset.operators.nearhash import BLOCK, Totals, near_hashes, near_totals
 from veriset.session import materialise
 
 
@@ -115,11 +115,16 @@ def distinct_hashes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("class", "fp").agg(F.bit_or(flag).alias("in_splits"))
 
 
-def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None, size: int = BLOCK) -> DataFrame:
+def near_node_pairs(records: DataFrame, threshold: int, bands: int | None = None, size: int = BLOCK, totals: Totals | None = None) -> DataFrame:
     """Cross-split pairs of hash nodes within a class, identical hashes included (distance 0).
 
     The smaller split name comes first, so each unordered pair of nodes comes once. ``pairs`` counts its record pairs.
+    With ``totals`` the pairs, whose number grows with the square of a class, never are rows: each pair of ``records`` is
+    added up in the task that finds it, and the result has the totals, a row per task.
     """
+    if totals:
+        named = records.filter(F.col("fp").isNotNull() & F.col("split").isNotNull()).withColumn("in_split", F.xxhash64("split"))
+        return near_totals(named, "class", threshold, "in_split", totals, bands, size)
     nodes = materialise(hash_nodes(records))
     found = near_hashes(distinct_hashes(nodes), "class", threshold, bands, size)
     same = distinct_hashes(nodes).filter(F.bit_count("in_splits") > 1).select(

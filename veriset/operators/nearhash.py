@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +27,40 @@ SLOT, BLOCK = 1024, 16_384
 ROW_COST, TASK = 400.0, 2e8
 #: Dealt rows of a task.
 ROWS = 200_000
-_CELLS = 1 << 21
+#: The same as ROW_COST for a row with contents.
+FULL_ROW_COST = 4000.0
+#: Comparisons at a time, a matrix of a megabyte.
+_CELLS = 1 << 17
 
 
-def choose_bands(hashes: int, threshold: int) -> int:
+def choose_bands(hashes: int, threshold: int, row_cost: float = ROW_COST) -> int:
     """Number of bands for which dealt rows plus comparisons cost least."""
 
     def cost(bands: int) -> float:
         keys = comb(bands, threshold)
         slots = min(2.0 ** (64.0 * (bands - threshold) / bands), max(1.0, hashes / SLOT))
-        return keys * float(hashes) * (ROW_COST + hashes / slots / 2)
+        return keys * float(hashes) * (row_cost + hashes / slots / 2)
 
     return min(range(threshold + 1, 33), key=cost)
 
 
-def _cells(hashes: DataFrame, block: str, weight: str, threshold: int, bands: int | None, size: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (band, slot, x, y, own, mix, block, fp, weight), sorted by cell (band, slot, x, y), and the masks."""
+def _cells(hashes: DataFrame, block: str, weight: str, threshold: int, bands: int | None, size: int, carried: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
+    """Rows (band, slot, x, y, own, mix, block, fp, weight), sorted by cell (band, slot, x, y), and the masks.
+
+    With ``carried`` columns after them a hash may have several rows, which are dealt to blocks one by one.
+    """
     count = hashes.count()
-    bands = bands or choose_bands(count, threshold)
+    bands = bands or choose_bands(count, threshold, FULL_ROW_COST if carried else ROW_COST)
     masks = band_masks(bands, bands - threshold)
     listed = F.array(*[F.lit(m).cast("bigint") for m in masks])
-    named = hashes.select(F.xxhash64(block).alias("mix"), F.col(block).alias("block"), "fp", F.col(weight).cast("bigint").alias("weight"), F.posexplode(listed).alias("band", "mask"))
+    named = hashes.select(F.xxhash64(block).alias("mix"), F.col(block).alias("block"), "fp", F.col(weight).cast("bigint").alias("weight"), *carried, F.posexplode(listed).alias("band", "mask"))
     slots = max(1, -(-count // SLOT))
     keyed = named.withColumn("slot", F.pmod(F.xxhash64("mix", F.col("fp").bitwiseAND(F.col("mask"))), F.lit(slots))).drop("mask")
     counted = materialise(keyed.groupBy("band", "slot").agg(F.count("*").alias("n")))
     sizes = counted.select("band", "slot", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-    placed = keyed.join(sizes, ["band", "slot"]).withColumn("own", F.pmod(F.xxhash64("fp", "mix"), F.col("blocks")).cast("int"))
+    placed = keyed.join(sizes, ["band", "slot"]).withColumn("own", F.pmod(F.xxhash64("fp", "mix", *(["weight", *carried] if carried else [])), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("band", "slot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "mix", "block", "fp", "weight")
+    cells = spread.select("band", "slot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "mix", "block", "fp", "weight", *carried)
     # tasks by the comparisons of the slots as they are: bits of real hashes are far from even
     work = counted.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0.0
     tasks = max(1, -(-count * len(masks) // ROWS), math.ceil(work / TASK))
@@ -76,20 +83,37 @@ class _Cell:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(i, j) of pairs within the threshold for which this band is the first that they agree on."""
-        step = max(1, _CELLS // max(1, len(self.right)))
-        right, mixed = self.fp[self.right], self.mix[self.right]
-        for start in range(0, len(self.left), step):
-            rows = self.left[start : start + step]
-            near = np.bitwise_count(self.fp[rows][:, None] ^ right[None]) <= self.threshold
-            near &= self.mix[rows][:, None] == mixed[None]
-            i, j = np.nonzero(near)
-            if self.alone:
+        return self._compared(self.left, self.right, self.alone)
+
+    def crossing(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of different weights; rows of one weight are not compared."""
+        left, right = self.weight[self.left], self.weight[self.right]
+        for weight in np.unique(left):
+            yield from self._compared(self.left[left == weight], self.right[right > weight if self.alone else right != weight], False)
+
+    def _compared(self, left: np.ndarray, right: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(left) or not len(right):
+            return
+        hashes = self.fp[right]
+        step = max(1, _CELLS // len(right))
+        # written into again and again, the matrices stay in the processor's cache
+        matrices = [np.empty((min(step, len(left)), len(right)), kind) for kind in (np.uint64, np.uint8, bool)]
+        for start in range(0, len(left), step):
+            rows = left[start : start + step]
+            difference, bits, near = (m[: len(rows)] for m in matrices)
+            np.bitwise_xor(self.fp[rows][:, None], hashes[None], out=difference)
+            np.bitwise_count(difference, out=bits)
+            np.less_equal(bits, self.threshold, out=near)
+            i, j = np.divmod(np.flatnonzero(near), len(right))
+            if alone:
                 i, j = i[i + start < j], j[i + start < j]
-            i, j = rows[i], self.right[j]
-            difference = self.fp[i] ^ self.fp[j]
-            first = (difference & self.mask) == 0
+            i, j = rows[i], right[j]
+            same = self.mix[i] == self.mix[j]
+            i, j = i[same], j[same]
+            apart = self.fp[i] ^ self.fp[j]
+            first = (apart & self.mask) == 0
             for mask in self.earlier:
-                first &= (difference & mask) != 0
+                first &= (apart & mask) != 0
             yield i[first], j[first]
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
@@ -224,3 +248,40 @@ def near_count(hashes: DataFrame, block: str, threshold: int, weight: str, bands
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
     return _run(cells, masks, threshold, "n bigint", told).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
+
+
+class Totals(NamedTuple):
+    """What is added up over pairs: the columns of their rows that it takes, the schema of its result, and its making.
+
+    ``begin()`` gives an object whose ``add(table, i, j)`` gets the places of pairs in the table of a cell, part by part, and
+    whose ``row()`` is the result, a batch of one row.
+    """
+
+    carried: tuple[str, ...]
+    schema: str
+    begin: Callable
+
+
+def near_totals(rows: DataFrame, block: str, threshold: int, weight: str, totals: Totals, bands: int | None = None, size: int = BLOCK) -> DataFrame:
+    """``totals`` of all pairs of rows of one block within ``threshold`` bits whose weights differ, each once; a row per task.
+
+    ``rows`` holds (block, fp, weight) and the carried columns; a hash may come in several rows. A null block is no block.
+    """
+    cells, masks = _cells(rows.where(F.col(block).isNotNull()), block, weight, threshold, bands, size, totals.carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, some = totals.begin(), False
+        for table in sorted_groups(batches):
+            if table.num_rows < 2:
+                continue
+            cell = _Cell(table, masks, threshold)
+            names = np.asarray(table.column("block").combine_chunks().dictionary_encode().indices)
+            for i, j in cell.crossing():
+                wanted = names[i] == names[j]
+                if wanted.any():
+                    held.add(table, i[wanted], j[wanted])
+                    some = True
+        if some:
+            yield held.row()
+
+    return cells.mapInArrow(run, totals.schema)

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from veriset.functions import flags
 from veriset.functions.names import split_pair
-from veriset.operators.nearhash import sorted_groups
+from veriset.operators.links import near_node_pairs
+from veriset.operators.nearhash import Totals, sorted_groups
 from veriset.session import materialise
 
 #: Contents of a side of a tile, and pairs of contents of two nodes up to which they are rows of a batch instead.
 TILE, FEW = 1024, 64
+#: Pairs that are measured at a time.
+STEP = 4096
 
 
 def content_pairs(node_pairs: DataFrame, records: DataFrame, content: str) -> DataFrame:
@@ -118,14 +121,136 @@ _TOTALS = ("pairs", "unmapped_pairs", "unmapped_embedding_flags", "unmapped_pixe
 _EXTREMES = ("max_cosine", "max_cosine_unmapped", "max_correlation_unmapped", "min_mae_unmapped")
 
 
-def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid", size: int = TILE, few: int = FEW) -> DataFrame:
+_SUMS = ", ".join([*(f"{c} bigint" for c in _TOTALS), *(f"{c} double" for c in _EXTREMES)])
+
+
+def packed_contents(records: DataFrame, grid: str = "grid") -> DataFrame:
+    """(class, fp, split, copies, mapped, packed): distinct contents with their copies, numbers in as few bytes as hold them all."""
+    counted = records.filter(F.col("fp").isNotNull()).groupBy("class", "fp", "split", grid).agg(F.count("*").alias("copies"), F.count("object").alias("mapped"))
+    rows = counted.select("class", "fp", "split", "copies", "mapped", F.col(grid).cast("array<double>").alias("packed"))
+    names = rows.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("packed").schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, -1)
+            whole = ((x >= 0) & (x == np.floor(x))).all(axis=1)
+            top = np.where(whole, x.max(axis=1), np.inf)
+            kind = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 8))
+            found = np.empty(len(x), object)
+            for k in np.unique(kind):
+                at = np.flatnonzero(kind == k)
+                found[at] = [bytes([k]) + r.tobytes() for r in x[at].astype(_KINDS[k])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found.tolist(), pa.binary())], names=names)
+
+    return materialise(rows.mapInArrow(pack, f"{kinds}, packed binary"))
+
+
+_KINDS = {1: np.uint8, 2: np.uint16, 8: np.float64}
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    rows = [v.as_py() for v in column]
+    kind = np.array([r[0] for r in rows])
+    out = None
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        part = np.frombuffer(b"".join([rows[i][1:] for i in at]), _KINDS[k]).reshape(len(at), -1)
+        out = np.empty((len(rows), part.shape[1])) if out is None else out
+        out[at] = part
+    return out
+
+
+class _PairTotals:
+    """Totals and extremes of ``review_summary`` over pairs of packed contents."""
+
+    def __init__(self) -> None:
+        self.table, self.totals, self.extremes = None, [0] * len(_TOTALS), [None] * len(_EXTREMES)
+
+    def _read(self, table: pa.Table) -> None:
+        self.table, self.x = table, _unpacked(table.column("packed"))
+        self.copies, self.mapped = (np.asarray(table.column(c)) for c in ("copies", "mapped"))
+        x, squares, sums = self.x, (self.x * self.x).sum(axis=1), self.x.sum(axis=1)
+        self.sums, self.norm = sums, np.sqrt(squares)
+        self.root = np.sqrt(np.maximum(x.shape[1] * squares - sums**2, 0))
+        self.level = x / np.maximum(x.max(axis=1, keepdims=True), 1e-300)
+
+    def _more(self, place: int, value: float) -> None:
+        best, pick = self.extremes[place], min if _EXTREMES[place].startswith("min") else max
+        self.extremes[place] = float(value) if best is None else pick(best, float(value))
+
+    def add(self, table: pa.Table, i: np.ndarray, j: np.ndarray) -> None:
+        if table is not self.table:
+            self._read(table)
+        for start in range(0, len(i), STEP):
+            self._measure(i[start : start + STEP], j[start : start + STEP])
+
+    def _measure(self, i: np.ndarray, j: np.ndarray) -> None:
+        pairs = self.copies[i] * self.copies[j]
+        unmapped = pairs - self.mapped[i] * self.mapped[j]
+        inner = np.einsum("ij,ij->i", self.x[i], self.x[j])
+        norms = self.norm[i] * self.norm[j]
+        cosine = np.divide(inner, norms, out=np.zeros_like(inner), where=norms > 0)
+        self.totals[0] += int(pairs.sum())
+        self.totals[1] += int(unmapped.sum())
+        self._more(0, cosine.max())
+        some = np.flatnonzero(unmapped > 0)  # the rest is asked of these only
+        if not len(some):
+            return
+        i, j, inner, cosine, unmapped = i[some], j[some], inner[some], cosine[some], unmapped[some]
+        roots = self.root[i] * self.root[j]
+        correlation = np.divide(self.x.shape[1] * inner - self.sums[i] * self.sums[j], roots, out=np.zeros_like(inner), where=roots > 0)
+        mae = np.abs(self.level[i] - self.level[j]).mean(axis=1)
+        self.totals[2] += int(unmapped[cosine >= flags.REVIEW_COSINE].sum())
+        self.totals[3] += int(unmapped[(correlation >= flags.REVIEW_CORRELATION) & (mae <= flags.REVIEW_MAE)].sum())
+        for place, value in enumerate((cosine.max(), correlation.max(), mae.min()), 1):
+            self._more(place, value)
+
+    def row(self) -> pa.RecordBatch:
+        values = [*[pa.array([v], pa.int64()) for v in self.totals], *[pa.array([v], pa.float64()) for v in self.extremes]]
+        return pa.RecordBatch.from_arrays(values, names=[*_TOTALS, *_EXTREMES])
+
+
+class _SameObject:
+    """Number of record pairs, from the records of each row."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def add(self, table: pa.Table, i: np.ndarray, j: np.ndarray) -> None:
+        n = np.asarray(table.column("n"))
+        self.n += int((n[i] * n[j]).sum())
+
+    def row(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.n], pa.int64())], names=["mapped_same_object"])
+
+
+#: ``review_summary`` of the pairs of ``packed_contents``, added up where ``near_node_pairs`` finds them.
+PAIR_TOTALS = Totals(("copies", "mapped", "packed"), _SUMS, _PairTotals)
+
+
+def same_object_totals(records: DataFrame, threshold: int) -> DataFrame:
+    """``same_object_pairs`` of all pairs within ``threshold`` bits, found among the records of each object instead of among all pairs."""
+    counts = records.filter(F.col("object").isNotNull() & F.col("class").isNotNull() & F.col("fp").isNotNull()).groupBy("class", "fp", "split", "object").agg(F.count("*").alias("n"))
+    shared = counts.groupBy("class", "object").agg(F.min("split").alias("s"), F.max("split").alias("t")).where("s < t").select("class", "object")
+    # two hashes side by side are no name, so names are compared whole
+    named = materialise(counts.join(shared, ["class", "object"]).select(F.to_json(F.struct("class", "object")).alias("class"), "fp", "split", "n"))
+    return near_node_pairs(named, threshold, totals=Totals(("n",), "mapped_same_object bigint", _SameObject)).agg(F.coalesce(F.sum("mapped_same_object"), F.lit(0).cast("bigint")).alias("mapped_same_object"))
+
+
+def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid", size: int = TILE, few: int = FEW, same_object: DataFrame | None = None) -> DataFrame:
     """``review_summary`` of all pairs of contents, without a row for those of two nodes with many.
 
     The distinct contents (``grid``, an array of numbers) of the two nodes of a pair meet in tiles of ``size`` x ``size``: a task
     computes cosines, correlations and mean errors as matrices and returns totals and extremes of its tile. A node's contents
     are dealt once per block of the other side. Nodes of few contents, most of all, would be tiles of a number or two: up to
-    ``few`` pairs of contents are rows, measured by the batch.
+    ``few`` pairs of contents are rows, measured by the batch. Where ``near_node_pairs`` has added pairs up to ``PAIR_TOTALS``
+    already, ``node_pairs`` are these totals and ``same_object`` is that of the same pairs.
     """
+    if same_object is not None:
+        return _summed(node_pairs, same_object)
     contents = records.groupBy("class", "fp", "split", grid).agg(F.count("*").alias("copies"), F.count("object").alias("mapped"))
     contents = materialise(contents.withColumn("own", F.xxhash64(grid)))
     blocks = contents.groupBy("class", "fp", "split").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"), F.count("*").alias("n"))
@@ -170,8 +295,12 @@ def tiled_summary(node_pairs: DataFrame, records: DataFrame, grid: str = "grid",
 
     # pmod and hashes deal evenly; a pair of nodes with many contents is many tiles
     tiles = both.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y").mapInArrow(measure, ", ".join(f"{c} {kind}" for c, kind in fields))
+    return _summed(tiles.unionByName(batched), same_object_pairs(node_pairs, records))
+
+
+def _summed(totals: DataFrame, same_object: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    rows = tiles.unionByName(batched).unionByName(same_object_pairs(node_pairs, records), allowMissingColumns=True)
+    rows = totals.unionByName(same_object, allowMissingColumns=True)
     totals = {c: F.coalesce(F.sum(c), zero) for c in _TOTALS}
     return rows.agg(
         totals["pairs"].alias("pairs"),

@@ -394,7 +394,8 @@ def near_review(spark, folder):
 )
 def near_review_summary(spark, folder):
     records = derived.fingerprints(spark, folder)
-    return review.tiled_summary(materialise(links.near_node_pairs(records, 8)), records)
+    found = links.near_node_pairs(review.packed_contents(records), 8, totals=review.PAIR_TOTALS)
+    return review.tiled_summary(found, records, same_object=review.same_object_totals(records, 8))
 
 
 @query(
